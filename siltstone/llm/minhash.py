@@ -221,18 +221,22 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     away = under.join(x, "cid").join(h, "hub").select("hub", "cid", "root", "nhub", F.array_except("scid", "shub").alias("more"), F.array_except("shub", "scid").alias("less"))
     w, c = 100 * F.size("less") + threshold * F.size("more"), (100 - threshold) * F.col("nhub")
     away = saved(away.withColumn("w", w).withColumn("spare", F.col("w") - c))
-    nearest = away.groupBy("hub").agg(F.min("w").alias("least"))
+    nearest = away.groupBy("hub").agg(F.min("w").alias("least"), F.min(F.when(F.col("spare") > 0, F.col("spare"))).alias("beyond"))
     away = away.join(nearest, "hub")
     listed = F.concat(F.transform("more", lambda t: F.xxhash64(t)), F.transform("less", lambda t: F.xxhash64(F.lit(1), t)))
     length = F.size("more") + F.size("less")
     unit = 100 + threshold
 
-    def beginning(need):
-        return F.explode(F.slice(listed, F.lit(1), F.greatest(length - F.ceil(need / unit).cast("int") + 1, F.lit(0)))).alias("element")
+    def beginning(need, name: str, root: str):
+        size = (F.col("nhub") - F.size("less") + F.size("more")).alias(f"n{name}")
+        list_ = F.slice(listed, F.lit(1), F.greatest(length - F.ceil(need / unit).cast("int") + 1, F.lit(0)))
+        return "hub", F.col("cid").alias(name), F.col("root").alias(root), F.col("w").alias(f"w{name}"), F.col("spare").alias(f"spare_{name}"), length.alias(f"length_{name}"), size, F.explode(list_).alias("element")
 
-    short = away.select("hub", F.col("cid").alias("b"), F.col("root").alias("other"), beginning(F.col("w") + 1))
-    long = away.where("spare > 0").select("hub", F.col("cid").alias("a"), "root", beginning(F.greatest(F.col("spare") + F.col("least"), F.lit(1))))
-    met = long.join(short, ["hub", "element"]).where("root <> other")
+    # (the condition of a link, for a pair, leaves S at most the shorter list; of two members that are both not linked to the hub, one order is enough)
+    short = away.select(*beginning(F.col("w") + F.col("beyond"), "b", "other"))
+    long = away.where("spare > 0").select(*beginning(F.greatest(F.col("spare") + F.col("least"), F.lit(1)), "a", "root"))
+    can = (F.col("root") != F.col("other")) & (F.col("spare_a") + F.col("wb") <= unit * F.least("length_a", "length_b")) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & ((F.col("spare_b") <= 0) | (F.col("a") < F.col("b")))
+    met = long.join(short, ["hub", "element"]).where(can)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
