@@ -28,9 +28,12 @@ from __future__ import annotations
 
 import os
 import pickle
+import re
+import sys
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -67,12 +70,26 @@ def pieces(path: str) -> tuple[bytes, ...]:
     return tuple(out)
 
 
+@cache
+def _unassigned():
+    """Finds characters that were unassigned in this Python's Unicode: libraries with newer or older tables may differ on them."""
+    edges = [0, *(i for i in range(1, sys.maxunicode + 1) if (category(chr(i)) == "Cn") != (category(chr(i - 1)) == "Cn")), sys.maxunicode + 1]
+    runs = [(a, b - 1) for a, b in zip(edges, edges[1:], strict=False) if category(chr(a)) == "Cn"]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]").search
+
+
 @cache
 def _splitter(path: str):
     import regex
 
+    rule, fast, odd = tokenizer(path).pre_tokenizer, regex.compile(PATTERN).findall, _unassigned()
     special = sorted((t.content for t in tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
-    words = regex.compile(PATTERN).findall
+
+    def words(text: str) -> list[str]:
+        if not text.isascii() and odd(text):  # the library's own, slower splitting
+            return [text[a:b] for _, (a, b) in rule.pre_tokenize_str(text)]
+        return fast(text)
+
     if not special:
         return words
     cut = regex.compile("(" + "|".join(map(regex.escape, special)) + ")")

@@ -51,11 +51,10 @@ def test_bpe(spark, which):
 def test_bpe_splits_every_character_like_the_library():
     path = queries.vocabulary_path()
     rule = bpe.tokenizer(path).pre_tokenizer
-    text = "".join(f"a{c}1 {c} {c}{c}\n" for c in map(chr, range(1, 0x110000, 1)) if not 0xD800 <= ord(c) < 0xE000)
-    step = 6_000
-    for i in range(0, len(text), step * 200):
-        part = text[i : i + step]
-        assert bpe.split(part, path) == [part[s:e] for _, (s, e) in rule.pre_tokenize_str(part)]
+    for c in map(chr, range(0, 0x110000, 7)):
+        if not 0xD800 <= ord(c) < 0xE000:
+            part = f"a{c}1 {c} {c}{c}\n"
+            assert bpe.split(part, path) == [part[s:e] for _, (s, e) in rule.pre_tokenize_str(part)]
 
 
 @WHICH
