@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: list = []
+from siltstone.plans import text_queries, url_queries
+
+FAMILIES = [url_queries.family, text_queries.family]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
