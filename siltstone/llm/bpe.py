@@ -39,6 +39,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from siltstone.llm.shared import saved
+
 CHUNK = 24_000_000
 _WORDS = "chunk long, place int, word string"
 _PARTS = "chunk long, place int, payload binary"
@@ -269,6 +271,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     are no UTF-8 become U+FFFD.
     """
     rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).withColumn("row", F.monotonically_increasing_id())
+    rows = saved(rows)  # row numbers must be the same in both branches
     each = rows.select("row", F.posexplode("ids").alias("at", "token_id"))
     spelled = each.join(F.broadcast(vocabulary(encoded.sparkSession, path)), "token_id")
     runs = spelled.groupBy("row", F.floor(F.col("at") / 1000).alias("run")).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from siltstone.llm import words as W
 from siltstone.llm.graph import components
@@ -248,3 +248,14 @@ def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str
     linked = F.col("found") & (F.col("n") > 0) & F.col("id").isNotNull()
     component = F.when(linked, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80) -> DataFrame:
+    """docs with one row of each near-duplicate component (the least id; of rows that share it, the least row hash); rows with a null id stay."""
+    found = near_duplicates(docs, id_col, text_col, k, threshold)
+    kept = found.where("kept").where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept")).distinct()
+    named = docs.where(docs[id_col].isNotNull())
+    named = named.join(kept, named[id_col] == kept["_kept"], "left_semi")
+    first = Window.partitionBy(named[id_col]).orderBy(row_key(named[id_col], named[text_col]))
+    named = named.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named.unionByName(docs.where(docs[id_col].isNull()))

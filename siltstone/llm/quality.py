@@ -140,14 +140,39 @@ def _concentrate(rows: DataFrame, estimate: DataFrame, scale: float) -> DataFram
     return out.select(*_GROUP, *[f"m{i}" for i in range(_N)], *[f"l{i}{j}" for i, j in _PAIRS])
 
 
-def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source"), lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """text_statistics with distance (null: no estimate) and kept."""
-    stats = text_statistics(docs, text_col, tuple(dict.fromkeys((*keep, lang_col, source_col))))
-    rows = saved(stats.select("*", F.coalesce(lang_col, F.lit("")).alias("g_lang"), F.coalesce(source_col, F.lit("")).alias("g_source"), *_vector()))
+def _grouped(stats: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+    return stats.select("*", F.coalesce(lang_col, F.lit("")).alias("g_lang"), F.coalesce(source_col, F.lit("")).alias("g_source"), *_vector())
+
+
+def _fit(rows: DataFrame) -> DataFrame:
+    """The last estimate of each group from rows that pass the base rule."""
     passed = rows.where("not base_failed").select(*_GROUP, *STATS)
     estimate = saved(_start(passed))
     for step in range(STEPS):
         estimate = saved(_concentrate(passed, estimate, CONSISTENT if step == STEPS - 1 else 1.0))
+    return estimate
+
+
+def _judged(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     out = rows.join(small(estimate), _GROUP, "left").withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return out.withColumn("kept", kept).select(*stats.columns, *STATS, "distance", "kept")
+    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
+
+
+def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source"), lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """text_statistics with distance (null: no estimate) and kept."""
+    stats = text_statistics(docs, text_col, tuple(dict.fromkeys((*keep, lang_col, source_col))))
+    rows = saved(_grouped(stats, lang_col, source_col))
+    return _judged(rows, _fit(rows)).select(*stats.columns, *STATS, "distance", "kept")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs that judge keeps, with their columns.
+
+    Statistics are taken twice, once to fit and once to filter in place; that is cheaper
+    than to send texts through a shuffle to meet their verdicts.
+    """
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"), docs[lang_col].alias("lang"), docs[source_col].alias("source"))
+    narrow = _grouped(text_statistics(whole, "text", ("lang", "source")), "lang", "source")
+    estimate = _fit(saved(narrow.select(*_GROUP, *STATS, "base_failed")))
+    rows = _grouped(text_statistics(whole, "text", ("row", "lang", "source")), "lang", "source")
+    return _judged(rows, estimate).where("kept").select("row.*")

@@ -182,14 +182,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return read.mapInArrow(run, f"id {kind}, spans {_SPAN_SQL}").withColumnRenamed("id", id_col)
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with the values of all secrets replaced by mark; other columns and null texts stay as they are."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
+    """docs with the values of all secrets replaced by mark and, if named, the column of lengths taken anew; null texts and other columns stay as they are."""
 
     @F.pandas_udf("string")
     def clean(texts):
         return texts.map(lambda t: t if t is None else redacted(t, scan(t), mark))
 
-    return docs.withColumn(text_col, clean(docs[text_col]))
+    out = docs.withColumn(text_col, clean(docs[text_col]))
+    return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out
 
 
 def joined(spans: Column) -> Column:
