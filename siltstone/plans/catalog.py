@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import text_queries, url_queries
+from siltstone.plans import state_queries, text_queries, url_queries
 
-FAMILIES = [url_queries.family, text_queries.family]
+FAMILIES = [url_queries.family, text_queries.family, state_queries.family]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
