@@ -1,19 +1,18 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
 1. Spark splits texts into words (pre-tokens) and cuts its rows into chunks of
-   about ``CHUNK`` characters.  A chunk keeps, for each row, the positions of its
+   about ``CHUNK`` characters.  A chunk keeps, for each row, the places of its
    words in the chunk's own list of distinct words.
-2. Only these lists are shuffled by word.  There equal words are neighbours, so each
-   distinct word of the corpus is encoded once; every row of the list takes
-   the ids along.  A word that is in every text has a row a chunk, not one an
-   occurrence.
-3. Lists return to their chunks and ids are joined back by position.
+2. The lists are dealt to ``BUCKETS`` by a hash of the word, a packed block for each
+   chunk and bucket, and shuffled.  A bucket is a part of the distinct-word table: it
+   encodes each of its words once, whichever chunks have it, and answers each block with
+   ids.  A word that is in every text costs one entry a chunk, not one an occurrence.
+3. Blocks return to their chunks and ids are joined back by position.
 4. Decoding joins ids with the pieces of the vocabulary, whose size is fixed by the
    tokenizer file (50,257 pieces, under 1 MB), and concatenates pieces by position.
 
-Chunks are numbered by input partition and place in it.  Both branches of the plan
-split the same scan; a chunk knows how many words it must get back, and the job
-fails rather than return a text with words missing.
+A task holds one chunk, or one bucket's words: the number of buckets is a parameter and
+grows with the vocabulary of the corpus (1,024 suit up to 10**9 distinct words).
 
 The vocabulary file's path is a parameter and each worker opens it; the file must
 be at that path on every machine.
@@ -30,10 +29,12 @@ import os
 import pickle
 import re
 import sys
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, chain, count
 from unicodedata import category
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from siltstone.llm.shared import saved
 
 CHUNK = 24_000_000
-_WORDS = "chunk long, place int, word string"
-_PARTS = "chunk long, place int, payload binary"
+BUCKETS = 1024
+_PARTS = "chunk long, bucket int, payload binary"  # a chunk's own row has bucket -1
 #: The splitting rule of this family of vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -80,17 +81,28 @@ def _unassigned():
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]").search
 
 
+def _latin_pattern() -> re.Pattern:
+    """PATTERN with classes cut down to the first 256 characters, which all tables agree on."""
+    kind = lambda k: "".join(f"\\x{i:02x}" for i in range(256) if category(chr(i)).startswith(k))
+    space = r"\t-\r\x20\x85\xa0"
+    return re.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{kind('L')}{kind('N')}]").replace(r"\p{L}", f"[{kind('L')}]").replace(r"\p{N}", f"[{kind('N')}]").replace(r"(?!\S)", f"(?![^{space}])").replace(r"\s", f"[{space}]"))
+
+
 @cache
 def _splitter(path: str):
     import regex
 
-    rule, fast, odd = tokenizer(path).pre_tokenizer, regex.compile(PATTERN).findall, _unassigned()
+    rule, fast, latin, odd = tokenizer(path).pre_tokenizer, regex.compile(PATTERN).findall, _latin_pattern().findall, _unassigned()
     special = sorted((t.content for t in tokenizer(path).get_added_tokens_decoder().values()), key=len, reverse=True)
 
     def words(text: str) -> list[str]:
-        if not text.isascii() and odd(text):  # the library's own, slower splitting
-            return [text[a:b] for _, (a, b) in rule.pre_tokenize_str(text)]
-        return fast(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            if odd(text):  # the library's own, slower splitting
+                return [text[a:b] for _, (a, b) in rule.pre_tokenize_str(text)]
+            return fast(text)
+        return latin(text)
 
     if not special:
         return words
@@ -112,102 +124,118 @@ def split(text: str, path: str) -> list[str]:
     return _splitter(path)(text)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[int, dict[str, int], list[pa.Array], list[np.ndarray]]]:
-    """(number, distinct words with their places, ids, places of each row's words)."""
-    seen: dict[str, int] = {}
-    ids: list[pa.Array] = []
-    rows: list[np.ndarray] = []
-    size, number, splitter = 0, 0, _splitter(path)
-    part = 0
-    for batch in batches:
-        if not len(batch):
-            continue
-        part = batch.column("part")[0].as_py()
-        texts = batch.column("text")
-        begin = 0
-        for i in range(len(batch)):
-            text = texts[i].as_py() or ""
-            found = splitter(text)
-            for w in found:
-                if w not in seen:
-                    seen[w] = len(seen)
-            rows.append(np.fromiter(map(seen.__getitem__, found), np.uint32, len(found)))
-            size += len(text)
-            if size >= CHUNK:
-                ids.append(batch.column("id").slice(begin, i + 1 - begin))
-                yield (part << 24) + number, seen, ids, rows
-                seen, ids, rows, size, number, begin = {}, [], [], 0, number + 1, i + 1
-        if begin < len(batch):
-            ids.append(batch.column("id").slice(begin))
-    if rows:
-        yield (part << 24) + number, seen, ids, rows
-
-
-def _word_lists(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, seen, _, _ in _chunks(batches, path):
-            words, n = list(seen), len(seen)
-            for i in range(0, n, 100_000):
-                some = words[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(np.arange(i, i + len(some), dtype=np.int32)), pa.array(some, pa.string())], ["chunk", "place", "word"])
-
-    return run
-
+def _pack(values: np.ndarray) -> bytes:
+    """Integers with their first, second, ... bytes together, compressed."""
+    planes = values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return pickle.dumps((len(planes), pa.Codec("zstd", 3).compress(planes, asbytes=True)))
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    size, planes = pickle.loads(packed)
+    if not size:
+        return np.zeros(0, np.uint32)
+    return np.ascontiguousarray(np.frombuffer(pa.Codec("zstd").decompress(planes, size), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
+
+
+def _split_chunks(path: str):
+    """Rows of (chunk, bucket, payload): the words of a chunk by bucket, and its own row."""
+
+    def finish(number: int, seen: dict[str, int], ids: list[pa.Array], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        words = list(seen)
+        bucket = np.fromiter((crc32(w.encode()) for w in words), np.uint32, len(words)) % BUCKETS
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        chunk, name, payload = [], [], []
+        for b in range(BUCKETS):
+            if ends[b] < ends[b + 1]:
+                block = pickle.dumps([words[i] for i in order[ends[b] : ends[b + 1]].tolist()])
+                name.append(b)
+                payload.append(pickle.dumps((len(block), pa.Codec("zstd", 3).compress(block, asbytes=True))))
+        table = pa.table({"id": pa.chunked_array(ids), "n": pa.array([len(r) for r in rows], pa.int64())}).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        name.append(-1)
+        payload.append(pickle.dumps((_pack(bucket), sink.getvalue().to_pybytes(), _pack(np.concatenate(rows)))))
+        chunk = np.full(len(name), number)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(name, pa.int32()), pa.array(payload, pa.binary())], ["chunk", "bucket", "payload"])
 
-def _row_places(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, seen, ids, rows in _chunks(batches, path):
-            table = pa.table({"id": pa.chunked_array(ids), "n": pa.array([len(r) for r in rows], pa.int64())}).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema) as out:
-                out.write_table(table)
-            planes = np.concatenate(rows).view(np.uint8).reshape(-1, 4).T.tobytes()  # like bytes together pack better
-            blob = pickle.dumps((len(seen), sink.getvalue().to_pybytes(), len(planes), pa.Codec("zstd", 1).compress(planes, asbytes=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([blob], pa.binary())], ["chunk", "place", "payload"])
+        fresh = lambda: defaultdict(count().__next__)  # noqa: E731  a new word gets the next place
+        seen, ids, rows, size, number, part = fresh(), [], [], 0, 0, 0
+        splitter = _splitter(path)
+        for batch in batches:
+            if not len(batch):
+                continue
+            part = batch.column("part")[0].as_py()
+            begin = 0
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                found = splitter(text or "")
+                rows.append(np.fromiter(map(seen.__getitem__, found), np.uint32, len(found)))
+                size += len(text or "")
+                if size >= CHUNK:
+                    ids.append(batch.column("id").slice(begin, i + 1 - begin))
+                    yield from finish((part << 24) + number, seen, ids, rows)
+                    seen, ids, rows, size, number, begin = fresh(), [], [], 0, number + 1, i + 1
+            if begin < len(batch):
+                ids.append(batch.column("id").slice(begin))
+        if rows:
+            yield from finish((part << 24) + number, seen, ids, rows)
 
     return run
 
 
-def _encode_words(path: str):
-    """Rows sorted by word: ids (4 bytes each) of each run of equal words, found once."""
+def _encode_buckets(path: str):
+    """Rows sorted by bucket: blocks of words become blocks of ids; each distinct word of a bucket is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
-        last, last_ids = None, b""
+        bucket, known = None, {}
         for batch in batches:
-            if not len(batch):
-                continue
-            coded = batch.column("word").dictionary_encode()
-            words = coded.dictionary.to_pylist()
-            new = [w for w in words if w != last]
-            got = {} if len(new) == len(words) else {last: last_ids}
-            for w, e in zip(new, model.encode_batch(new, add_special_tokens=False), strict=True):
-                got[w] = np.array(e.ids, np.int32).tobytes()
-            payload = pa.array([got[w] for w in words], pa.binary()).take(coded.indices)
-            last = batch.column("word")[len(batch) - 1].as_py()
-            last_ids = got[last]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("place"), payload], ["chunk", "place", "payload"])
+            out = []
+            for b, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
+                if b < 0:
+                    out.append(payload.as_py())
+                    continue
+                if b != bucket:
+                    bucket, known = b, {}
+                size, block = pickle.loads(payload.as_py())
+                words = pickle.loads(pa.Codec("zstd").decompress(block, size))
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (e.ids for e in model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+                ids = list(map(known.__getitem__, words))
+                lens = np.fromiter(map(len, ids), np.uint32, len(ids))
+                out.append(pickle.dumps((_pack(lens), _pack(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))))))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(out, pa.binary())], ["chunk", "bucket", "payload"])
 
     return run
 
 
 def _join_back(path: str):
-    """Rows sorted by (chunk, place), a chunk's positions first: ids and decoded text of each row."""
+    """Rows sorted by (chunk, bucket), a chunk's own row first: ids and decoded text of each text."""
 
-    def assemble(blob: bytes, coded: list[bytes]) -> Iterator[pa.RecordBatch]:
-        n_words, table, size, packed = pickle.loads(blob)
-        if n_words != len(coded):
-            raise RuntimeError(f"a chunk has {n_words} distinct words, but {len(coded)} came back")
+    def assemble(own: bytes, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        bucket, table, places = pickle.loads(own)
+        bucket, places = _unpack(bucket), _unpack(places)
         table = pa.ipc.open_stream(table).read_all().combine_chunks()
-        planes = np.frombuffer(pa.Codec("zstd").decompress(packed, size), np.uint8)
-        places = np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view(np.uint32)
+        parts = [tuple(map(_unpack, pickle.loads(x))) for x in blocks]
+        none = np.zeros(0, np.uint32)
+        got = np.concatenate([none, *(p[0] for p in parts)]).astype(np.int64)
+        flat = np.concatenate([none, *(p[1] for p in parts)]).astype(np.int32)
+        del parts
+        if len(got) != len(bucket):
+            raise RuntimeError(f"a chunk has {len(bucket)} distinct words, but {len(got)} came back")
+        order = np.argsort(bucket, kind="stable")  # blocks hold words in this order of places
+        edges = np.concatenate(([0], np.cumsum(got)))
         piece = pieces(path)
-        flat = np.frombuffer(b"".join(coded), np.int32)
-        lens = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        begin = np.concatenate(([0], np.cumsum(lens)))
         spelled = list(map(piece.__getitem__, flat.tolist()))
-        decoded = [b"".join(spelled[a:b]) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        bounds = edges.tolist()
+        decoded: list[bytes] = [b""] * len(order)
+        for j, place in enumerate(order.tolist()):
+            decoded[place] = b"".join(spelled[bounds[j] : bounds[j + 1]])
         del spelled
+        lens, begin = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        lens[order], begin[order] = got, edges[:-1]
         counts = table.column("n").to_numpy()
         at = [0, *accumulate(counts.tolist())]
         step = 0
@@ -215,34 +243,32 @@ def _join_back(path: str):
             stop = step + 1
             while stop < len(counts) and at[stop + 1] - at[step] < 500_000:
                 stop += 1
-            own = places[at[step] : at[stop]]
-            n = lens[own]
-            shift = np.repeat(begin[own] - np.concatenate(([0], np.cumsum(n)))[:-1], n)
+            here = places[at[step] : at[stop]]
+            n = lens[here]
+            ends = np.concatenate(([0], np.cumsum(n)))
+            shift = np.repeat(begin[here] - ends[:-1], n)
             ids = flat[np.arange(len(shift)) + shift]
-            edges = np.concatenate(([0], np.cumsum(n)))[np.array(at[step : stop + 1]) - at[step]]
-            names = own.tolist()
+            lists = pa.ListArray.from_arrays(pa.array(ends[np.array(at[step : stop + 1]) - at[step]].astype(np.int32)), pa.array(ids))
+            names = here.tolist()
             texts = [b"".join(map(decoded.__getitem__, names[at[i] - at[step] : at[i + 1] - at[step]])).decode("utf-8", "replace") for i in range(step, stop)]
-            lists = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids))
             id_ = table.column("id").slice(step, stop - step).combine_chunks()
             yield pa.RecordBatch.from_arrays([id_ if isinstance(id_, pa.Array) else pa.concat_arrays(id_.chunks), lists, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
             step = stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, blob, coded = None, b"", []
+        chunk, own, blocks = None, b"", []
         for batch in batches:
-            names, payload = batch.column("chunk").to_pylist(), batch.column("payload").to_pylist()
-            place = batch.column("place").to_pylist()
-            for c, p, x in zip(names, place, payload, strict=True):
+            for c, b, x in zip(batch.column("chunk").to_pylist(), batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
                 if c != chunk:
                     if chunk is not None:
-                        yield from assemble(blob, coded)
-                    chunk, blob, coded = c, b"", []
-                if p < 0:
-                    blob = x
+                        yield from assemble(own, blocks)
+                    chunk, own, blocks = c, b"", []
+                if b < 0:
+                    own = x.as_py()
                 else:
-                    coded.append(x)
+                    blocks.append(x.as_py())
         if chunk is not None:
-            yield from assemble(blob, coded)
+            yield from assemble(own, blocks)
 
     return run
 
@@ -251,10 +277,10 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """One row per row of docs: id, ids (array of int) and decoded, the text that these ids spell."""
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.spark_partition_id().cast("long").alias("part"))
-    words = read.mapInArrow(_word_lists(path), _WORDS)
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(path), _PARTS)
-    both = coded.unionByName(read.mapInArrow(_row_places(path), _PARTS))
-    out = both.repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(_join_back(path), f"id {kind}, ids array<int>, decoded string")
+    # a chunk's own row only passes through; its second key spreads these rows
+    dealt = read.mapInArrow(_split_chunks(path), _PARTS).repartition(F.when(F.col("bucket") < 0, F.hash("chunk")).otherwise(F.col("bucket")))
+    coded = dealt.sortWithinPartitions("bucket").mapInArrow(_encode_buckets(path), _PARTS)
+    out = coded.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_join_back(path), f"id {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 
