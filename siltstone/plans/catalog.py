@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import state_queries, text_queries, url_queries
+from siltstone.plans import event_queries, relational_queries, report_queries, state_queries, text_queries, url_queries
 
-FAMILIES = [url_queries.family, text_queries.family, state_queries.family]
+FAMILIES = [url_queries.family, text_queries.family, state_queries.family, event_queries.family, relational_queries.family, report_queries.family]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """Crawl-corpus quality report: pages by category, without repeated content, with average scores and the best page."""
+    return report_queries.corpus_report(spark, sf_dir)
 
 
 def queries() -> dict:
