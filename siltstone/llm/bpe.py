@@ -127,7 +127,7 @@ def split(text: str, path: str) -> list[str]:
 def _pack(values: np.ndarray) -> bytes:
     """Integers with their first, second, ... bytes together, compressed."""
     planes = values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes()
-    return pickle.dumps((len(planes), pa.Codec("zstd", 3).compress(planes, asbytes=True)))
+    return pickle.dumps((len(planes), pa.Codec("zstd", 9).compress(planes, asbytes=True)))
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -141,7 +141,13 @@ def _split_chunks(path: str):
     """Rows of (chunk, bucket, payload): the words of a chunk by bucket, and its own row."""
 
     def finish(number: int, seen: dict[str, int], ids: list[pa.Array], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        # places in order of how often a word occurs, as small numbers pack better
+        places = np.concatenate(rows)
+        common = np.argsort(-np.bincount(places, minlength=len(seen)), kind="stable")
+        rank = np.empty(len(common), np.uint32)
+        rank[common] = np.arange(len(common), dtype=np.uint32)
         words = list(seen)
+        words = [words[i] for i in common.tolist()]
         bucket = np.fromiter((crc32(w.encode()) for w in words), np.uint32, len(words)) % BUCKETS
         order = np.argsort(bucket, kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
@@ -150,13 +156,13 @@ def _split_chunks(path: str):
             if ends[b] < ends[b + 1]:
                 block = pickle.dumps([words[i] for i in order[ends[b] : ends[b + 1]].tolist()])
                 name.append(b)
-                payload.append(pickle.dumps((len(block), pa.Codec("zstd", 3).compress(block, asbytes=True))))
+                payload.append(pickle.dumps((len(block), pa.Codec("zstd", 9).compress(block, asbytes=True))))
         table = pa.table({"id": pa.chunked_array(ids), "n": pa.array([len(r) for r in rows], pa.int64())}).combine_chunks()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, table.schema) as out:
             out.write_table(table)
         name.append(-1)
-        payload.append(pickle.dumps((_pack(bucket), sink.getvalue().to_pybytes(), _pack(np.concatenate(rows)))))
+        payload.append(pickle.dumps((_pack(bucket), sink.getvalue().to_pybytes(), _pack(rank[places]))))
         chunk = np.full(len(name), number)
         yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(name, pa.int32()), pa.array(payload, pa.binary())], ["chunk", "bucket", "payload"])
 
