@@ -11,7 +11,7 @@ sequence).  Rows are linked when 100 * intersection >= threshold * union.
 3. ``ROWS`` bins make a band.  The class of a bucket that meets most others, in
    all its buckets, is its hub (the original of a family of copies, as a rule), and
    candidates are the edges from hub to members: a star, not all pairs.  At a
-   similarity of 0.8 a pair meets in no bucket with a chance of 4e-7.
+   similarity of 0.8 a pair meets in no bucket with a chance of 3e-7.
 4. Edges are confirmed on full sets in three turns: each class with
    its most frequent hub; then the star edges between different components;
    then, so that no link is lost to a star whose hub differs from both ends,
@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siltstone.llm import words as W
 from siltstone.llm.graph import components
-from siltstone.llm.shared import row_key, saved
+from siltstone.llm.shared import row_key, saved, small
 
-ROWS, BANDS = 8, 80
+ROWS, BANDS = 7, 64
 BINS = ROWS * BANDS
 _TRIES = 48
 _EMPTY = np.iinfo(W.U).max
@@ -178,7 +178,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = saved(met.join(hubs, "key").select("key", "hub", "cid"))
     stars = saved(members.where("cid <> hub").groupBy("hub", "cid").agg(F.count("*").alias("shared")))
     wanted = stars.select("cid").union(stars.select("hub")).distinct().join(classes.select("cid", "rid", "sa", "sb"), "cid")
-    texts = read.where("id is not null").select("rid", "text").join(wanted, "rid").select("cid", "sa", "sb", "text")
+    texts = read.where("id is not null").select("rid", "text").join(small(saved(wanted)), "rid").select("cid", "sa", "sb", "text")
     full = saved(texts.mapInArrow(_full_sets(k), "cid long, n long, shingles array<long>").dropDuplicates(["cid"]))
 
     best = stars.groupBy("cid").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
