@@ -1 +1 @@
-"""Part of Siltstone."""
+"""Structured Streaming counterparts of the batch operators."""
