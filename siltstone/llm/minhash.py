@@ -176,19 +176,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = saved(met.join(known, "cid").select("key", "cid", "met"))
     hubs = met.groupBy("key").agg(F.max_by("cid", F.struct("met", -F.col("cid"))).alias("hub"))
     members = saved(met.join(hubs, "key").select("key", "hub", "cid"))
-    stars = saved(members.where("cid <> hub").groupBy("hub", "cid").agg(F.count("*").alias("shared")))
+    stars = saved(members.where("cid <> hub").groupBy("hub", "cid").agg(F.count("*").alias("shared")), few=True)
     wanted = stars.select("cid").union(stars.select("hub")).distinct().join(classes.select("cid", "rid", "sa", "sb"), "cid")
-    texts = read.where("id is not null").select("rid", "text").join(small(saved(wanted)), "rid").select("cid", "sa", "sb", "text")
-    full = saved(texts.mapInArrow(_full_sets(k), "cid long, n long, shingles array<long>").dropDuplicates(["cid"]))
+    texts = read.where("id is not null").select("rid", "text").join(small(saved(wanted, few=True)), "rid").select("cid", "sa", "sb", "text")
+    full = saved(texts.mapInArrow(_full_sets(k), "cid long, n long, shingles array<long>").dropDuplicates(["cid"]), few=True)
 
     best = stars.groupBy("cid").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
-    links = saved(_linked(best, full, threshold))
-    roots = saved(components(links))
+    links = saved(_linked(best, full, threshold), few=True)
+    roots = saved(components(links), few=True)
     for pairs in (_between_stars, _between_members):
-        more = saved(_linked(pairs(stars, members, roots, full, threshold), full, threshold))
+        more = saved(_linked(pairs(stars, members, roots, full, threshold), full, threshold), few=True)
         if not more.isEmpty():
             links = links.unionByName(more)
-            roots = saved(components(links))
+            roots = saved(components(links), few=True)
     return _labelled(rows, classes, roots, id_col)
 
 
@@ -220,7 +220,7 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     h, x = (full.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}")) for c in ("hub", "cid"))
     away = under.join(x, "cid").join(h, "hub").select("hub", "cid", "root", "nhub", F.array_except("scid", "shub").alias("more"), F.array_except("shub", "scid").alias("less"))
     w, c = 100 * F.size("less") + threshold * F.size("more"), (100 - threshold) * F.col("nhub")
-    away = saved(away.withColumn("w", w).withColumn("spare", F.col("w") - c))
+    away = saved(away.withColumn("w", w).withColumn("spare", F.col("w") - c), few=True)
     nearest = away.groupBy("hub").agg(F.min("w").alias("least"), F.min(F.when(F.col("spare") > 0, F.col("spare"))).alias("beyond"))
     away = away.join(nearest, "hub")
     listed = F.concat(F.transform("more", lambda t: F.xxhash64(t)), F.transform("less", lambda t: F.xxhash64(F.lit(1), t)))

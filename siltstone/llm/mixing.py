@@ -78,7 +78,7 @@ def weights(rows: DataFrame, target: str = "repetition", value: float = 2.0, bud
         raise ValueError(f"no such target: {target}")
     totals = rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("total"))
     whole = F.sum("total").over(Window.partitionBy())
-    totals = saved(totals.withColumn("share", F.when(whole > 0, F.col("total") / whole).otherwise(F.lit(0.0))))
+    totals = saved(totals.withColumn("share", F.when(whole > 0, F.col("total") / whole).otherwise(F.lit(0.0))), few=True)
     if target == "entropy":
         value *= math.log(max(totals.where("share > 0").count(), 1))
     a = exponent(totals, target, value, budget)
@@ -97,7 +97,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     The mix is read in order of (block, position); position counts from 0 in each block.
     """
     rows = saved(units(docs, id_col, text_col, source_col))
-    table = saved(weights(rows, target, value, budget))
+    table = saved(weights(rows, target, value, budget), few=True)
     blocks = table.agg(F.greatest(F.lit(1), F.ceil(F.sum("tokens_budget") / block_tokens))).first()[0] or 1
 
     whole = F.when(F.col("total") > 0, F.floor(F.col("tokens_budget") / F.col("total"))).otherwise(F.lit(1))
@@ -109,7 +109,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     cells = used.groupBy("source", "pass", "cell").agg(F.sum("cost").alias("cost"))
     cells = cells.select("source", "pass", "cell", (F.sum("cost").over(Window.partitionBy("source", "pass").orderBy("cell")) - F.col("cost")).alias("earlier"))
-    used = used.join(small(saved(cells)), ["source", "pass", "cell"])
+    used = used.join(small(saved(cells, few=True)), ["source", "pass", "cell"])
     inside = Window.partitionBy("source", "pass", "cell").orderBy("order", "id", "key").rowsBetween(Window.unboundedPreceding, -1)
     used = used.withColumn("before", F.col("earlier") + F.coalesce(F.sum("cost").over(inside), F.lit(0)))
 
@@ -128,11 +128,11 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs as the plan uses them, each block's rows together and in order; the columns of docs."""
     uses = plan(docs, id_col, text_col, source_col, **options)
-    uses = uses.groupBy("key").agg(F.collect_list(F.struct("copy", "block", "position")).alias("_uses"))
+    uses = uses.groupBy(F.col("key").alias("_use_key")).agg(F.collect_list(F.struct("copy", "block", "position")).alias("_uses"))
     keyed = docs.withColumn("_key", row_key(docs[id_col], docs[source_col], docs[text_col]))
-    out = keyed.join(uses, keyed["_key"] == uses["key"])
-    same = Window.partitionBy("key").orderBy(docs[id_col])
+    out = keyed.join(uses, keyed["_key"] == uses["_use_key"])
+    same = Window.partitionBy("_key").orderBy("_key")
     out = out.withColumn("_copy", F.row_number().over(same))
     out = out.withColumn("_use", F.explode(F.filter("_uses", lambda u: u["copy"] == F.col("_copy"))))
     out = out.withColumn("_block", F.col("_use.block")).withColumn("_position", F.col("_use.position"))
-    return out.repartition("_block").sortWithinPartitions("_block", "_position").select(*docs.columns)
+    return out.repartition("_block").sortWithinPartitions("_block", "_position").select(*[F.col(f"`{c}`") for c in docs.columns])

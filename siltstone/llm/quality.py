@@ -147,9 +147,9 @@ def _grouped(stats: DataFrame, lang_col: str, source_col: str) -> DataFrame:
 def _fit(rows: DataFrame) -> DataFrame:
     """The last estimate of each group from rows that pass the base rule."""
     passed = rows.where("not base_failed").select(*_GROUP, *STATS)
-    estimate = saved(_start(passed))
+    estimate = saved(_start(passed), few=True)
     for step in range(STEPS):
-        estimate = saved(_concentrate(passed, estimate, CONSISTENT if step == STEPS - 1 else 1.0))
+        estimate = saved(_concentrate(passed, estimate, CONSISTENT if step == STEPS - 1 else 1.0), few=True)
     return estimate
 
 

@@ -42,7 +42,7 @@ _SENSITIVE = {
 }
 #: Parts that, at the end of a name, say that its value only describes a secret.
 _HARMLESS = {"id", "name", "url", "uri", "path", "file", "type", "length", "count", "ttl", "expiry", "policy", "hint", "field", "label", "public", "header", "regex", "pattern", "prefix"}
-_PLACEHOLDER = re.compile(r"example|changeme|change_me|placeholder|redacted|your[_-]|dummy|x{4,}|\*{3,}|^<.*>$|^\$\{|^%\(", re.I | re.A)
+_PLACEHOLDER = re.compile(r"example|changeme|change_me|placeholder|redacted|your[_-]|dummy|x{4,}|\*{3,}|^<.*>$|^\[.*\]$|^\$\{|^%\(", re.I | re.A)
 
 _LEFT = re.compile(r"""([A-Za-z_$][A-Za-z0-9_$.\-]*)["'\]]*[ \t]*$""")
 _MARK = re.compile(r":=|=>|={1,3}|:{1,2}|[!<>+*/%&|^-]=")

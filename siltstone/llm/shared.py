@@ -20,10 +20,15 @@ def _shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that all executors share; Spark removes it when it is no longer used."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def saved(df: DataFrame, few: bool = False) -> DataFrame:
+    """df computed once and kept in the folder that all executors share; Spark removes it when it is no longer used.
+
+    few: for tables that are much smaller than the corpus, as many files as keep all cores busy
+    are enough, however many partitions shuffles have.
+    """
+    spark = df.sparkSession
+    _shared_folder(spark)
+    return (df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df).checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:

@@ -92,11 +92,11 @@ def tree(rows: DataFrame, inner: int, outer: int) -> list[DataFrame]:
     end = F.col("start") + F.col("length")
     levels = [rows.select("archive", F.col("place").cast("long").alias("node"), "start", end.alias("end"), F.concat_ws("*", "digest", "copies").alias("digest"))]
     for _ in range(inner):
-        levels.append(saved(_parents(levels[-1])))
+        levels.append(saved(_parents(levels[-1]), few=True))
     number = F.col("archive")
     levels.append(levels[-1].select(F.lit(0).cast("long").alias("archive"), number.alias("node"), number.alias("start"), number.alias("end"), "digest"))
     for _ in range(outer):
-        levels.append(saved(_parents(levels[-1])))
+        levels.append(saved(_parents(levels[-1]), few=True))
     return levels
 
 
@@ -119,13 +119,13 @@ def audit(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[int]]:
     """Records that differ between two tables of records, (archive, place, fault), and the number of unequal nodes by level, from the root down."""
     inner, outer = heights(a, b)
     left, right = tree(a, inner, outer), tree(b, inner, outer)
-    suspect = saved(_differ(left[-1], right[-1]))
+    suspect = saved(_differ(left[-1], right[-1]), few=True)
     unequal = [suspect.count()]
     for k in range(len(left) - 2, -1, -1):
         if not unequal[-1]:
             break
         of_archives = k == inner
-        suspect = saved(_differ(_children(left[k], suspect, of_archives), _children(right[k], suspect, of_archives)))
+        suspect = saved(_differ(_children(left[k], suspect, of_archives), _children(right[k], suspect, of_archives)), few=True)
         unequal.append(suspect.count())
     return suspect.select("archive", F.col("node").alias("place"), "fault"), unequal
 
