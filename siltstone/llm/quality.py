@@ -155,7 +155,8 @@ def _fit(rows: DataFrame) -> DataFrame:
 
 def _judged(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     out = rows.join(small(estimate), _GROUP, "left").withColumn("distance", _distance())
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)))
+    # one expression over both sides of the join: as two conditions, a filter's first would be pushed down and every count taken again for it
+    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))))
 
 
 def judge(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source"), lang_col: str = "lang", source_col: str = "source") -> DataFrame:

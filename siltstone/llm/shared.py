@@ -55,7 +55,10 @@ def row_key(*columns: Column | str) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, in as many partitions as there are cores at least: a small one that is a single file would keep one core busy."""
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if out._jdf.queryExecution().toRdd().getNumPartitions() < cores else out
 
 
 def fresh(df: DataFrame, *wanted: str) -> DataFrame:
