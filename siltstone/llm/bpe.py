@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltstone.llm.shared import saved
+from siltstone.llm.shared import lean, saved
 
 CHUNK = 24_000_000
 BUCKETS = 1024
@@ -284,9 +284,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.spark_partition_id().cast("long").alias("part"))
     # a chunk's own row only passes through; its second key spreads these rows
-    dealt = read.mapInArrow(_split_chunks(path), _PARTS).repartition(F.when(F.col("bucket") < 0, F.hash("chunk")).otherwise(F.col("bucket")))
-    coded = dealt.sortWithinPartitions("bucket").mapInArrow(_encode_buckets(path), _PARTS)
-    out = coded.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(_join_back(path), f"id {kind}, ids array<int>, decoded string")
+    dealt = read.mapInArrow(lean(_split_chunks(path)), _PARTS).repartition(F.when(F.col("bucket") < 0, F.hash("chunk")).otherwise(F.col("bucket")))
+    coded = dealt.sortWithinPartitions("bucket").mapInArrow(lean(_encode_buckets(path)), _PARTS)
+    out = coded.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(lean(_join_back(path)), f"id {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 

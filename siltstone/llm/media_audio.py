@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm import words as W
+from siltstone.llm.shared import lean
 
 RATE = 20_000  # samples a second of the stored sound
 UP, DOWN = 2, 5  # polyphase ratio: 20 kHz to 8 kHz
@@ -176,7 +177,7 @@ def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row: id, n_bytes, media (WAV), n_frames, segments (time spans), tensors (Arrow IPC stream)."""
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    out = read.mapInArrow(_rows, f"id {kind}, n_bytes long, media binary, n_frames long, segments array<struct<start_s:double,end_s:double>>, tensors binary")
+    out = read.mapInArrow(lean(_rows), f"id {kind}, n_bytes long, media binary, n_frames long, segments array<struct<start_s:double,end_s:double>>, tensors binary")
     return out.withColumnRenamed("id", id_col)
 
 

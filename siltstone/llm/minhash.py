@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from siltstone.llm import words as W
 from siltstone.llm.graph import components
-from siltstone.llm.shared import row_key, saved, small
+from siltstone.llm.shared import lean, row_key, saved, small
 
 ROWS, BANDS = 7, 64
 BINS = ROWS * BANDS
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id, n_shingles, component_id (least id reachable), kept (id = component_id)."""
     read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("rid", row_key("id", "text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = saved(read.mapInArrow(_sketches(k), f"id {kind}, rid long, n long, sa long, sb long, bands array<long>"))
+    rows = saved(read.mapInArrow(lean(_sketches(k)), f"id {kind}, rid long, n long, sa long, sb long, bands array<long>"))
     classes = saved(
         rows.where("n > 0 and id is not null").groupBy("sa", "sb").agg(F.min("id").alias("label"), F.min("rid").alias("rid"), F.first("bands").alias("bands")).withColumn("cid", F.monotonically_increasing_id())
     )
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = saved(members.where("cid <> hub").groupBy("hub", "cid").agg(F.count("*").alias("shared")), few=True)
     wanted = stars.select("cid").union(stars.select("hub")).distinct().join(classes.select("cid", "rid", "sa", "sb"), "cid")
     texts = read.where("id is not null").select("rid", "text").join(small(saved(wanted, few=True)), "rid").select("cid", "sa", "sb", "text")
-    full = saved(texts.mapInArrow(_full_sets(k), "cid long, n long, shingles array<long>").dropDuplicates(["cid"]), few=True)
+    full = saved(texts.mapInArrow(lean(_full_sets(k)), "cid long, n long, shingles array<long>").dropDuplicates(["cid"]), few=True)
 
     best = stars.groupBy("cid").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
     links = saved(_linked(best, full, threshold), few=True)

@@ -25,6 +25,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siltstone.llm.shared import lean
+
 THRESHOLD = 0.6
 KINDS = ("assign", "access", "hex", "lexed")
 
@@ -179,7 +181,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return read.mapInArrow(run, f"id {kind}, spans {_SPAN_SQL}").withColumnRenamed("id", id_col)
+    return read.mapInArrow(lean(run), f"id {kind}, spans {_SPAN_SQL}").withColumnRenamed("id", id_col)
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", length_col: str | None = None) -> DataFrame:

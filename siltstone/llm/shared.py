@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Sides up to this many rows (of fixed width) may be broadcast after counting them.
@@ -64,3 +69,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fresh(df: DataFrame, *wanted: str) -> DataFrame:
     """Only the columns an operator works on, so extra ones with any names do no harm."""
     return df.select(*[df[c] for c in wanted])
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, giving memory back to the system at the end of each task, as Spark keeps its Python workers for later ones."""
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a C library without it keeps its memory
+            if trim:
+                trim(0)
+
+    return task

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm import words as W
-from siltstone.llm.shared import row_key
+from siltstone.llm.shared import lean, row_key
 
 PREFIX = 8
 _BITS = 24
@@ -212,8 +212,8 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_runs(docs: DataFrame, key: tuple[Column, Column], text: Column, window: int = 35) -> DataFrame:
     """(rid, rid2, start, run): runs of window starts, counted in words from 0, whose windows repeat."""
     read = docs.select(key[0].alias("rid"), key[1].alias("rid2"), text.alias("text"))
-    suffixes = read.mapInArrow(_suffixes(window, min(PREFIX, window)), SUFFIXES)
-    return suffixes.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_subtrees, RUNS)
+    suffixes = read.mapInArrow(lean(_suffixes(window, min(PREFIX, window))), SUFFIXES)
+    return suffixes.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(lean(_subtrees), RUNS)
 
 
 def _removed(window: int):
@@ -252,5 +252,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = docs.select(id_.alias("id"), text.alias("text"), key[0].alias("rid"), key[1].alias("rid2"))
     joined = read.join(runs.hint("shuffle_hash"), ["rid", "rid2"], "left").select("id", "text", "runs")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInArrow(_removed(window), f"id {kind}, n_words long, n_removed long, kept_text string")
+    out = joined.mapInArrow(lean(_removed(window)), f"id {kind}, n_words long, n_removed long, kept_text string")
     return out.withColumnRenamed("id", id_col)
