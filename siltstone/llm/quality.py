@@ -15,7 +15,9 @@ rows costs no more than others, and integer sums make the result the same for an
 partitioning.  The share is met by whole bins (1/16 of a natural log of 1 + distance).
 
 Variances have a floor (``FLOOR``), as most clean texts have no symbols or repeats
-at all and their covariance is singular.
+at all and their covariance is singular.  It is the noise of counts in the smallest text
+that passes the base rule (20 words): one repeated line, one repeated passage or three
+symbols are within the cutoff by themselves, and every statistic can reject alone.
 
 Defined results: null text has no words and fails the base rule; a null
 language or source counts as the empty string; groups under ``LEAST`` rows that pass
@@ -38,7 +40,8 @@ LEAST = 40
 #: covariance of the central 75 % consistent at the normal distribution.
 CUTOFF, CONSISTENT = 23.51, 1.486
 STATS = ("word_length", "symbols", "lines", "repeats")
-FLOOR = (0.15, 1.2, 1.6, 1.4)
+#: Noise of the mean length of 20 words; three symbols (2.4), a line of two (3.8) and 16 of 54 words (4.6), each over the cutoff's root.
+FLOOR = (0.03, 0.5, 0.8, 0.96)
 _BINS = 16
 _WORD = r"[^\x20\x09-\x0D]+"
 _N = len(STATS)

@@ -107,6 +107,27 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert quality.keep_good(H.frame(spark, clean)).columns == H.frame(spark, clean).columns
 
 
+def test_each_statistic_rejects_alone(spark):
+    def lines(i, n=100):
+        w = [f"word{(i * 131 + j * 17) % 900 + 100}" for j in range(n)]
+        return [" ".join(w[j : j + 10]) for j in range(0, n, 10)]
+
+    passage = [f"text{j + 100}" for j in range(25)]
+    alone = {
+        "word_length": "\n".join(lines(1)).replace("word", "longword"),
+        "symbols": "\n".join(x.replace("w", "#", 3) for x in lines(2)),
+        "lines": "\n".join(x + "\nmenu123 item123" for x in lines(3)),
+        "repeats": "\n".join([*lines(4, 70), " ".join(passage), *lines(5, 70), "then500 " + " ".join(passage) + " last500"]),
+    }
+    clean = [(i, "\n".join(lines(i + 10)), "en", "s") for i in range(100)]
+    rows = {r.doc_id: r for r in quality.judge(H.frame(spark, clean + [(1000 + i, t, "en", "s") for i, t in enumerate(alone.values())])).collect()}
+    assert all(rows[i].kept for i in range(100))
+    for i, name in enumerate(alone):
+        r = rows[1000 + i]
+        assert not r.base_failed and r.distance > quality.CUTOFF and not r.kept, name
+        assert all(abs(r[s] - rows[0][s]) < 0.1 * quality.UNIT for s in quality.STATS if s != name), name
+
+
 # secrets
 
 
