@@ -21,7 +21,8 @@ symbols are within the cutoff by themselves, and every statistic can reject alon
 
 Defined results: null text has no words and fails the base rule; a null
 language or source counts as the empty string; groups under ``LEAST`` rows that pass
-the base rule have no estimate and keep what passes it; ties share a bin and are kept or left together;
+the base rule are judged by the estimate of their language's rows, or of all rows where the language has too few
+(a table with fewer has no estimate and keeps what passes the base rule); ties share a bin and are kept or left together;
 repeated rows count each time; null ids pass through; an empty table gives no rows;
 extra columns are not read.
 """
@@ -95,6 +96,8 @@ def _vector() -> list[Column]:
 
 
 _GROUP = ["g_lang", "g_source"]
+#: Groups that an estimate is of, the narrowest first: (language, source), language, all rows.
+_LEVELS = (_GROUP, _GROUP[:1], [])
 
 
 def _start(rows: DataFrame) -> DataFrame:
@@ -147,17 +150,31 @@ def _grouped(stats: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     return stats.select("*", F.coalesce(lang_col, F.lit("")).alias("g_lang"), F.coalesce(source_col, F.lit("")).alias("g_source"), *_vector())
 
 
-def _fit(rows: DataFrame) -> DataFrame:
-    """The last estimate of each group from rows that pass the base rule."""
+def _fit(rows: DataFrame) -> list[DataFrame]:
+    """The last estimates from rows that pass the base rule, of each level as far as any group needs it."""
     passed = rows.where("not base_failed").select(*_GROUP, *STATS)
-    estimate = saved(_start(passed), few=True)
-    for step in range(STEPS):
-        estimate = saved(_concentrate(passed, estimate, CONSISTENT if step == STEPS - 1 else 1.0), few=True)
-    return estimate
-
-
-def _judged(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    out = rows.join(small(estimate), _GROUP, "left").withColumn("distance", _distance())
+    without, out = rows.select(*_GROUP).distinct(), []
+    for level in _LEVELS:
+        members = passed.withColumns({c: F.lit("") for c in _GROUP if c not in level})
+        estimate = saved(_start(members), few=True)
+        for step in range(STEPS):
+            estimate = saved(_concentrate(members, estimate, CONSISTENT if step == STEPS - 1 else 1.0), few=True)
+        out.append(estimate)
+        if level:
+            without = saved(without.join(small(estimate), level, "left_anti"), few=True)
+            if without.isEmpty():
+                break
+    return out
+
+
+def _judged(rows: DataFrame, estimates: list[DataFrame]) -> DataFrame:
+    """rows with the distance from the narrowest estimate that there is for their group, and kept."""
+    out, names = rows, [*[f"m{i}" for i in range(_N)], *[f"l{i}{j}" for i, j in _PAIRS]]
+    for level, estimate in zip(_LEVELS, estimates):
+        side = small(estimate.select(*level, F.struct(*names).alias(f"_e{len(level)}")))
+        out = out.join(side, level, "left") if level else out.join(side, F.lit(True), "left")
+    best = F.coalesce(*[F.col(f"_e{len(level)}") for level, _ in zip(_LEVELS, estimates)])
+    out = out.withColumn("_e", best).select(*rows.columns, *[F.col("_e")[n].alias(n) for n in names]).withColumn("distance", _distance())
     # one expression over both sides of the join: as two conditions, a filter's first would be pushed down and every count taken again for it
     return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))))
 

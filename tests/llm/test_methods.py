@@ -128,6 +128,26 @@ def test_each_statistic_rejects_alone(spark):
         assert all(abs(r[s] - rows[0][s]) < 0.1 * quality.UNIT for s in quality.STATS if s != name), name
 
 
+def test_small_groups_are_judged_by_a_wider_one(spark):
+    def text(i, word):
+        return " ".join(f"{word}{(i * 131 + j * 17) % 900 + 100}" for j in range(60 + i % 20))
+
+    many = [(i, text(i, "word"), "en", "big") for i in range(100)]
+    few = [(200, text(1, "word"), "en", "tiny"), (201, text(2, "w#$#"), "en", "tiny"), (202, text(3, "word"), "xx", "tiny"), (203, text(4, "w#$#"), "xx", "tiny"), (204, text(5, "w#$#"), None, None)]
+    rows = {r.doc_id: r for r in quality.judge(H.frame(spark, many + few)).collect()}
+    assert [rows[i].kept for i in range(200, 205)] == [True, False, True, False, False]
+    # the narrowest estimate: of the language with its one large group and the rows beside it, then of all rows
+    table = [(i, [rows[i][s] for s in quality.STATS]) for i in sorted(rows)]
+    for ids, of in (((200, 201), lambda i: i < 202), ((202, 203, 204), lambda i: True)):
+        part = [(i, v) for i, v in table if of(i)]
+        want = reference_mcd([("", v) for _, v in part])
+        for n, (i, _) in enumerate(part):
+            if i in ids:
+                assert rows[i].distance == pytest.approx(want[n], rel=1e-6, abs=1e-9)
+    good = {r.doc_id for r in quality.keep_good(H.frame(spark, many + few)).collect()}
+    assert good == {i for i in rows if rows[i].kept}
+
+
 # secrets
 
 
