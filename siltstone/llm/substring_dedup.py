@@ -4,26 +4,25 @@ A window is ``window`` consecutive words of one row.  Every word covered by a
 window whose words also start at another place (another row or the same one)
 is removed; windows are judged on the input.
 
-Method: a prefix-partitioned, sparse suffix tree.
+Method: sparse suffixes in groups of a fixed prefix, compared by hash; it takes the place of prefix-partitioned suffix trees.
 
 1. In each window the ``PREFIX``-word run with the smallest hash (the leftmost
    of equals) is its anchor.  Equal windows have equal anchors at equal
    offsets, so only suffixes that start at anchors, about one word in 14, need
-   to enter the tree, and suffixes with one anchor prefix form a group.
+   to travel, and suffixes with one anchor prefix form a group.
 2. Each anchor travels once, with the fingerprints of the full-length paths
    (``window`` words) through it.  Copies inside one input batch are combined
    before the shuffle, so a passage held by a third of all rows sends one
    record a batch, not one a row.
-3. A task reads its groups in order of their prefix.  Within a group, prefixes
-   are lengthened from the anchor's to the whole window, and leaves are sorted
-   by them: neighbours that agree are the leaves below an internal node at least
-   ``window`` words deep, which is a repeat.  Groups of one anchor have no
-   internal node and are skipped.
+3. A task reads its groups in order of their prefix.  Within a group, the hashes of
+   whole windows are sorted: neighbours that agree are a repeat.  Groups of one
+   anchor are skipped.
 4. Repeats return to their rows as runs of window starts, and a last pass
    over the texts drops the covered words.
 
 Only complete groups are held, so a task's memory is set by the largest group
-after step 2.  A window is compared by its anchor's 64 bits, its offset and 48 bits of its own.
+after step 2; prefixes aren't lengthened, so a line of 8 to 34 words in many rows, between
+different neighbours, makes a group that grows with the rows.  A window is compared by its anchor's 64 bits, its offset and 48 bits of its own.
 
 Defined results: null text has no words; a row with fewer words than
 the window loses nothing; repeated rows repeat all of their windows, also when
