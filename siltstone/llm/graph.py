@@ -1,14 +1,14 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-No step gathers a component: minima are pre-aggregated and joined back, so a
-hub with very many edges is a skewed join key that Spark can split.
+No step gathers a component: minima are pre-aggregated and joined back with salted keys, so
+a hub with very many edges is dealt to several tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.llm.shared import saved
+from siltstone.llm.shared import join_salted, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -16,21 +16,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = join_salted(both, least, "u", "v").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = join_salted(edges, least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): the least node that it reaches; nodes without edges are left out."""
-    edges = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), few=True)
-    before = None
+    edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    rows, before = edges.count(), None
+    edges = saved(edges, rows)
     while True:
-        edges = saved(_star(_star(edges, True), False), few=True)
+        edges = saved(_star(_star(edges, True), False), rows)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -82,14 +82,14 @@ def score_statements(statements: DataFrame) -> DataFrame:
     seen = found.groupBy("term").agg(F.sum("n").alias("df"))
     total = statements.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     idf = (F.log((1.0 + total) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0).alias("idf")
-    seen = small(saved(seen, few=True))
+    seen = small(saved(seen))
 
     def vectors(counts: DataFrame, *keys: str) -> DataFrame:
         return counts.join(seen, "term", "left").select(*keys, "term", (F.col("tf") * idf).alias("w"))
 
     own = vectors(found, "statement")
     # templates are a fixed table of about 250 terms
-    known = saved(vectors(_counted(templates(spark), "notice", "license", "template"), "license", "template"), few=True)
+    known = saved(vectors(_counted(templates(spark), "notice", "license", "template"), "license", "template"), 1)
     size = known.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_size"))
     known = F.broadcast(known.withColumnRenamed("w", "t_w").join(F.broadcast(size), "template"))
     whole = own.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
@@ -114,7 +114,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = saved(rows.withColumn("dir", F.when(F.col("path").isNotNull(), F.col("dir"))))
 
     said = rows.select("row", F.explode("statements").alias("statement"))
-    scores = small(saved(score_statements(said.groupBy("statement").agg(F.count("*").alias("n"))), few=True))
+    scores = small(saved(score_statements(said.groupBy("statement").agg(F.count("*").alias("n")))))
     matched = said.join(scores, "statement").withColumn("length", F.regexp_count("statement", F.lit(r"[^\x20\x09-\x0D]+")))
     own = matched.groupBy("row").agg(F.min_by("license", F.struct(-F.col("score"), "license")).alias("own_license"), F.max("score").alias("score"), F.sum("length").alias("licensed"))
     rows = saved(rows.drop("statements").join(own, "row", "left"))
@@ -123,8 +123,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     files = rows.where(F.col("own_license").isNotNull() & F.col("dir").isNotNull() & is_file)
     files = files.groupBy(F.col("dir").alias("above")).agg(F.min_by("own_license", F.struct(-F.col("score"), "path", "own_license")).alias("dir_license"))
     above = rows.where("dir is not null").select("dir").distinct().withColumn("above", F.explode(_ancestors(F.col("dir"))))
-    nearest = above.join(small(saved(files, few=True)), "above").groupBy("dir").agg(F.max_by(F.struct("above", "dir_license"), F.length("above")).alias("near"))
-    out = rows.join(small(saved(nearest, few=True)), "dir", "left")
+    nearest = above.join(small(saved(files)), "above").groupBy("dir").agg(F.max_by(F.struct("above", "dir_license"), F.length("above")).alias("near"))
+    out = rows.join(small(saved(nearest)), "dir", "left")
     bare = F.col("own_license").isNull()
     return out.select(F.col("id").alias(id_col), F.col("path").alias(path_col), "own_license", "score", F.coalesce("own_license", "near.dir_license").alias("license"), F.when(bare, F.col("near.above")).alias("inherited_from"))
 

@@ -21,27 +21,32 @@ sequence).  Rows are linked when 100 * intersection >= threshold * union.
 
 Defined results: null or blank text has an empty set, no links, and keeps its
 id as component; rows with a null id are linked with nothing (component null,
-kept); rows that share an id share its component; an empty table gives no
+kept); rows that share an id and a text share a component; an empty table gives no
 rows; columns beside id and text are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.llm import words as W
 from siltstone.llm.graph import components
-from siltstone.llm.shared import lean, row_key, saved, small
+from siltstone.llm.shared import join_salted, lean, row_key, saved, small
 
 ROWS, BANDS = 7, 64
 BINS = ROWS * BANDS
 _TRIES = 48
 _EMPTY = np.iinfo(W.U).max
 _DOCS = 1024  # texts whose signatures are made at once
+_TOKENS = 64  # a member shows on average, at most, in choices of several elements
+_OCTAVE = 8
+_CHOICE = 6  # elements of a choice, at most
+_FILE_SETS = 20_000  # full sets in a saved file
 
 
 def sets(hashes: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,8 +166,11 @@ def _linked(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
     return sized.join(x, "a").join(y, "b").withColumn("i", both).where(100 * F.col("i") >= threshold * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (least id reachable), kept (id = component_id)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80, with_key: bool = False) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (least id reachable), kept (id = component_id).
+
+    with_key: also row_key (of id and text) and component_key, which are exact where rows share an id.
+    """
     read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).withColumn("rid", row_key("id", "text"))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = saved(read.mapInArrow(lean(_sketches(k)), f"id {kind}, rid long, n long, sa long, sb long, bands array<long>"))
@@ -176,20 +184,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = saved(met.join(known, "cid").select("key", "cid", "met"))
     hubs = met.groupBy("key").agg(F.max_by("cid", F.struct("met", -F.col("cid"))).alias("hub"))
     members = saved(met.join(hubs, "key").select("key", "hub", "cid"))
-    stars = saved(members.where("cid <> hub").groupBy("hub", "cid").agg(F.count("*").alias("shared")), few=True)
-    wanted = stars.select("cid").union(stars.select("hub")).distinct().join(classes.select("cid", "rid", "sa", "sb"), "cid")
-    texts = read.where("id is not null").select("rid", "text").join(small(saved(wanted, few=True)), "rid").select("cid", "sa", "sb", "text")
-    full = saved(texts.mapInArrow(lean(_full_sets(k)), "cid long, n long, shingles array<long>").dropDuplicates(["cid"]), few=True)
+    stars = saved(members.where("cid <> hub").groupBy("hub", "cid").agg(F.count("*").alias("shared")), members.count())
+    n_stars = stars.count()
+    wanted = saved(stars.select("cid").union(stars.select("hub")).distinct().join(classes.select("cid", "rid", "sa", "sb"), "cid"), 2 * n_stars)
+    texts = read.where("id is not null").select("rid", "text").join(small(wanted), "rid").select("cid", "sa", "sb", "text")
+    full = saved(texts.mapInArrow(lean(_full_sets(k)), "cid long, n long, shingles array<long>").dropDuplicates(["cid"]), wanted.count(), _FILE_SETS)
 
     best = stars.groupBy("cid").agg(F.max_by("hub", F.struct("shared", -F.col("hub"))).alias("hub")).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
-    links = saved(_linked(best, full, threshold), few=True)
-    roots = saved(components(links), few=True)
+    links = saved(_linked(best, full, threshold), n_stars)
+    roots = saved(components(links))
     for pairs in (_between_stars, _between_members):
-        more = saved(_linked(pairs(stars, members, roots, full, threshold), full, threshold), few=True)
+        more = saved(_linked(pairs(stars, members, roots, full, threshold), full, threshold), n_stars)
         if not more.isEmpty():
             links = links.unionByName(more)
-            roots = saved(components(links), few=True)
-    return _labelled(rows, classes, roots, id_col)
+            roots = saved(components(links))
+    return _labelled(rows, classes, roots, id_col, with_key)
 
 
 def _rooted(df: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
@@ -208,10 +217,20 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     threshold t asks (100 + t) * S >= w(x) + w(y) - (100 - t) * |h|, where
     w = 100 * |D| + t * |I| and S counts what D(x), D(y) and I(x), I(y) share.  A
     member with w <= (100 - t) * |h| is linked to h itself, so of two members in
-    different components one, x, is not, and needs a positive S.  Hence the
-    beginnings of the two difference lists, in one order and long enough for
-    that S, share an element (prefix filtering), and the pairs come from an
-    equi-join on (hub, element) of short beginnings; none is lost.
+    different components one, x, is not ("far", by spare = w - (100 - t) * |h|), and S must be at least
+    need = (spare(x) + w(y)) / (100 + t).
+
+    Prefix filtering: elements that only one member has are dropped, and the lists are put in one order, the rarest
+    element under the hub first.  A pair that shares need elements has n of them in common among the first
+    length - need + n of each list, for any n up to need; the tokens of a list are all n-element choices from
+    these, and candidates come from an equi-join on (hub, class, token).  What y must show depends on w(y), so
+    partners are taken in classes of w (``_OCTAVE`` for each power of two), and x shows each class as many elements as that class
+    can need.  A class is left out where even its whole lists are too short for spare(x).  n is the largest up to ``_CHOICE`` that
+    gives the class at most ``_TOKENS`` tokens a member.
+
+    Bound: tokens are linear in the members of a hub, and a pair is formed only if it shares n of the rarest
+    elements of both lists.  What a family has in common (a changed word, a deletion) comes last in every
+    list and forms no pairs by itself.
     """
     placed = _rooted(members, roots, "cid", "root")
     # most buckets lie in one component and end here
@@ -219,43 +238,81 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     under = placed.join(mixed, "key").where("cid <> hub").select("hub", "cid", "root").distinct()
     h, x = (full.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}")) for c in ("hub", "cid"))
     away = under.join(x, "cid").join(h, "hub").select("hub", "cid", "root", "nhub", F.array_except("scid", "shub").alias("more"), F.array_except("shub", "scid").alias("less"))
-    w, c = 100 * F.size("less") + threshold * F.size("more"), (100 - threshold) * F.col("nhub")
-    away = saved(away.withColumn("w", w).withColumn("spare", F.col("w") - c), few=True)
-    nearest = away.groupBy("hub").agg(F.min("w").alias("least"), F.min(F.when(F.col("spare") > 0, F.col("spare"))).alias("beyond"))
-    away = away.join(nearest, "hub")
+    w, unit = 100 * F.size("less") + threshold * F.size("more"), 100 + threshold
     listed = F.concat(F.transform("more", lambda t: F.xxhash64(t)), F.transform("less", lambda t: F.xxhash64(F.lit(1), t)))
-    length = F.size("more") + F.size("less")
-    unit = 100 + threshold
-
-    def beginning(need, name: str, root: str):
-        size = (F.col("nhub") - F.size("less") + F.size("more")).alias(f"n{name}")
-        list_ = F.slice(listed, F.lit(1), F.greatest(length - F.ceil(need / unit).cast("int") + 1, F.lit(0)))
-        return "hub", F.col("cid").alias(name), F.col("root").alias(root), F.col("w").alias(f"w{name}"), F.col("spare").alias(f"spare_{name}"), length.alias(f"length_{name}"), size, F.explode(list_).alias("element")
-
-    # (the condition of a link, for a pair, leaves S at most the shorter list; of two members that are both not linked to the hub, one order is enough)
-    short = away.select(*beginning(F.col("w") + F.col("beyond"), "b", "other"))
-    long = away.where("spare > 0").select(*beginning(F.greatest(F.col("spare") + F.col("least"), F.lit(1)), "a", "root"))
+    size = F.col("nhub") - F.size("less") + F.size("more")
+    away = away.select("hub", "cid", "root", size.alias("size"), w.cast("long").alias("w"), (w - (100 - threshold) * F.col("nhub")).cast("long").alias("spare"), listed.alias("listed"))
+    # only hubs with far members can have such pairs
+    away = saved(away)
+    beyond = away.where("spare > 0").groupBy("hub").agg(F.min("spare").alias("beyond"))
+    each = join_salted(away, beyond, "hub", "cid").select("hub", "cid", F.explode("listed").alias("element"))
+    each = saved(each)
+    often = each.groupBy("hub", "element").agg(F.count("*").alias("often"))
+    ranked = join_salted(each, often, ["hub", "element"], "cid").groupBy("hub", "cid").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("ranked"))
+    measured = join_salted(away.drop("listed"), beyond, "hub", "cid").join(ranked, ["hub", "cid"])
+    shared = F.transform(F.filter("ranked", lambda e: e["often"] > 1), lambda e: e["element"])
+    measured = measured.withColumn("listed", shared).withColumn("class", F.floor(F.log2(F.greatest("w", F.lit(1))) * _OCTAVE).cast("int"))
+    measured = saved(measured.withColumn("length", F.size("listed").cast("long")).drop("ranked"))
+    classes = measured.groupBy("hub").agg(F.collect_set("class").alias("classes"))  # a few for each power of two
+    least_w = F.pow(F.lit(2.0), F.col("class") / _OCTAVE) - 0.001
+    columns = ["hub", "class", "cid", "root", "w", "spare", "beyond", "length", "size", "listed", "extra"]
+
+    def extra(need: Column) -> Column:
+        """Elements of a list beyond those that a pair must share; below 0 the list is too short."""
+        return F.col("length") - F.greatest(F.ceil(need / unit), F.lit(1))
+
+    y = measured.withColumn("extra", extra(F.col("w") + F.col("beyond"))).where("extra >= 0").select(*columns)
+    far = join_salted(measured.where("spare > 0").drop("class"), classes, "hub", "cid").withColumn("class", F.explode("classes"))
+    # a partner of this class has w below least_w * 2 ** (1 / _OCTAVE), and w >= threshold * its length
+    far = far.where(F.col("spare") * threshold <= (least_w + 0.01) * 2 ** (1 / _OCTAVE) * (unit - threshold)).withColumn("extra", extra(F.col("spare") + least_w)).where("extra >= 0").select(*columns)
+    most = F.ceil(F.min(F.col("beyond") + least_w) / unit)
+    count = lambda n: math.prod(((F.col("extra") + F.lit(float(i))) / i for i in range(1, n + 1)), start=F.lit(1.0))  # noqa: E731  of the choices of n
+    pick = F.coalesce(*[F.when((F.avg(count(n)) <= _TOKENS) & (most >= n), n) for n in range(_CHOICE, 1, -1)], F.lit(1))
+    chosen = y.unionByName(far).groupBy("hub", "class").agg(pick.alias("n"))
+    chosen = saved(chosen)
+    y, far = (join_salted(d, chosen, ["hub", "class"], "cid").withColumn("token", F.explode(_choices(F.slice("listed", F.lit(1), (F.col("extra") + F.col("n")).cast("int")), F.col("n")))).drop("listed") for d in (y, far))
+    y = y.select("hub", "class", "token", F.col("cid").alias("b"), F.col("root").alias("other"), F.col("w").alias("wb"), F.col("spare").alias("spare_b"), F.col("length").alias("length_b"), F.col("size").alias("nb"))
+    far = far.select("hub", "class", "token", F.col("cid").alias("a"), "root", F.col("spare").alias("spare_a"), F.col("length").alias("length_a"), F.col("size").alias("na"))
     can = (F.col("root") != F.col("other")) & (F.col("spare_a") + F.col("wb") <= unit * F.least("length_a", "length_b")) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & ((F.col("spare_b") <= 0) | (F.col("a") < F.col("b")))
-    met = long.join(short, ["hub", "element"]).where(can)
+    met = far.join(y, ["hub", "class", "token"]).where(can)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
-    placed = _rooted(classes.select("cid", "sa", "sb", "label"), roots, "cid", "root")
-    least = placed.groupBy("root").agg(F.min("label").alias("component_id"))
-    named = placed.join(least, "root").select("sa", "sb", "component_id", F.lit(True).alias("found"))
-    out = rows.select("id", "n", "sa", "sb").join(named, ["sa", "sb"], "left")
-    linked = F.col("found") & (F.col("n") > 0) & F.col("id").isNotNull()
-    component = F.when(linked, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+def _choices(items: Column, n: Column) -> Column:
+    """Hashes of all choices of n items (1 to _CHOICE), in their order."""
+
+    def grown(size: int, rest: Column, head: list[Column]) -> Column:
+        if size == 1:
+            return F.transform(rest, lambda a: F.xxhash64(*head, a))
+        return F.flatten(F.transform(rest, lambda a, i: grown(size - 1, F.slice(rest, i + 2, F.size(rest)), [*head, a])))
+
+    return F.coalesce(*[F.when(n == size, grown(size, items, [])) for size in range(1, _CHOICE + 1)])
+
+
+def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str, with_key: bool) -> DataFrame:
+    own = classes.select("cid", "sa", "sb", "label")
+    linked = own.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    least = linked.where("root is not null").groupBy("root").agg(F.min("label").alias("least"))
+    named = join_salted(linked, least, "root", "cid", "left").select("sa", "sb", F.coalesce("root", "cid").alias("root"), F.coalesce("least", "label").alias("component_id"))
+    out = rows.select("id", "rid", "n", "sa", "sb").join(named, ["sa", "sb"], "left")
+    found = F.col("root").isNotNull() & (F.col("n") > 0) & F.col("id").isNotNull()
+    component = F.when(found, F.col("component_id")).otherwise(F.col("id"))
+    keys = [F.col("rid").alias("row_key"), F.struct(found.alias("linked"), F.when(found, F.col("root")).otherwise(F.col("rid")).alias("at")).alias("component_key")] if with_key else []
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), *keys)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: int = 80) -> DataFrame:
-    """docs with one row of each near-duplicate component (the least id; of rows that share it, the least row hash); rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, k, threshold)
-    kept = found.where("kept").where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.where(docs[id_col].isNotNull())
-    named = named.join(kept, named[id_col] == kept["_kept"], "left_semi")
-    first = Window.partitionBy(named[id_col]).orderBy(row_key(named[id_col], named[text_col]))
-    named = named.withColumn("_first", F.row_number().over(first)).where("_first = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return named.unionByName(docs.where(docs[id_col].isNull()))
+    """docs with one row of each near-duplicate component: the least id, and of rows that share it the least row hash.
+
+    Rows that share an id are one document of the component only where their texts are linked; rows
+    with a null id stay, and columns are returned as they are, whatever their names.
+    """
+    key = row_key(docs[id_col], docs[text_col])
+    found = near_duplicates(docs, id_col, text_col, k, threshold, with_key=True)
+    kept = found.where(F.col(id_col).isNotNull()).groupBy("component_key").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("row_key"))).alias("least"))
+    kept = kept.select(F.col("least.row_key").alias("key"))
+    rows = docs.select(docs[id_col].alias("id"), key.alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    named = rows.where("id is not null").join(kept, "key", "left_semi")
+    # exact copies of a row share its key
+    named = named.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("n = 1")
+    return named.select("row.*").unionByName(rows.where("id is null").select("row.*"))

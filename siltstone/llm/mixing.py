@@ -18,7 +18,8 @@ exactly are one unit with a number of copies before that.
 Defined results: null source counts as the empty string; rows without words cost
 nothing and go where their order puts them; a source without any tokens is used once;
 ties in order are broken by id and row hash; an exact copy of a row is used like any row; null ids
-pass through; an empty table gives no rows; extra columns are not read.
+pass through; an empty table gives no rows; ``plan`` doesn't read extra columns, and
+``mixed`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,16 +77,17 @@ def weights(rows: DataFrame, target: str = "repetition", value: float = 2.0, bud
     """
     if target not in ("repetition", "entropy"):
         raise ValueError(f"no such target: {target}")
-    totals = rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("total"))
-    whole = F.sum("total").over(Window.partitionBy())
-    totals = saved(totals.withColumn("share", F.when(whole > 0, F.col("total") / whole).otherwise(F.lit(0.0))), few=True)
+    totals = saved(rows.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("total")))
+    whole = float(totals.agg(F.sum("total")).first()[0] or 0)
+    totals = totals.withColumn("share", F.col("total") / F.lit(whole) if whole else F.lit(0.0))
     if target == "entropy":
         value *= math.log(max(totals.where("share > 0").count(), 1))
     a = exponent(totals, target, value, budget)
     powered = totals.withColumn("power", F.when(F.col("share") > 0, F.pow("share", F.lit(a))).otherwise(F.lit(0.0)))
-    every = Window.partitionBy()
-    out = powered.withColumn("weight", F.when(F.sum("power").over(every) > 0, F.col("power") / F.sum("power").over(every)).otherwise(F.lit(0.0)))
-    all_of = F.lit(float(budget)) if budget is not None else F.max(F.when(F.col("weight") > 0, F.col("total") / F.col("weight"))).over(every)
+    # sums over all sources are one row each
+    norm = float(powered.agg(F.sum("power")).first()[0] or 0)
+    out = powered.withColumn("weight", F.col("power") / F.lit(norm) if norm else F.lit(0.0))
+    all_of = F.lit(float(budget if budget is not None else out.agg(F.max(F.when(F.col("weight") > 0, F.col("total") / F.col("weight")))).first()[0] or 0))
     granted = F.when(F.col("total") > 0, F.round(F.col("weight") * all_of).cast("long")).otherwise(F.lit(0))
     out = out.withColumn("tokens_budget", granted)
     return out.withColumn("exponent", F.lit(a)).withColumn("passes", F.when(F.col("total") > 0, F.col("tokens_budget") / F.col("total")).otherwise(F.lit(1.0))).drop("power")
@@ -97,7 +99,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     The mix is read in order of (block, position); position counts from 0 in each block.
     """
     rows = saved(units(docs, id_col, text_col, source_col))
-    table = saved(weights(rows, target, value, budget), few=True)
+    table = saved(weights(rows, target, value, budget))
     blocks = table.agg(F.greatest(F.lit(1), F.ceil(F.sum("tokens_budget") / block_tokens))).first()[0] or 1
 
     whole = F.when(F.col("total") > 0, F.floor(F.col("tokens_budget") / F.col("total"))).otherwise(F.lit(1))
@@ -109,7 +111,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
     cells = used.groupBy("source", "pass", "cell").agg(F.sum("cost").alias("cost"))
     cells = cells.select("source", "pass", "cell", (F.sum("cost").over(Window.partitionBy("source", "pass").orderBy("cell")) - F.col("cost")).alias("earlier"))
-    used = used.join(small(saved(cells, few=True)), ["source", "pass", "cell"])
+    used = used.join(small(saved(cells)), ["source", "pass", "cell"])
     inside = Window.partitionBy("source", "pass", "cell").orderBy("order", "id", "key").rowsBetween(Window.unboundedPreceding, -1)
     used = used.withColumn("before", F.col("earlier") + F.coalesce(F.sum("cost").over(inside), F.lit(0)))
 
@@ -128,11 +130,10 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The rows of docs as the plan uses them, each block's rows together and in order; the columns of docs."""
     uses = plan(docs, id_col, text_col, source_col, **options)
-    uses = uses.groupBy(F.col("key").alias("_use_key")).agg(F.collect_list(F.struct("copy", "block", "position")).alias("_uses"))
-    keyed = docs.withColumn("_key", row_key(docs[id_col], docs[source_col], docs[text_col]))
-    out = keyed.join(uses, keyed["_key"] == uses["_use_key"])
-    same = Window.partitionBy("_key").orderBy("_key")
-    out = out.withColumn("_copy", F.row_number().over(same))
-    out = out.withColumn("_use", F.explode(F.filter("_uses", lambda u: u["copy"] == F.col("_copy"))))
-    out = out.withColumn("_block", F.col("_use.block")).withColumn("_position", F.col("_use.position"))
-    return out.repartition("_block").sortWithinPartitions("_block", "_position").select(*[F.col(f"`{c}`") for c in docs.columns])
+    uses = uses.groupBy("key").agg(F.collect_list(F.struct("copy", "block", "position")).alias("uses"))
+    # the row travels as one value, so that no name in it can clash
+    rows = docs.select(row_key(docs[id_col], docs[source_col], docs[text_col]).alias("key"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    numbered = rows.join(uses, "key").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    used = numbered.select("row", F.explode(F.filter("uses", lambda u: u["copy"] == F.col("n"))).alias("use"))
+    placed = used.select("row", F.col("use.block").alias("block"), F.col("use.position").alias("position"))
+    return placed.repartition("block").sortWithinPartitions("block", "position").select("row.*")

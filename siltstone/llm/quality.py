@@ -156,12 +156,12 @@ def _fit(rows: DataFrame) -> list[DataFrame]:
     without, out = rows.select(*_GROUP).distinct(), []
     for level in _LEVELS:
         members = passed.withColumns({c: F.lit("") for c in _GROUP if c not in level})
-        estimate = saved(_start(members), few=True)
+        estimate = saved(_start(members))
         for step in range(STEPS):
-            estimate = saved(_concentrate(members, estimate, CONSISTENT if step == STEPS - 1 else 1.0), few=True)
+            estimate = saved(_concentrate(members, estimate, CONSISTENT if step == STEPS - 1 else 1.0))
         out.append(estimate)
         if level:
-            without = saved(without.join(small(estimate), level, "left_anti"), few=True)
+            without = saved(without.join(small(estimate), level, "left_anti"))
             if without.isEmpty():
                 break
     return out

@@ -8,7 +8,8 @@ so constants reach the name under which they are used.  Each literal is scored b
 the most sensitive name that it reaches and by how random it looks;
 literals that score ``THRESHOLD`` or more are spans of kind ``lexed``.
 
-Rows are independent: no shuffle, no state; memory follows the longest text.
+Rows are independent: no shuffle, no state; time and memory follow the longest text, however
+its assignments refer to each other.
 
 Defined results: null text is empty and has no spans; ties of spans keep the
 order of kinds; repeated rows give equal results; null ids pass through; an empty
@@ -46,14 +47,18 @@ _SENSITIVE = {
 _HARMLESS = {"id", "name", "url", "uri", "path", "file", "type", "length", "count", "ttl", "expiry", "policy", "hint", "field", "label", "public", "header", "regex", "pattern", "prefix"}
 _PLACEHOLDER = re.compile(r"example|changeme|change_me|placeholder|redacted|your[_-]|dummy|x{4,}|\*{3,}|^<.*>$|^\[.*\]$|^\$\{|^%\(", re.I | re.A)
 
-_LEFT = re.compile(r"""([A-Za-z_$][A-Za-z0-9_$.\-]*)["'\]]*[ \t]*$""")
 _MARK = re.compile(r":=|=>|={1,3}|:{1,2}|[!<>+*/%&|^-]=")
 _TERM = re.compile(
     r"""(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)|\$\{?(?P<ref>[A-Za-z_][A-Za-z0-9_.]*)\}?|(?P<word>[^\s;,#"'`(){}\[\]<>&|+]+(?:\+[^\s;,#"'`(){}\[\]<>&|+]+)*)"""
 )
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.?|~)?[ \t]*\\?\n?[ \t]*(?=[\"'`$A-Za-z_])")
-_CALLS = re.compile(r"[ \t]*[(\[]")
-_ANNOTATION = re.compile(r"[ \t]*=(?!=)")
+_PLUS = re.compile(r"[ \t]*+(?:(?:\+|\.\.?|~)[ \t]*+)?+\\?+\n?+[ \t]*+(?=[\"'`$A-Za-z_])")
+#: Characters of names, and those that a name can begin with.
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
+_FIRST = _NAME - frozenset("0123456789.-")
+#: Strings put together from parts are spelled out up to this length to look for placeholders across parts; beyond it each part is looked at.
+_SPELLED = 256
+_CALLS = re.compile(r"[ \t]*+[(\[]")
+_ANNOTATION = re.compile(r"[ \t]*+=(?!=)")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -66,76 +71,143 @@ def name_score(name: str) -> float:
     return max(0.0, min(score, 1.0) - 0.7 * (parts[-1] in _HARMLESS))
 
 
+class _Node:
+    """The value of an assignment: its own literals, the values it refers to, and a summary of the string they spell."""
+
+    __slots__ = ("literals", "refs", "score", "n", "text", "length", "share", "held")
+
+    def __init__(self, text: str, literals: list[tuple[int, int]], refs: list["_Node"], score: float):
+        self.literals, self.refs, self.score = literals, refs, score
+        parts = [(text[s:e], e - s, _shares(text[s:e]), False) for s, e in literals] + [(x.text, x.length, x.share, x.held) for x in refs]
+        self.n = min(len(literals) + sum(x.n for x in refs), 2)  # only "more than one" matters
+        self.length = float(min(sum(p[1] for p in parts), 1e15))
+        whole = "".join(p[0] for p in parts)
+        self.text = whole if len(whole) <= _SPELLED else ""
+        self.held = any(p[3] for p in parts) or (not self.text and any(_PLACEHOLDER.search(p[0]) for p in parts))
+        if len(parts) == 1:
+            self.share = parts[0][2]
+        else:
+            self.share = {}
+            for _, length, share, _ in parts:
+                for c, x in share.items():
+                    self.share[c] = self.share.get(c, 0.0) + x * length / max(self.length, 1.0)
+
+    def worth(self) -> float:
+        """value_score of the whole string, from its summary."""
+        if self.length < _LEAST_VALUE or self.held or _PLACEHOLDER.search(self.text):
+            return 0.0
+        return _randomness(self.share)
+
+
+def _shares(value: str) -> dict[str, float]:
+    return {c: k / len(value) for c, k in Counter(value).items()}
+
+
+def _kind(c: str) -> int:
+    return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
+
+
+def _randomness(share: dict[str, float]) -> float:
+    bits = -sum(x * math.log2(x) for x in share.values() if x > 0)
+    return min(1.0, 0.4 + 0.1 * bits + 0.1 * (len(set(map(_kind, share))) - 1) - 0.4 * (" " in share))
+
+
 def value_score(value: str) -> float:
     if len(value) < _LEAST_VALUE or _PLACEHOLDER.search(value):
         return 0.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, 0.4 + 0.1 * bits + 0.1 * (classes - 1) - 0.4 * (" " in value))
-
-
-def _value(text: str, at: int, known: dict[str, tuple]) -> tuple[tuple, int, bool]:
-    """Literals (start, end) that make up the value at a place, where it ends, and whether it is one bare word."""
-    found: tuple = ()
+    return _randomness(_shares(value))
+
+
+def _target(text: str, at: int) -> str:
+    """The name that ends before a mark, at any distance on its line; each character is passed once."""
+    while at and text[at - 1] in " \t":
+        at -= 1
+    while at and text[at - 1] in "\"']":
+        at -= 1
+    end = at
+    while at and text[at - 1] in _NAME:
+        at -= 1
+    while at < end and text[at] not in _FIRST:
+        at += 1
+    return text[at:end]
+
+
+def _value(text: str, at: int, known: dict[str, "_Node"]) -> tuple[list, list, int, bool]:
+    """Literals (start, end) and earlier values that make up the value at a place, where it ends, and whether it is one bare word."""
+    found: list = []
+    refs: list = []
     bare, first = False, True
     while m := _TERM.match(text, at):
         at = m.end()
         if m["quoted"]:
-            found += ((m.start() + 1, m.end() - 1),)
+            found.append((m.start() + 1, m.end() - 1))
         else:
             name = m["ref"] or m["word"]
             if not m["ref"] and _CALLS.match(text, at):
-                return (), at, False  # what a call returns isn't known
+                return [], [], at, False  # what a call returns isn't known
             if name in known:
-                found += known[name]
+                refs.append(known[name])
             elif m["ref"] is None:
                 if not first:
                     break
-                found, bare = ((m.start("word"), m.end("word")),), True
+                found, refs, bare = [(m.start("word"), m.end("word"))], [], True
         first = False
         more = _PLUS.match(text, at)
         if not more or bare or not more[0].strip(" \t\\\n"):
             break
         at = more.end()
-    return found, at, bare
+    return found, refs, at, bare
 
 
 def lexed(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the literals that reach a sensitive name."""
-    known: dict[str, tuple] = {}
-    best: dict[tuple[int, int], float] = {}
+    """(start, end, score) of the literals that reach a sensitive name.
+
+    Assignments are a graph: a value points at its own literals and at the values of the names in it.
+    Names only refer back, so one pass from the last assignment to the first pushes the best score of
+    the targets down to the literals; no literal is copied, and work is linear in the text.
+    """
+    known: dict[str, _Node] = {}
+    nodes: list[_Node] = []
     done = 0
     for mark in _MARK.finditer(text):
         op, at = mark[0], mark.start()
         if at < done or op not in (":=", "=>", "=", ":"):
             continue
-        left = _LEFT.search(text, max(0, at - 120, text.rfind("\n", max(0, at - 120), at)), at)
-        if not left:
+        name = _target(text, at)
+        if not name:
             continue
         start = mark.end()
         while start < len(text) and text[start] in " \t":
             start += 1
-        found, end, bare = _value(text, start, known)
-        if op == ":" and bare and _ANNOTATION.match(text, end):  # name: type = value
-            m = _ANNOTATION.match(text, end)
+        found, refs, end, bare = _value(text, start, known)
+        if op == ":" and bare and (m := _ANNOTATION.match(text, end)):  # name: type = value
             start = m.end()
             while start < len(text) and text[start] in " \t":
                 start += 1
-            found, end, bare = _value(text, start, known)
-        if not found:
+            found, refs, end, bare = _value(text, start, known)
+        if not found and not refs:
             continue
-        name = left[1].lstrip("$")
-        known[name] = found
+        name = name.lstrip("$")
+        node = known[name] = _Node(text, found, refs, name_score(name))
+        nodes.append(node)
         if not (bare and op == ":" and "\n" not in text[end : end + 1] and end < len(text)):
             done = end  # what a literal holds is no code; a bare word after a colon may be prose
-        score = name_score(name)
-        if score:
-            whole = value_score("".join(text[s:e] for s, e in found)) if len(found) > 1 else 0.0
-            for s, e in found:
-                worth = score * max(value_score(text[s:e]), whole)
-                if worth >= THRESHOLD:
-                    best[s, e] = max(best.get((s, e), 0.0), worth)
+    alone: dict[int, float] = {}  # by value: the best score of a name that it reaches
+    whole: dict[int, float] = {}  # the same, times the score of the whole string under that name
+    best: dict[tuple[int, int], float] = {}
+    for node in reversed(nodes):
+        a = max(alone.get(id(node), 0.0), node.score)
+        b = whole.get(id(node), 0.0)
+        if node.score and node.n > 1:
+            b = max(b, node.score * node.worth())
+        if not a:
+            continue
+        for x in node.refs:
+            alone[id(x)], whole[id(x)] = max(alone.get(id(x), 0.0), a), max(whole.get(id(x), 0.0), b)
+        for s, e in node.literals:
+            worth = max(a * value_score(text[s:e]), b)
+            if worth >= THRESHOLD:
+                best[s, e] = max(best.get((s, e), 0.0), worth)
     return [(s, e, round(v, 4)) for (s, e), v in sorted(best.items())]
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,28 +14,46 @@ from functools import wraps
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Sides up to this many rows (of fixed width) may be broadcast after counting them.
-BROADCAST_ROWS = 200_000
+#: Sides up to this many rows and bytes may be broadcast after counting them.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 48 << 20
+#: Rows of a saved narrow table that make a file of their own.
+FILE_ROWS = 500_000
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder that the session's ``spark.checkpoint.dir`` names; only where it is unset (one machine, tests), a temporary one."""
+    """The folder that the session's ``spark.checkpoint.dir`` names.
+
+    Where none is named, a temporary one will do on a single machine, and elsewhere it is an error: executors would not see it.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="siltstone-"))
+        if not named:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="siltstone-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def saved(df: DataFrame, few: bool = False) -> DataFrame:
-    """df computed once and kept in the folder that all executors share; Spark removes it when it is no longer used.
+def saved(df: DataFrame, rows: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
+    """df computed once and kept in the folder that all executors share.
 
-    few: for tables that are much smaller than the corpus, as many files as keep all cores busy
-    are enough, however many partitions shuffles have.
+    rows: a bound on the rows, where one is known: then as many files as keep all cores busy are enough, or one
+    for each file_rows, however many partitions shuffles have.  The session's setting
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` has Spark remove a table when it is no longer used; ``cleared``
+    removes all that a session has left.
     """
     spark = df.sparkSession
     _shared_folder(spark)
-    return (df.coalesce(2 * spark.sparkContext.defaultParallelism) if few else df).checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // file_rows))).checkpoint(eager=True)
+
+
+def cleared(spark: SparkSession) -> None:
+    """Removes this session's saved tables; for the end of a job, when their results have been written."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        dropped(spark, _shared_folder(spark))
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
@@ -49,8 +69,17 @@ def dropped(spark: SparkSession, path: str) -> None:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if a count shows that it is small; df itself otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if its rows and bytes, counted, show that it is small; df itself otherwise."""
+    width = F.sum(F.length(F.to_json(F.struct("*"))).cast("long"))
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), width).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+
+
+def join_salted(left: DataFrame, right: DataFrame, on: str | list[str], salt: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """left joined with right, which has each key once: a hot key of left is dealt to several tasks by a hash of its column salt."""
+    dealt = left.withColumn("_salt", F.pmod(F.hash(salt), F.lit(salts)))
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(copies, [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")
 
 
 def row_key(*columns: Column | str) -> Column:

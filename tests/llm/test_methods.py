@@ -1,6 +1,7 @@
 """What the methods add to the contracts, on small tables and against plain versions."""
 
 import math
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -162,6 +163,59 @@ def test_lexer(text, found):
     assert [text[s:e] for s, e, _ in secrets.lexed(text)] == found
 
 
+def test_names_are_found_at_any_distance():
+    value = '"hunter2-very-long-9"'
+    for text in (f"db_password{' ' * 5000}= {value}", f"{'x' * 500}_password = {value}"):
+        assert [text[s:e] for s, e, _ in secrets.lexed(text)] == [value[1:-1]]
+
+
+def program(rng):
+    """A program of assignments, and by its literals the names that each reaches, by expanding every value."""
+    lines, values, reach = [], {}, {}
+    for n in range(rng.integers(3, 25)):
+        name = str(rng.choice(["alpha", "beta", "gamma", "db_password", "auth_token", "api_key_id", "delta", "client_secret"])) + str(rng.integers(0, 4))
+        parts, held = [], []
+        for _ in range(rng.integers(1, 4)):
+            known = [k for k in values if k != name]
+            if known and rng.random() < 0.6:
+                other = str(rng.choice(known))
+                parts.append(other)
+                held += values[other]
+            else:
+                literal = f"v{n}-" + "".join(rng.choice(list("abcXYZ019_"), 12))
+                parts.append(f'"{literal}"')
+                held.append(literal)
+        lines.append(f"{name} = " + " + ".join(parts))
+        values[name] = held
+        for x in held:
+            reach.setdefault(x, []).append((name, held))
+    return "\n".join(lines) + "\n", reach
+
+
+def test_lexer_against_expanded_programs():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        text, reach = program(rng)
+        want = {}
+        for x, targets in reach.items():
+            worth = max(secrets.name_score(n) * max(secrets.value_score(x), secrets.value_score("".join(held)) if len(held) > 1 else 0) for n, held in targets)
+            if worth >= secrets.THRESHOLD:
+                want[x] = worth
+        got = {text[s:e]: v for s, e, v in secrets.lexed(text)}
+        assert set(got) == set(want)
+        assert all(got[x] == pytest.approx(want[x], abs=1e-3) for x in got)
+
+
+def test_chained_assignments_take_linear_time():
+    def chain(n):
+        return 'a0 = "Zq8-hT5_wer9kk"\n' + "".join(f"a{i} = a{i - 1} + a{i - 1}\n" for i in range(1, n)) + f"password = a{n - 1}\n"
+
+    text = chain(10_000)
+    began = time.perf_counter()
+    assert [text[s:e] for s, e, _ in secrets.lexed(text)] == ["Zq8-hT5_wer9kk"]
+    assert time.perf_counter() - began < 5  # about half a second; doubling values would never end
+
+
 def test_redaction(spark):
     rows = [(0, 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b', "en", "s"), (1, None, "en", "s"), (2, "clean text", "en", "s")]
     out = {r.doc_id: r for r in secrets.redact_secrets(H.frame(spark, rows), length_col="n_chars").collect()}
@@ -267,6 +321,66 @@ def test_mixing_odd_rows(spark):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+CLASHES = ("_key", "_first", "_block", "_position", "_use", "_uses", "_copy", "key", "row", "id", "n", "use", "uses", "block", "position", "rid", "component_key", "row_key", "at", "kept", "component_id", "token")
+
+
+def clashing(spark, rows):
+    """Documents with a column for every name that operators use inside."""
+    return spark.createDataFrame([(*r, len(r[1] or ""), *(f"{c}{i}" for c in CLASHES)) for i, r in enumerate(rows)], H.SCHEMA + "".join(f", `{c}` string" for c in CLASHES))
+
+
+def test_rows_come_back_unchanged_whatever_their_columns_are_called(spark):
+    docs = clashing(spark, H.ODD)
+    own = {tuple(r) for r in docs.collect()}
+    for out in (mixing.mixed(docs, value=2.0), minhash.keep_one(docs), quality.keep_good(docs), secrets.redact_secrets(docs.where("doc_id < 12"))):
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.collect()} <= own
+
+
+def brute_plan(rows, limit, block_tokens):
+    """What mixing must use: (source -> tokens granted, whole passes), by plain search for the exponent."""
+    total = defaultdict(int)
+    for _, text, _, source in rows:
+        total[source or ""] += len(H.words(text))
+    whole = sum(total.values())
+    share = {s: t / whole for s, t in total.items() if t}
+
+    def repeats(a):
+        power = {s: p**a for s, p in share.items()}
+        budget = max(total[s] / (power[s] / sum(power.values())) for s in share)
+        return max(power[s] / sum(power.values()) * budget / total[s] for s in share), {s: power[s] / sum(power.values()) * budget for s in share}
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (lo, mid) if repeats(mid)[0] <= limit else (mid, hi)
+    return repeats(hi)[1], total
+
+
+@pytest.mark.parametrize("limit", [1.0, 1.7, 3.0])
+def test_plan_against_plain_search(spark, limit):
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(1, 30)), "en", str(rng.choice(["a", "b", "c", "d"], p=[0.6, 0.25, 0.1, 0.05]))) for i in range(1500)]
+    granted, total = brute_plan(rows, limit, 2000)
+    plan = mixing.plan(H.frame(spark, rows), value=limit, block_tokens=2000).collect()
+    used, passes = defaultdict(int), defaultdict(lambda: defaultdict(list))
+    for r in plan:
+        used[r.source] += r.tokens
+        passes[r.source][r["pass"]].append(r.id)
+    of = defaultdict(set)
+    for i, _, _, s in rows:
+        of[s].add(i)
+    for s, t in granted.items():
+        assert t * (1 - 1e-4) - 31 <= used[s] <= t * (1 + 1e-4) + 1
+        full = int(t * (1 + 1e-5) // total[s])
+        for p, ids in passes[s].items():  # a pass uses each row once; only the last may be a part
+            assert len(ids) == len(set(ids)) and set(ids) <= of[s] and (p >= full or set(ids) == of[s])
+    blocks = sorted({r.block for r in plan})
+    assert blocks == list(range(len(blocks))) and abs(len(blocks) - sum(granted.values()) / 2000) <= 1
+    for b in blocks:
+        assert sorted(r.position for r in plan if r.block == b) == list(range(sum(r.block == b for r in plan)))
+
+
 # licences
 
 
@@ -305,6 +419,41 @@ def test_links_that_bypass_the_hub_are_found(spark):
     H.same(minhash.near_duplicates(docs, k=2).collect(), H.near(rows, 2))
 
 
+def family(n, shared=1, words=200):
+    """A hub and n rows that share a changed word and are each just too far from the hub; their other changes are their own."""
+    base = [f"b{i}" for i in range(words)]
+    rows, rng = [(0, " ".join(base))], np.random.default_rng(n)
+    for i in range(n):
+        w = list(base)
+        places = rng.choice(words - shared, 23 - shared, replace=False) + shared
+        for j in places:
+            w[j] = f"e{i}x{j}"
+        for j in range(shared):
+            w[j] = f"same{j}"
+        rows.append((i + 1, " ".join(w)))
+    return rows
+
+
+def test_a_changed_word_in_common_forms_no_pairs(spark, monkeypatch):
+    formed = []
+    real = minhash._linked
+
+    def counted(pairs, full, threshold):
+        formed.append(pairs.count())
+        return real(pairs, full, threshold)
+
+    monkeypatch.setattr(minhash, "_linked", counted)
+    sizes = {}
+    for n in (100, 400):
+        rows = family(n)
+        formed.clear()
+        got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect()
+        H.same(got, H.near(rows, 1))
+        sizes[n] = formed[2]
+    assert sizes[400] <= 8 * max(sizes[100], 100), sizes  # linear, not sixteenfold
+    assert sizes[400] < 400 * 399 / 2 / 20
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(5)
     x = np.sort(rng.integers(0, 2**63, 2000).astype(np.uint64))
