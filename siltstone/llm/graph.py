@@ -29,7 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
     rows, before = edges.count(), None
     edges = saved(edges, rows)
     while True:
-        edges = saved(_star(_star(edges, True), False), rows)
+        # a table between the two keeps plans small, as each step reads its input several times
+        edges = saved(_star(saved(_star(edges, True), 2 * rows), False), rows)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -68,11 +68,16 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def counted_small(df: DataFrame, more_bytes: int = 0, times: int = 1) -> bool:
+    """Whether df is small enough to be broadcast, by its rows and bytes, counted; also with more_bytes in each row, and so many times over."""
+    width = F.sum(F.length(F.to_json(F.struct("*"))).cast("long") + more_bytes)
+    rows, size = df.limit(BROADCAST_ROWS // times + 1).agg(F.count("*"), width).first()
+    return rows * times <= BROADCAST_ROWS and (size or 0) * times <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its rows and bytes, counted, show that it is small; df itself otherwise."""
-    width = F.sum(F.length(F.to_json(F.struct("*"))).cast("long"))
-    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), width).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+    """df, marked for broadcast if a count shows that it is small; df itself otherwise."""
+    return F.broadcast(df) if counted_small(df) else df
 
 
 def join_salted(left: DataFrame, right: DataFrame, on: str | list[str], salt: str, how: str = "inner", salts: int = 8) -> DataFrame:
