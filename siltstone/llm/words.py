@@ -131,3 +131,16 @@ def grams(hashes: np.ndarray, k: int, second: bool = False) -> np.ndarray:
     total = np.zeros(len(hashes) + 1, U)
     np.cumsum(hashes * up[:-1], out=total[1:])
     return mix((total[k:] - total[:-k]) * down[: len(hashes) - k + 1] + U(k))
+
+
+def spans(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hashes of the runs of words begin to end, each of its own length; equal runs of equal length have equal ones."""
+    up, down = (_WORD_POWERS_2 if second else _WORD_POWERS).get(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * up[:-1], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(U))
+
+
+def without_spaces(raw: np.ndarray) -> np.ndarray:
+    """The bytes of all words, one after the other."""
+    return np.ascontiguousarray(raw[~_SPACE[raw]])

@@ -1,5 +1,6 @@
 """Every contract against its plain version, on odd rows and on the whole smallest table."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,28 @@ def test_substring_dedup(spark, which):
     H.same(out.collect(), [(r[0], *x) for r, x in zip(rows, H.removed([r[1] for r in rows]), strict=True)])
 
 
+def test_substring_dedup_with_lengthened_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP", 2)
+    monkeypatch.setattr(substring_dedup, "_HELD", 8)
+    line = " ".join(f"menu{i}" for i in range(20))
+    rows = list(H.ODD)
+    for i in range(60):  # a line of 20 words between different neighbours, which repeats nothing, and longer ones that do
+        own = [f"n{i}x{j}" for j in range(40)]
+        rows.append((100 + i, " ".join(own) + "\n" + line + "\n" + " ".join(reversed(own)), "en", "s"))
+        if i % 3 == 0:
+            rows.append((200 + i, f"q{i} " + " ".join(own[20:]) + " " + line + f" r{i}", "en", "s"))
+    out = substring_dedup.remove_repeats(H.frame(spark, rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    H.same(out.collect(), [(r[0], *x) for r, x in zip(rows, H.removed([r[1] for r in rows]), strict=True)])
+
+
+def test_names_of_runs():
+    codes = np.random.default_rng(2).integers(0, 3, 500)
+    for depth in (1, 2, 3, 8, 35):
+        names = substring_dedup._named(codes, depth)
+        runs = [tuple(codes[i : i + depth]) for i in range(len(codes) - depth + 1)]
+        assert len(names) == len(runs) and len(set(names.tolist())) == len(set(runs)) == len(set(zip(names.tolist(), runs)))
+
+
 @WHICH
 @pytest.mark.parametrize("k", [2, 5])
 def test_minhash(spark, which, k):
