@@ -1,18 +1,15 @@
 """Byte-level BPE encoding and decoding through a table of distinct words.
 
-1. Spark splits texts into words (pre-tokens) and cuts its rows into chunks of
-   about ``CHUNK`` characters.  A chunk keeps, for each row, the places of its
-   words in the chunk's own list of distinct words.
-2. The lists are dealt to ``BUCKETS`` by a hash of the word, a packed block for each
-   chunk and bucket, and shuffled.  A bucket is a part of the distinct-word table: it
-   encodes each of its words once, whichever chunks have it, and answers each block with
-   ids.  A word that is in every text costs one entry a chunk, not one an occurrence.
-3. Blocks return to their chunks and ids are joined back by position.
-4. Decoding joins ids with the pieces of the vocabulary, whose size is fixed by the
-   tokenizer file (50,257 pieces, under 1 MB), and concatenates pieces by position.
-
-A task holds one chunk, or one bucket's words: the number of buckets is a parameter and
-grows with the vocabulary of the corpus (1,024 suit up to 10**9 distinct words).
+1. Texts are split into words (pre-tokens), and each partition's rows, in the order of their hash, are cut into chunks of
+   about ``CHUNK`` characters.  A chunk keeps, for each row, the places of its words in the chunk's own list of distinct
+   words; that list is rows of (chunk, place, word), so a word that is in every text costs one row a chunk, not one an occurrence.
+2. The distinct words of all chunks are a table, and each is encoded once.
+3. Ids are decoded on that table: exploded ids join the vocabulary (a table of fixed size: 50,257 pieces, under 1 MB)
+   and pieces are put together by position, once for each distinct word.
+4. The lists join the table by word, return to their chunks, and ids and pieces are joined back by position.
+
+A task holds one chunk.  Chunks are made twice, for the lists and for the places.  Both times they are the same, as a partition's
+rows are sorted first; should the input itself change between the two, checksums of the words differ and the task fails.
 
 The vocabulary file's path is a parameter and each worker opens it; the file must
 be at that path on every machine.
@@ -32,19 +29,19 @@ import sys
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate, chain, count
+from itertools import accumulate, count
 from unicodedata import category
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from siltstone.llm.shared import lean, saved
+from siltstone.llm.shared import lean, row_key, saved
 
 CHUNK = 24_000_000
-BUCKETS = 1024
-_PARTS = "chunk long, bucket int, payload binary"  # a chunk's own row has bucket -1
+_RUN = 1000  # ids of one list that are put together at once
 #: The splitting rule of this family of vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -137,156 +134,124 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(pa.Codec("zstd").decompress(planes, size), np.uint8).reshape(4, -1).T).reshape(-1).view(np.uint32)
 
 
-def _split_chunks(path: str):
-    """Rows of (chunk, bucket, payload): the words of a chunk by bucket, and its own row."""
+def _chunked(batches: Iterator[pa.RecordBatch], path: str):
+    """(chunk, words, ids of rows, places of each row's words) of a partition's rows; frequent words have low places, which pack better."""
+    fresh = lambda: defaultdict(count().__next__)  # noqa: E731  a new word gets the next place
+    seen, ids, rows, size, number, part = fresh(), [], [], 0, 0, 0
+    splitter = _splitter(path)
 
-    def finish(number: int, seen: dict[str, int], ids: list[pa.Array], rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        # places in order of how often a word occurs, as small numbers pack better
+    def finished():
         places = np.concatenate(rows)
         common = np.argsort(-np.bincount(places, minlength=len(seen)), kind="stable")
         rank = np.empty(len(common), np.uint32)
         rank[common] = np.arange(len(common), dtype=np.uint32)
         words = list(seen)
-        words = [words[i] for i in common.tolist()]
-        bucket = np.fromiter((crc32(w.encode()) for w in words), np.uint32, len(words)) % BUCKETS
-        order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        chunk, name, payload = [], [], []
-        for b in range(BUCKETS):
-            if ends[b] < ends[b + 1]:
-                block = pickle.dumps([words[i] for i in order[ends[b] : ends[b + 1]].tolist()])
-                name.append(b)
-                payload.append(pickle.dumps((len(block), pa.Codec("zstd", 9).compress(block, asbytes=True))))
-        table = pa.table({"id": pa.chunked_array(ids), "n": pa.array([len(r) for r in rows], pa.int64())}).combine_chunks()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        name.append(-1)
-        payload.append(pickle.dumps((_pack(bucket), sink.getvalue().to_pybytes(), _pack(rank[places]))))
-        chunk = np.full(len(name), number)
-        yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(name, pa.int32()), pa.array(payload, pa.binary())], ["chunk", "bucket", "payload"])
-
+        return (part << 24) + number, [words[i] for i in common.tolist()], ids, rank[places], [len(r) for r in rows]
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        part = batch.column("part")[0].as_py()
+        begin = 0
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            found = splitter(text or "")
+            rows.append(np.fromiter(map(seen.__getitem__, found), np.uint32, len(found)))
+            size += len(text or "")
+            if size >= CHUNK:
+                ids.append(batch.column("id").slice(begin, i + 1 - begin))
+                yield finished()
+                seen, ids, rows, size, number, begin = fresh(), [], [], 0, number + 1, i + 1
+        if begin < len(batch):
+            ids.append(batch.column("id").slice(begin))
+    if rows:
+        yield finished()
+
+
+def _lists(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = lambda: defaultdict(count().__next__)  # noqa: E731  a new word gets the next place
-        seen, ids, rows, size, number, part = fresh(), [], [], 0, 0, 0
-        splitter = _splitter(path)
-        for batch in batches:
-            if not len(batch):
-                continue
-            part = batch.column("part")[0].as_py()
-            begin = 0
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                found = splitter(text or "")
-                rows.append(np.fromiter(map(seen.__getitem__, found), np.uint32, len(found)))
-                size += len(text or "")
-                if size >= CHUNK:
-                    ids.append(batch.column("id").slice(begin, i + 1 - begin))
-                    yield from finish((part << 24) + number, seen, ids, rows)
-                    seen, ids, rows, size, number, begin = fresh(), [], [], 0, number + 1, i + 1
-            if begin < len(batch):
-                ids.append(batch.column("id").slice(begin))
-        if rows:
-            yield from finish((part << 24) + number, seen, ids, rows)
+        for number, words, *_ in _chunked(batches, path):
+            for a in range(0, len(words), 50_000):
+                some = words[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(np.arange(a, a + len(some), dtype=np.int32)), pa.array(some, pa.string())], ["chunk", "place", "word"])
 
     return run
 
 
-def _encode_buckets(path: str):
-    """Rows sorted by bucket: blocks of words become blocks of ids; each distinct word of a bucket is encoded once."""
+def _checksum(crc: np.ndarray) -> int:
+    """Of a chunk's words in order of place."""
+    return int((crc.astype(np.uint64) * (np.arange(len(crc), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum())
 
+
+def _places(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, words, ids, places, counts in _chunked(batches, path):
+            table = pa.table({"id": pa.chunked_array(ids), "n": pa.array(counts, pa.int64())}).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            check = _checksum(np.fromiter((crc32(w.encode()) for w in words), np.uint32, len(words)))
+            payload = pickle.dumps((check, sink.getvalue().to_pybytes(), _pack(places)))
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([payload], pa.binary())], ["chunk", "payload"])
+
+    return run
+
+
+def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
-        bucket, known = None, {}
         for batch in batches:
-            out = []
-            for b, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
-                if b < 0:
-                    out.append(payload.as_py())
-                    continue
-                if b != bucket:
-                    bucket, known = b, {}
-                size, block = pickle.loads(payload.as_py())
-                words = pickle.loads(pa.Codec("zstd").decompress(block, size))
-                new = [w for w in words if w not in known]
-                known.update(zip(new, (e.ids for e in model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-                ids = list(map(known.__getitem__, words))
-                lens = np.fromiter(map(len, ids), np.uint32, len(ids))
-                out.append(pickle.dumps((_pack(lens), _pack(np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum()))))))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("bucket"), pa.array(out, pa.binary())], ["chunk", "bucket", "payload"])
+            words = batch.column("word").to_pylist()
+            ids = [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
     return run
 
 
-def _join_back(path: str):
-    """Rows sorted by (chunk, bucket), a chunk's own row first: ids and decoded text of each text."""
-
-    def assemble(own: bytes, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        bucket, table, places = pickle.loads(own)
-        bucket, places = _unpack(bucket), _unpack(places)
-        table = pa.ipc.open_stream(table).read_all().combine_chunks()
-        parts = [tuple(map(_unpack, pickle.loads(x))) for x in blocks]
-        none = np.zeros(0, np.uint32)
-        got = np.concatenate([none, *(p[0] for p in parts)]).astype(np.int64)
-        flat = np.concatenate([none, *(p[1] for p in parts)]).astype(np.int32)
-        del parts
-        if len(got) != len(bucket):
-            raise RuntimeError(f"a chunk has {len(bucket)} distinct words, but {len(got)} came back")
-        order = np.argsort(bucket, kind="stable")  # blocks hold words in this order of places
-        edges = np.concatenate(([0], np.cumsum(got)))
-        piece = pieces(path)
-        spelled = list(map(piece.__getitem__, flat.tolist()))
-        bounds = edges.tolist()
-        decoded: list[bytes] = [b""] * len(order)
-        for j, place in enumerate(order.tolist()):
-            decoded[place] = b"".join(spelled[bounds[j] : bounds[j + 1]])
-        del spelled
-        lens, begin = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        lens[order], begin[order] = got, edges[:-1]
+def _joined_back(kind: pa.DataType):
+    def assemble(lists: pa.Table, own: pa.Table) -> pa.Table:
+        """A chunk's rows from the ids and pieces of its words, by position."""
+        lists = lists.sort_by("place").combine_chunks()
+        check, table, packed = pickle.loads(own.column("payload")[0].as_py())
+        if lists.num_rows and lists.column("place")[lists.num_rows - 1].as_py() != lists.num_rows - 1 or _checksum(lists.column("crc").to_numpy()) != check:
+            raise RuntimeError("the words of a chunk are not those that were encoded: its input has changed in between")
+        table, places = pa.ipc.open_stream(table).read_all().combine_chunks(), _unpack(packed)
+        whole = lambda c: x if isinstance(x := lists.column(c).combine_chunks(), pa.Array) else pa.concat_arrays(x.chunks)
+        ids = whole("ids") if lists.num_rows else pa.array([], pa.list_(pa.int32()))
+        at = ids.offsets.to_numpy().astype(np.int64)
+        flat, begin, lens = ids.values.to_numpy(), at[:-1], np.diff(at)
+        pieces_ = whole("piece").to_pylist() if lists.num_rows else []
         counts = table.column("n").to_numpy()
-        at = [0, *accumulate(counts.tolist())]
-        step = 0
-        while step < len(counts):
+        bounds = [0, *accumulate(counts.tolist())]
+        out, step = [], 0
+        while step < len(counts):  # some rows at once, for small temporary arrays
             stop = step + 1
-            while stop < len(counts) and at[stop + 1] - at[step] < 500_000:
+            while stop < len(counts) and bounds[stop + 1] - bounds[step] < 500_000:
                 stop += 1
-            here = places[at[step] : at[stop]]
+            here = places[bounds[step] : bounds[stop]]
             n = lens[here]
             ends = np.concatenate(([0], np.cumsum(n)))
-            shift = np.repeat(begin[here] - ends[:-1], n)
-            ids = flat[np.arange(len(shift)) + shift]
-            lists = pa.ListArray.from_arrays(pa.array(ends[np.array(at[step : stop + 1]) - at[step]].astype(np.int32)), pa.array(ids))
-            names = here.tolist()
-            texts = [b"".join(map(decoded.__getitem__, names[at[i] - at[step] : at[i + 1] - at[step]])).decode("utf-8", "replace") for i in range(step, stop)]
-            id_ = table.column("id").slice(step, stop - step).combine_chunks()
-            yield pa.RecordBatch.from_arrays([id_ if isinstance(id_, pa.Array) else pa.concat_arrays(id_.chunks), lists, pa.array(texts, pa.string())], ["id", "ids", "decoded"])
+            found = flat[np.arange(int(ends[-1])) + np.repeat(begin[here] - ends[:-1], n)]
+            offsets = ends[np.array(bounds[step : stop + 1]) - bounds[step]]
+            spelled = list(map(pieces_.__getitem__, here.tolist()))
+            texts = [b"".join(spelled[bounds[i] - bounds[step] : bounds[i + 1] - bounds[step]]).decode("utf-8", "replace") for i in range(step, stop)]
+            out.append(pa.table({"id": table.column("id").slice(step, stop - step).cast(kind), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.astype(np.int32))), "decoded": pa.array(texts, pa.string())}))
             step = stop
+        return pa.concat_tables(out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, own, blocks = None, b"", []
-        for batch in batches:
-            for c, b, x in zip(batch.column("chunk").to_pylist(), batch.column("bucket").to_pylist(), batch.column("payload"), strict=True):
-                if c != chunk:
-                    if chunk is not None:
-                        yield from assemble(own, blocks)
-                    chunk, own, blocks = c, b"", []
-                if b < 0:
-                    own = x.as_py()
-                else:
-                    blocks.append(x.as_py())
-        if chunk is not None:
-            yield from assemble(own, blocks)
-
-    return run
+    return assemble
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, ids (array of int) and decoded, the text that these ids spell."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.spark_partition_id().cast("long").alias("part"))
-    # a chunk's own row only passes through; its second key spreads these rows
-    dealt = read.mapInArrow(lean(_split_chunks(path)), _PARTS).repartition(F.when(F.col("bucket") < 0, F.hash("chunk")).otherwise(F.col("bucket")))
-    coded = dealt.sortWithinPartitions("bucket").mapInArrow(lean(_encode_buckets(path)), _PARTS)
-    out = coded.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(lean(_join_back(path)), f"id {kind}, ids array<int>, decoded string")
+    kind = docs.schema[id_col].dataType
+    read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.spark_partition_id().cast("long").alias("part"), row_key(docs[id_col], docs[text_col]).alias("order"))
+    read = read.sortWithinPartitions("order").select("id", "text", "part")
+    lists = read.mapInArrow(lean(_lists(path)), "chunk long, place int, word string")
+    own = read.mapInArrow(lean(_places(path)), "chunk long, payload binary")
+    words = saved(lists.select("word").distinct().mapInArrow(lean(_encoded(path)), "word string, ids array<int>").withColumn("row", F.monotonically_increasing_id()))
+    table = words.join(spelled(words, path), "row", "left").select("word", "ids", F.coalesce("piece", F.unhex(F.lit(""))).alias("piece"))
+    back = lists.join(table, "word").select("chunk", "place", F.crc32("word").alias("crc"), "ids", "piece")
+    out = back.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_joined_back(to_arrow_type(kind)), f"id {kind.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -295,19 +260,24 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(pieces(path))], "token_id int, piece binary")
 
 
-def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, decoded) of any table of ids, whoever encoded it: ids join the vocabulary and pieces are joined by position.
+def spelled(lists: DataFrame, path: str) -> DataFrame:
+    """(row, piece) of lists (row, ids) that aren't empty: the bytes that ids spell, through a join of ids with the vocabulary.
 
-    Ids are cut into runs of 1,000, so that a very long list is never one group; null
-    or empty lists give the empty text; an id that the vocabulary lacks spells nothing.  Bytes that
-    are no UTF-8 become U+FFFD.
+    Ids are cut into runs, so that a very long list is never one group.
     """
-    rows = encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).withColumn("row", F.monotonically_increasing_id())
-    rows = saved(rows)  # row numbers must be the same in both branches
-    each = rows.select("row", F.posexplode("ids").alias("at", "token_id"))
-    spelled = each.join(F.broadcast(vocabulary(encoded.sparkSession, path)), "token_id")
-    runs = spelled.groupBy("row", F.floor(F.col("at") / 1000).alias("run")).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+    each = lists.select("row", F.posexplode("ids").alias("at", "token_id"))
+    named = each.join(F.broadcast(vocabulary(lists.sparkSession, path)), "token_id")
+    runs = named.groupBy("row", F.floor(F.col("at") / _RUN).alias("run")).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
     runs = runs.select("row", "run", F.concat_ws("", F.transform("p", lambda x: F.hex(x["piece"]))).alias("hex"))
     whole = runs.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("run", "hex"))).alias("r"))
-    whole = whole.select("row", F.decode(F.unhex(F.concat_ws("", F.col("r.hex"))), "UTF-8").alias("decoded"))
-    return rows.join(whole, "row", "left").select(F.col("id").alias(id_col), F.coalesce("decoded", F.lit("")).alias("decoded"))
+    return whole.select("row", F.unhex(F.concat_ws("", F.col("r.hex"))).alias("piece"))
+
+
+def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """(id, decoded) of any table of ids, whoever encoded it.
+
+    Null or empty lists give the empty text; an id that the vocabulary lacks spells nothing.  Bytes that
+    are no UTF-8 become U+FFFD.
+    """
+    rows = saved(encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).withColumn("row", F.monotonically_increasing_id()))  # row numbers must be the same in both branches
+    return rows.join(spelled(rows, path), "row", "left").select(F.col("id").alias(id_col), F.coalesce(F.decode("piece", "UTF-8"), F.lit("")).alias("decoded"))
