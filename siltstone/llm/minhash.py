@@ -45,7 +45,7 @@ _EMPTY = np.iinfo(W.U).max
 _DOCS = 1024  # texts whose signatures are made at once
 _TOKENS = 64  # a member shows on average, at most, in choices of several elements
 _OCTAVE = 8
-_CHOICE = 6  # elements of a choice, at most
+_CHOICE = 4  # elements of a choice, at most
 _FILE_SETS = 20_000  # full sets in a saved file
 
 
@@ -284,7 +284,8 @@ def _choices(items: Column, n: Column) -> Column:
     def grown(size: int, rest: Column, head: list[Column]) -> Column:
         if size == 1:
             return F.transform(rest, lambda a: F.xxhash64(*head, a))
-        return F.flatten(F.transform(rest, lambda a, i: grown(size - 1, F.slice(rest, i + 2, F.size(rest)), [*head, a])))
+        # (a length beyond the end will do: naming rest once more would double the expression at each level)
+        return F.flatten(F.transform(rest, lambda a, i: grown(size - 1, F.slice(rest, i + 2, F.lit(1 << 24)), [*head, a])))
 
     return F.coalesce(*[F.when(n == size, grown(size, items, [])) for size in range(1, _CHOICE + 1)])
 
