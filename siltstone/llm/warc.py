@@ -1,63 +1,78 @@
 """WARC archives and a Merkle audit of replicas.
 
-Pages become WARC records in archives of ``ARCHIVE`` consecutive ids, in order of
-id, each at its byte offset.  A record's leaf is the SHA-256 of its bytes; a
+Pages become WARC/1.1 resource records in archives of ``ARCHIVE`` consecutive ids, in order of
+id, each at its byte offset; an archive is stored as its bytes with an index of its records.  An audit reads the stored bytes of two
+replicas.  A record's leaf is the SHA-256 of the bytes at its offsets; a
 node covers ``FANOUT`` neighbours of the level below and hashes their digests with the
 byte range they span; above the archives, nodes cover neighbouring archives, up to
-one root.  Two replicas are audited from the root down: a node's children are
-compared only where the nodes differ, so equal branches are never read.
+one root.  Replicas are compared from the root down: a node's children are
+compared only where the nodes differ, so equal branches are never looked at.
 
-Offsets are running sums within an archive, never over the whole table, and nodes are
-made of bounded groups; the comparison moves digests, not records.
+An archive is one row, so its own tree is folded inside that row; only the roots of archives are shuffled.  Records
+travel once, to their archive.
 
 Defined results: null html is an empty body and a null url an empty address; rows with a
-null or negative id share the first 256 archives by the hash of their content;
+null or negative id go to archives of their own (odd numbers) by the hash of their content, as many as ``lost`` says;
 rows that share an id are ordered by url, then digest; rows that repeat exactly are one record
 with a number of copies; an empty table has no records and no root; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import uuid
 
-from siltstone.llm.shared import saved
+from pyspark.sql import Column, DataFrame, functions as F
+
+from siltstone.llm.shared import _shared_folder, dropped, saved
 
 ARCHIVE = 1024
 FANOUT = 16
-LOST = 256  # archives of rows without a usable id
+DATE = "1970-01-01T00:00:00Z"
 
 
-def record(id_: Column, url: Column, html: Column) -> Column:
-    """The text of one WARC response record."""
+def record(id_: Column, url: Column, html: Column, date: str = DATE) -> Column:
+    """The text of one WARC resource record; pages have no date of capture, so it is a parameter."""
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(id_.cast("string"), F.lit("none")), F.lit(">\r\nWARC-Target-URI: "), url,
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(id_.cast("string"), F.lit("none")), F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), url,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"),
     )
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", with_bytes: bool = False) -> DataFrame:
-    """(id, archive, place, start, length, copies, digest[, record]): records at their byte offsets."""
+def lost_archives(pages: DataFrame, id_col: str = "page_id") -> int:
+    """How many archives rows without a usable id need; replicas that are compared must share the number."""
+    lost = pages.where(pages[id_col].isNull() | (pages[id_col] < 0)).count()
+    return max(1, 2 * lost // ARCHIVE)
+
+
+def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lost: int | None = None) -> DataFrame:
+    """(archive, index, content): a row for each archive, with the (id, start, length, copies) of its records in order and its bytes."""
+    lost = lost_archives(pages, id_col) if lost is None else lost
     id_, url, html = pages[id_col], F.coalesce(pages[url_col], F.lit("")), F.coalesce(pages[html_col], F.lit(""))
-    lost = F.pmod(F.xxhash64(url, html), F.lit(LOST))
-    archive = F.when(id_ >= 0, F.floor(id_ / ARCHIVE) + LOST).otherwise(lost).cast("long")
-    read = pages.select(id_.alias("id"), archive.alias("archive"), url.alias("url"), record(id_, url, html).alias("record"))
-    rows = read.withColumn("digest", F.sha2("record", 256)).withColumn("length", F.octet_length("record").cast("long"))
-    first = [F.first("record").alias("record")] if with_bytes else []
-    rows = rows.groupBy("id", "archive", "url", "digest", "length").agg(F.count("*").alias("copies"), *first)
-    order = Window.partitionBy("archive").orderBy("id", "url", "digest")
-    rows = rows.withColumn("place", F.row_number().over(order) - 1).withColumn("start", F.sum("length").over(order) - F.col("length"))
-    return rows.select("id", "archive", "place", "start", "length", "copies", "digest", *(["record"] if with_bytes else []))
+    archive = F.when(id_ >= 0, F.floor(id_ / ARCHIVE) * 2).otherwise(F.pmod(F.xxhash64(url, html), F.lit(lost)) * 2 + 1).cast("long")
+    rows = pages.select(id_.alias("id"), archive.alias("archive"), url.alias("url"), record(id_, url, html).alias("record"))
+    rows = rows.withColumn("digest", F.sha2("record", 256)).withColumn("length", F.octet_length("record").cast("long"))
+    key = ["id", "archive", "url", "digest", "length"]
+    single = rows.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1").isEmpty()
+    # records travel once more only where some repeat
+    rows = rows.withColumn("copies", F.lit(1).cast("long")) if single else rows.groupBy(*key).agg(F.count("*").alias("copies"), F.first("record").alias("record"))
+    whole = rows.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("id", "url", "digest", "length", "copies", "record"))).alias("r"))
+    zero = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<id:bigint,start:bigint,length:bigint,copies:bigint>>").alias("out"))
+    entry = lambda acc, x: F.struct(x["id"].cast("long").alias("id"), acc["end"].alias("start"), x["length"].alias("length"), x["copies"].alias("copies"))
+    index = F.aggregate("r", zero, lambda acc, x: F.struct((acc["end"] + x["length"]).alias("end"), F.array_append(acc["out"], entry(acc, x)).alias("out")), lambda acc: acc["out"])
+    return whole.select("archive", index.alias("index"), F.encode(F.array_join(F.transform("r", lambda x: x["record"]), ""), "UTF-8").alias("content"))
+
 
+def write_archives(stored: DataFrame, path: str) -> DataFrame:
+    """A replica: archives written under path, and read back."""
+    stored.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return stored.sparkSession.read.parquet(path)
 
-def write_archives(pages: DataFrame, path: str, **columns: str) -> DataFrame:
-    """Writes one row per archive, its bytes in order, under path; returns what was written, read back.
 
-    A task holds one archive, which is at most ARCHIVE ids long.
-    """
-    order = F.array_sort(F.collect_list(F.struct("place", "record")))
-    out = records(pages, with_bytes=True, **columns).groupBy("archive").agg(F.encode(F.array_join(F.transform(order, lambda r: r["record"]), ""), "UTF-8").alias("content"))
-    out.write.mode("overwrite").parquet(path)
-    return pages.sparkSession.read.parquet(path)
+def damaged(stored: DataFrame, every: int = 997) -> DataFrame:
+    """Archives in which a stored byte of every so many ids' records is wrong (for drills): its middle one becomes 0xFF, which no UTF-8 has."""
+    hit = F.filter("index", lambda e: F.coalesce(e["id"] % every == 5, F.lit(False)))
+    wrong = F.aggregate(hit, F.col("content"), lambda acc, e: F.overlay(acc, F.unhex(F.lit("FF")), (e["start"] + F.floor(e["length"] / 2) + 1).cast("int"), F.lit(1)))
+    return stored.withColumn("content", wrong)
 
 
 def _height(width: int) -> int:
@@ -68,89 +83,105 @@ def _height(width: int) -> int:
     return n
 
 
-def heights(*replicas: DataFrame) -> tuple[int, int]:
-    """Levels above the leaves that archives need, and levels above the archives."""
-    most = [r.agg(F.coalesce(F.max("place"), F.lit(0)), F.coalesce(F.max("archive"), F.lit(0))).first() for r in replicas]
-    return _height(max(m[0] for m in most)), _height(max(m[1] for m in most))
+def _node(children: Column) -> Column:
+    """The parent of a few neighbours (start, end, digest)."""
+    text = F.array_join(F.transform(children, lambda x: F.concat_ws(":", x["start"], x["end"], x["digest"])), "|")
+    return F.struct(F.array_min(F.transform(children, lambda x: x["start"])).alias("start"), F.array_max(F.transform(children, lambda x: x["end"])).alias("end"), F.sha2(text, 256).alias("digest"))
 
 
-def _parents(level: DataFrame) -> DataFrame:
-    children = F.array_sort(F.collect_list(F.struct("node", "start", "end", "digest")))
-    made = level.groupBy("archive", F.floor(F.col("node") / FANOUT).alias("parent")).agg(children.alias("c"))
-    text = F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["start"], x["end"], x["digest"])), "|")
-    start, end = (f(F.transform("c", lambda x: x[name])) for f, name in ((F.array_min, "start"), (F.array_max, "end")))
-    return made.select("archive", F.col("parent").alias("node"), start.alias("start"), end.alias("end"), F.sha2(text, 256).alias("digest"))
+def trees(stored: DataFrame) -> DataFrame:
+    """(archive, index, levels): the tree of each archive over its stored bytes, from the leaves up to one node."""
+    leaf = lambda e: F.struct(e["start"].alias("start"), (e["start"] + e["length"]).alias("end"), F.concat_ws("*", F.sha2(F.substring("content", (e["start"] + 1).cast("int"), e["length"].cast("int")), 256), e["copies"]).alias("digest"))
+    out = stored.select("archive", "index", F.transform("index", leaf).alias("l0"))
+    most = stored.agg(F.coalesce(F.max(F.size("index")), F.lit(1))).first()[0]
+    height = max(_height(most - 1), 1)
+    for k in range(height):
+        below = F.col(f"l{k}")
+        groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(below) - 1) / FANOUT).cast("int")), lambda i: F.slice(below, i * FANOUT + 1, FANOUT))  # noqa: B023
+        out = out.withColumn(f"l{k + 1}", F.transform(groups, _node))
+    return saved(out.select("archive", "index", F.array(*[F.col(f"l{k}") for k in range(height + 1)]).alias("levels")))
 
 
-def tree(rows: DataFrame, inner: int, outer: int) -> list[DataFrame]:
-    """Levels (archive, node, start, end, digest) from the leaves to the root.
-
-    Up to level ``inner`` nodes lie within archives; the next level has a node for each archive, and
-    from there on archive is 0, node is an archive's number divided by powers of FANOUT, and
-    start and end are archives.
-    """
-    end = F.col("start") + F.col("length")
-    levels = [rows.select("archive", F.col("place").cast("long").alias("node"), "start", end.alias("end"), F.concat_ws("*", "digest", "copies").alias("digest"))]
-    for _ in range(inner):
-        levels.append(saved(_parents(levels[-1])))
-    number = F.col("archive")
-    levels.append(levels[-1].select(F.lit(0).cast("long").alias("archive"), number.alias("node"), number.alias("start"), number.alias("end"), "digest"))
-    for _ in range(outer):
-        levels.append(saved(_parents(levels[-1])))
-    return levels
+def _above(level: DataFrame) -> DataFrame:
+    made = level.groupBy(F.floor(F.col("node") / FANOUT).alias("node")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "digest"))).alias("c"))
+    return saved(made.select("node", _node(F.col("c")).alias("n")).select("node", "n.*"))
 
 
 def _differ(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Nodes of one level that are not equal: (archive, node, fault)."""
-    x, y = a.select("archive", "node", F.col("digest").alias("x")), b.select("archive", "node", F.col("digest").alias("y"))
-    fault = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("corrupt")
-    return x.join(y, ["archive", "node"], "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("archive", "node", fault.alias("fault"))
-
-
-def _children(side: DataFrame, suspect: DataFrame, of_archives: bool) -> DataFrame:
-    """The nodes of side below those of suspect."""
-    if of_archives:
-        return side.join(suspect.select(F.col("node").alias("archive")), "archive", "left_semi")
-    up = side.withColumn("up", F.floor(F.col("node") / FANOUT))
-    return up.join(suspect.select("archive", F.col("node").alias("up")), ["archive", "up"], "left_semi").drop("up")
+    """Numbers of the nodes of one level that are not equal."""
+    x, y = a.select("node", F.col("digest").alias("x")), b.select("node", F.col("digest").alias("y"))
+    return x.join(y, "node", "full_outer").where(~F.col("x").eqNullSafe(F.col("y"))).select("node")
 
 
 def audit(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Records that differ between two tables of records, (archive, place, fault), and the number of unequal nodes by level, from the root down."""
-    inner, outer = heights(a, b)
-    left, right = tree(a, inner, outer), tree(b, inner, outer)
+    """Records that differ between two tables of trees, (archive, place, fault), and the number of unequal nodes by level, from the root down."""
+    top = max(x.agg(F.coalesce(F.max("archive"), F.lit(0))).first()[0] for x in (a, b))
+    # an archive's root covers its bytes; from there on start and end are archives
+    root = F.concat_ws(":", F.element_at(F.element_at("levels", -1), 1)["start"], F.element_at(F.element_at("levels", -1), 1)["end"], F.element_at(F.element_at("levels", -1), 1)["digest"])
+    sides = [[x.select(F.col("archive").alias("node"), F.col("archive").alias("start"), F.col("archive").alias("end"), F.concat_ws(":", F.size("levels"), root).alias("digest"))] for x in (a, b)]
+    for levels in sides:
+        for _ in range(_height(top)):
+            levels.append(_above(levels[-1]))
+    left, right = sides
     suspect = saved(_differ(left[-1], right[-1]))
     unequal = [suspect.count()]
     for k in range(len(left) - 2, -1, -1):
         if not unequal[-1]:
             break
-        of_archives = k == inner
-        suspect = saved(_differ(_children(left[k], suspect, of_archives), _children(right[k], suspect, of_archives)))
+        below = lambda side: side.withColumn("up", F.floor(F.col("node") / FANOUT)).join(suspect.select(F.col("node").alias("up")), "up", "left_semi")  # noqa: B023, E731
+        suspect = saved(_differ(below(left[k]), below(right[k])))
         unequal.append(suspect.count())
-    return suspect.select("archive", F.col("node").alias("place"), "fault"), unequal
-
-
-def damaged(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", every: int = 997) -> DataFrame:
-    """A replica of pages in which one character is wrong in the page of every so many ids (for drills)."""
-    html = F.when(pages[id_col] % every == 5, F.concat(F.substring(html_col, 1, 20), F.lit("~"), F.expr(f"substring({html_col}, 22)"))).otherwise(pages[html_col])
-    return pages.withColumn(html_col, html)
-
-
-def report(pages: DataFrame, replica: DataFrame, id_col: str = "page_id", **columns: str) -> DataFrame:
-    """One row per record of either replica: id, archive, place, start, length, copies, digest, fault (null: intact)."""
-    a, b = (saved(records(x, id_col, **columns)) for x in (pages, replica))
+    # within an archive: its levels lie in two rows, and the children of unequal nodes are looked at there
+    named = suspect.select(F.col("node").alias("archive"))
+    x, y = (t.join(named, "archive", "left_semi").select("archive", F.col("levels").alias(c)) for t, c in ((a, "x"), (b, "y")))
+    pair = x.join(y, "archive", "full_outer")
+    height = F.greatest(F.coalesce(F.size("x"), F.lit(0)), F.coalesce(F.size("y"), F.lit(0)))
+    most = pair.agg(F.max(height)).first()[0] or 0
+    at = lambda side, k, i: F.get(F.get(side, F.lit(k)), i)["digest"]
+    unlike = lambda k, nodes: F.filter(nodes, lambda i: ~at("x", k, i).eqNullSafe(at("y", k, i)))
+    pair = pair.withColumn("nodes", F.array(F.lit(0)))
+    for k in range(most - 2, -1, -1):
+        children = F.flatten(F.transform("nodes", lambda n: F.sequence(n * FANOUT, n * FANOUT + (FANOUT - 1))))
+        pair = pair.withColumn("nodes", unlike(k, children)).withColumn(f"n{k}", F.size("nodes"))
+    pair = saved(pair)
+    if most > 1:
+        counts = pair.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(most - 2, -1, -1)]).first()
+        unequal += [int(c) for c in counts]
+    found = pair.select("archive", F.explode("nodes").alias("place"), "x", "y")
+    fault = F.when(at("y", 0, F.col("place")).isNull(), "missing").when(at("x", 0, F.col("place")).isNull(), "extra").otherwise("corrupt")
+    return found.select("archive", F.col("place").cast("long").alias("place"), fault.alias("fault")), unequal
+
+
+def _records(t: DataFrame) -> DataFrame:
+    each = t.select("archive", F.posexplode(F.arrays_zip("index", F.get("levels", F.lit(0)).alias("leaf"))).alias("place", "r"))
+    return each.select(F.col("r.index.id").alias("id"), "archive", F.col("place").cast("long").alias("place"), F.col("r.index.start").alias("start"), F.col("r.index.length").alias("length"), F.col("r.index.copies").alias("copies"), F.substring_index("r.leaf.digest", "*", 1).alias("digest"))
+
+
+def report(first: DataFrame, second: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """One row per record of either replica, read from stored archives: id, archive, place, start, length, copies, digest, fault (null: intact)."""
+    a, b = trees(first), trees(second)
     faults, _ = audit(a, b)
-    found = a.join(faults, ["archive", "place"], "left")
-    extra = b.join(faults.where("fault = 'extra'"), ["archive", "place"])
+    faults = saved(faults)
+    found = _records(a).join(faults, ["archive", "place"], "left")
+    extra = _records(b).join(faults.where("fault = 'extra'"), ["archive", "place"])
     return found.unionByName(extra).select(F.col("id").alias(id_col), "archive", "place", "start", "length", "copies", "digest", "fault")
 
 
+def drill(pages: DataFrame, **columns: str) -> DataFrame:
+    """Writes two replicas of pages to the shared folder, the second with wrong bytes, and reports what an audit of the stored bytes finds."""
+    folder = f"{_shared_folder(pages.sparkSession)}/replicas-{uuid.uuid4().hex}"
+    one = write_archives(archives(pages, **columns), f"{folder}/a")
+    two = write_archives(damaged(one), f"{folder}/b")
+    out = report(one, two, columns.get("id_col", "page_id"))
+    dropped(pages.sparkSession, folder)  # what was read from it is saved
+    return out
+
+
 #: DuckDB SQL for the registered query (ids there are not null and not negative, and don't repeat).
-ORACLE = """
-WITH copies AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
-  CASE WHEN page_id % 997 = 5 THEN substr(coalesce(html, ''), 1, 20) || '~' || substr(coalesce(html, ''), 22) ELSE coalesce(html, '') END AS other FROM pages),
-bytes AS (SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM copies),
-whole AS (SELECT page_id, page_id // 1024 + 256 AS archive, head || strlen(html) || gap || html || gap AS a, head || strlen(other) || gap || other || gap AS b FROM bytes),
+ORACLE = f"""
+WITH pages_ AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS eol FROM pages),
+whole AS (SELECT page_id, page_id // 1024 * 2 AS archive, 'WARC/1.1' || eol || 'WARC-Type: resource' || eol || 'WARC-Record-ID: <urn:page:' || page_id || '>' || eol || 'WARC-Date: {DATE}' || eol || 'WARC-Target-URI: ' || url || eol
+  || 'Content-Type: text/html' || eol || 'Content-Length: ' || strlen(html) || eol || eol || html || eol || eol AS a FROM pages_),
 placed AS (SELECT *, row_number() OVER (PARTITION BY archive ORDER BY page_id) - 1 AS place, sum(strlen(a)) OVER (PARTITION BY archive ORDER BY page_id) - strlen(a) AS start FROM whole)
-SELECT page_id, CAST(archive AS BIGINT) AS archive, CAST(place AS INTEGER) AS place, CAST(start AS BIGINT) AS start, CAST(strlen(a) AS BIGINT) AS length, CAST(1 AS BIGINT) AS copies, sha256(a) AS digest, CASE WHEN a <> b THEN 'corrupt' END AS fault FROM placed
+SELECT page_id, CAST(archive AS BIGINT) AS archive, CAST(place AS BIGINT) AS place, CAST(start AS BIGINT) AS start, CAST(strlen(a) AS BIGINT) AS length, CAST(1 AS BIGINT) AS copies, sha256(a) AS digest, CASE WHEN page_id % 997 = 5 THEN 'corrupt' END AS fault FROM placed
 """

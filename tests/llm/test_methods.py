@@ -263,26 +263,46 @@ def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
 
-def test_audit_finds_what_differs_and_reads_only_those_branches(spark):
-    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(3000)] + [(None, "u", None), (None, None, "h"), (-4, "n", "n")]
+def test_audit_finds_what_differs_and_looks_at_those_branches_only(spark):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(3000)] + [(None, "u", None), (None, None, "h"), (-4, "n", "n"), (7, "http://h/7", "<p>7</p>")]
     broken = [(i, u, h + "!" if i in (17, 2999) else h) for i, u, h in rows if i != 1500]
-    a, b = (warc.records(pages(spark, x)) for x in (rows, broken))
+    one, two = (warc.archives(pages(spark, x), lost=2) for x in (rows, broken))
+    a, b = warc.trees(one), warc.trees(two)
     faults, unequal = warc.audit(a, b)
     got = {(r.archive, r.place, r.fault) for r in faults.collect()}
-    assert {(256, 17, "corrupt"), (258, 2999 - 2048, "corrupt")} <= got and any(f in ("missing", "corrupt") for _, _, f in got)
+    assert {(0, 17, "corrupt"), (4, 2999 - 2048, "corrupt")} <= got and any(f == "missing" for _, _, f in got)
     assert unequal[0] == 1 and max(unequal[:-1]) < 100
-    none, equal = warc.audit(a, warc.records(pages(spark, rows[::-1])))
+    none, equal = warc.audit(a, warc.trees(warc.archives(pages(spark, rows[::-1]), lost=2)))
     assert none.count() == 0 and equal == [0]
-    report = warc.report(pages(spark, rows), pages(spark, broken)).collect()
-    assert sum(r.fault is None for r in report) + len(got) == len(rows)
-
-
-def test_archives_hold_records_at_their_offsets(spark, tmp_path):
-    table = pages(spark, [(i, "http://é/", "ü" * i) for i in range(50)])
-    stored = {r.archive: bytes(r.content) for r in warc.write_archives(table, str(tmp_path / "w")).collect()}
-    for r in warc.records(table, with_bytes=True).collect():
-        assert stored[r.archive][r.start : r.start + r.length].decode() == r.record
-    assert warc.report(table.limit(0), table.limit(0)).count() == 0
+    report = warc.report(one, two).collect()
+    assert sum(r.fault is None for r in report) + len(got) == len(rows) - 1 and sum(r.copies == 2 for r in report) == 1
+
+
+def test_stored_bytes_are_audited(spark, tmp_path):
+    table = pages(spark, [(i, "http://é/", "ü" * i) for i in range(1500)]).withColumns({c: F.lit("x") for c in ("record", "digest", "archive", "index", "content", "place", "node", "id")})
+    one = warc.write_archives(warc.archives(table), str(tmp_path / "a"))
+    two = warc.write_archives(warc.damaged(one, every=500), str(tmp_path / "b"))
+    for r in one.collect():
+        for place, e in enumerate(r["index"]):
+            text = bytes(r.content)[e.start : e.start + e.length].decode()
+            assert text.startswith("WARC/1.1\r\nWARC-Type: resource\r\n") and "\r\nWARC-Date: 1970" in text and f"<urn:page:{e.id}>" in text and text.endswith("ü" * e.id + "\r\n\r\n") and place == e.id % 1024
+    faults = {(r.page_id, r.fault) for r in warc.report(one, two).collect() if r.fault}
+    assert faults == {(i, "corrupt") for i in (5, 505, 1005)}
+    assert warc.drill(table.limit(0)).count() == 0
+
+
+def test_trees_against_plain_hashes(spark):
+    import hashlib
+
+    rows = [(i, f"http://h/{i}", "x" * (i % 7)) for i in range(600)]
+    got = {r.archive: r for r in warc.trees(warc.archives(pages(spark, rows))).collect()}[0]
+    level = [f"{e.start}:{e.end}:{e.digest}" for e in got.levels[0]]
+    for above in got.levels[1:]:
+        folded = [level[i : i + 16] for i in range(0, len(level), 16)]
+        want = [f"{c[0].split(':')[0]}:{c[-1].split(':')[1]}:{hashlib.sha256('|'.join(c).encode()).hexdigest()}" for c in folded]
+        level = [f"{e.start}:{e.end}:{e.digest}" for e in above]
+        assert level == want
+    assert len(level) == 1
 
 
 # mixing
