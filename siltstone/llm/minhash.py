@@ -162,7 +162,7 @@ def _linked(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
     both = F.size(F.array_intersect("sa", "sb"))
     # sizes alone rule out most false candidates before sets meet
     fits = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    sized = pairs.join(x.select("a", "na"), "a").join(y.select("b", "nb"), "b").where(fits).select("a", "b")
+    sized = saved(pairs.join(x.select("a", "na"), "a").join(y.select("b", "nb"), "b").where(fits).select("a", "b"))
     return sized.join(x, "a").join(y, "b").withColumn("i", both).where(100 * F.col("i") >= threshold * (F.col("na") + F.col("nb") - F.col("i"))).select("a", "b")
 
 
@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = saved(_linked(best, full, threshold), n_stars)
     roots = saved(components(links))
     for pairs in (_between_stars, _between_members):
-        more = saved(_linked(pairs(stars, members, roots, full, threshold), full, threshold), n_stars)
+        # tables in between keep plans, and what the driver holds of them, small
+        more = saved(_linked(saved(pairs(stars, members, roots, full, threshold)), full, threshold), n_stars)
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = saved(components(links))
@@ -247,11 +248,10 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     beyond = away.where("spare > 0").groupBy("hub").agg(F.min("spare").alias("beyond"))
     each = join_salted(away, beyond, "hub", "cid").select("hub", "cid", F.explode("listed").alias("element"))
     each = saved(each)
-    often = each.groupBy("hub", "element").agg(F.count("*").alias("often"))
+    often = saved(each.groupBy("hub", "element").agg(F.count("*").alias("often")).where("often > 1"))
     ranked = join_salted(each, often, ["hub", "element"], "cid").groupBy("hub", "cid").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("ranked"))
-    measured = join_salted(away.drop("listed"), beyond, "hub", "cid").join(ranked, ["hub", "cid"])
-    shared = F.transform(F.filter("ranked", lambda e: e["often"] > 1), lambda e: e["element"])
-    measured = measured.withColumn("listed", shared).withColumn("class", F.floor(F.log2(F.greatest("w", F.lit(1))) * _OCTAVE).cast("int"))
+    measured = join_salted(away.drop("listed"), beyond, "hub", "cid").join(saved(ranked), ["hub", "cid"])
+    measured = measured.withColumn("listed", F.col("ranked.element")).withColumn("class", F.floor(F.log2(F.greatest("w", F.lit(1))) * _OCTAVE).cast("int"))
     measured = saved(measured.withColumn("length", F.size("listed").cast("long")).drop("ranked"))
     classes = measured.groupBy("hub").agg(F.collect_set("class").alias("classes"))  # a few for each power of two
     least_w = F.pow(F.lit(2.0), F.col("class") / _OCTAVE) - 0.001

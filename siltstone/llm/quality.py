@@ -17,10 +17,10 @@ rows in the same way), as if it were ``PRIOR`` more observations.  So a group of
 a large one by its own rows.  Equal vectors of a group count once in estimates: copies of a text, however
 many, are one observation.  A ridge of ``RIDGE`` (about a tenth of an ordinary deviation) keeps covariances regular.
 
-A step is two aggregations: counts in (group, start, distance bin), which give the bin that the share reaches, then
-integer moments of what lies within.  Both are pre-aggregated in the reading tasks, so a group with a third of all
+A step is one aggregation: integer moments in cells of (group, start, distance bin), which are then cumulated by bin up to the
+share.  Cells are pre-aggregated in the reading tasks, so a group with a third of all
 rows costs no more than others, and integer sums make the result the same for any partitioning.  Observations of one bin
-(1/256 of a natural log of 1 + distance) are kept or left together.
+(1/64 of a natural log of 1 + distance) are kept or left together.
 
 Defined results: null text has no words and fails the base rule; a null
 language or source counts as the empty string; rows that fail the base rule have no distance and enter no estimate; every other row has one;
@@ -40,7 +40,7 @@ UNIT, LIMIT = 4096, 8191
 RUN, DAMP = 50, 1000
 SHARE = 0.75
 PRIOR = 50
-FIRST, MOST_STEPS, FALL = 2, 20, 1e-3
+FIRST, MOST_STEPS, FALL = 2, 20, 0.005
 #: Chi-squared quantile at 0.9999 for four statistics, and the factor that makes the
 #: covariance of the central 75 % consistent at the normal distribution.
 CUTOFF, CONSISTENT = 23.51, 1.486
@@ -48,7 +48,7 @@ STATS = ("word_length", "punctuation", "capitals", "variety")
 RIDGE = 0.0007 * UNIT
 _RAW = tuple(f"raw_{s}" for s in STATS)
 _SCORE = 1024  # tanh scores and signs are rounded to 1/_SCORE
-_BINS = 256
+_BINS = 64
 _WORD = r"[^\x20\x09-\x0D]+"
 _N = len(STATS)
 _PAIRS = [(i, j) for i in range(_N) for j in range(i + 1)]
@@ -118,7 +118,7 @@ def _by_level(cells: DataFrame, summary: Callable[[DataFrame, list[str]], DataFr
         return summary(cells, _GROUP).select(*_GROUP, "n", *mixed, *[F.col(c).alias(f"l_{c}") for c in mixed])
     langs = summary(cells, _GROUP[:1])
     langs = langs.select(_GROUP[0], *[_mixed(F.col(c), _constant(whole[c]), F.col("n")).alias(f"l_{c}") for c in mixed])
-    groups = summary(cells, _GROUP).join(cast(saved(langs)), _GROUP[0])
+    groups = summary(cells, _GROUP).join(cast(langs), _GROUP[0])
     return groups.select(*_GROUP, "n", *[_mixed(F.col(c), F.col(f"l_{c}"), F.col("n")).alias(c) for c in mixed], *[f"l_{c}" for c in mixed])
 
 
@@ -146,21 +146,20 @@ def _vector(rows: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def _factored(df: DataFrame, keep: list[str]) -> DataFrame:
-    """keep with l, the Cholesky factor of the covariance c, and half the log of the determinant."""
-    out = df
-    for i, j in _PAIRS:  # an entry after the other
-        rest = F.get("c", F.lit(_AT[i, j]))
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        out = out.withColumn(f"l{i}{j}", F.sqrt(rest) if i == j else rest / F.col(f"l{j}{j}"))
-    logs = F.lit(0.0)
-    for i in range(_N):
-        logs = logs + F.log(F.col(f"l{i}{i}"))
-    return out.select(*keep, F.array(*[F.col(f"l{i}{j}") for i, j in _PAIRS]).alias("l"), logs.alias("logdet"))
+    """keep with l, the Cholesky factor of the covariance c, and half the log of the determinant.
+
+    Each entry names those before it, in one select.
+    """
+    entries = []
+    for i, j in _PAIRS:
+        rest = " - ".join([f"c[{_AT[i, j]}]", *(f"l{i}{k} * l{j}{k}" for k in range(j))])
+        entries.append(f"sqrt({rest}) AS l{i}{i}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    logs = " + ".join(f"ln(l{i}{i})" for i in range(_N))
+    return df.selectExpr(*keep, "c", *entries).selectExpr(*keep, f"array({', '.join(f'l{i}{j}' for i, j in _PAIRS)}) AS l", f"{logs} AS logdet")
 
 
 def _ridged(c: Column) -> Column:
-    return F.array(*[F.get(c, F.lit(_AT[i, j])) + (RIDGE**2 if i == j else 0.0) for i, j in _PAIRS])
+    return F.zip_with(c, _constant([RIDGE**2 if i == j else 0.0 for i, j in _PAIRS]), lambda x, r: x + r)
 
 
 def _scores(rows: DataFrame, scales: DataFrame, cast: Callable) -> DataFrame:
@@ -191,7 +190,7 @@ def _starts(rows: DataFrame, cast: Callable) -> DataFrame:
     """(group, start, n, m, c, t_m, t_c): three starts of each group, and its target."""
     scales = saved(_by_level(_cells(rows, STATS), _quartiles, ["mid", "scale"], cast))
     related = _by_level(_scores(rows, scales, cast), _correlations, ["r_y", "r_u"], cast)
-    both = scales.join(cast(saved(related.drop("n"))), _GROUP)
+    both = scales.join(related.drop("n"), _GROUP)
 
     def covariance(scale: str, r: str | None) -> Column:
         """From scales and correlations, of which a tenth is taken off so that they are regular."""
@@ -199,35 +198,34 @@ def _starts(rows: DataFrame, cast: Callable) -> DataFrame:
         rho = lambda i, j: F.lit(float(i == j)) if i == j or r is None else 0.9 * F.get(r, F.lit(_AT[i, j]))
         return F.array(*[at(i) * at(j) * rho(i, j) for i, j in _PAIRS])
 
-    out = both.select(*_GROUP, "n", "mid", F.col("l_mid").alias("t_m"), covariance("l_scale", "l_r_y").alias("t_c"), F.posexplode(F.array(covariance("scale", None), covariance("scale", "r_y"), covariance("scale", "r_u"))).alias("start", "c"))
-    return _factored(out.withColumn("c", _ridged(F.col("c"))), [*_GROUP, "start", "n", F.col("mid").alias("m"), "t_m", "t_c"])
+    out = both.select(*_GROUP, "n", F.col("mid").alias("m"), F.col("l_mid").alias("t_m"), covariance("l_scale", "l_r_y").alias("t_c"), F.posexplode(F.array(covariance("scale", None), covariance("scale", "r_y"), covariance("scale", "r_u"))).alias("start", "c"))
+    return _factored(out.withColumn("c", _ridged(F.col("c"))), [*_GROUP, "start", "n", "m", "t_m", "t_c"])
 
 
-def _distance(m: str = "m", l: str = "l") -> Column:
-    """Squared Mahalanobis distance by forward substitution in the Cholesky factor."""
-    z: list[Column] = []
+def _measured(df: DataFrame, keep: list[str]) -> DataFrame:
+    """keep with the squared Mahalanobis distance from the centre m, by forward substitution in the factor l."""
+    z = []
     for i in range(_N):
-        rest = F.col(STATS[i]) - F.get(m, F.lit(i))
-        for j in range(i):
-            rest = rest - F.get(l, F.lit(_AT[i, j])) * z[j]
-        z.append(rest / F.get(l, F.lit(_AT[i, i])))
-    return sum((x * x for x in z[1:]), z[0] * z[0])
+        rest = " - ".join([f"{STATS[i]} - m[{i}]", *(f"l[{_AT[i, j]}] * z{j}" for j in range(i))])
+        z.append(f"({rest}) / l[{_AT[i, i]}] AS z{i}")
+    names = [f"`{c}`" for c in keep]
+    return df.selectExpr(*names, *STATS, "m", "l", *z).selectExpr(*names, *STATS, " + ".join(f"z{i} * z{i}" for i in range(_N)) + " AS distance")
 
 
 def _concentrated(rows: DataFrame, estimate: DataFrame, cast: Callable) -> DataFrame:
     """One step: the estimate from the share of each group that is nearest to an estimate."""
     key = [*_GROUP, "start"]
-    near = rows.join(cast(estimate.select(*key, "m", "l")), _GROUP).withColumn("bin", F.least(F.floor(F.log1p(_distance()) * _BINS), F.lit(100_000)).cast("int"))
-    counts = near.groupBy(*key, "bin").agg(F.count("*").alias("count"))
+    near = _measured(rows.join(cast(estimate.select(*key, "m", "l")), _GROUP), key)
+    bin_ = f"CAST(least(floor(ln(1 + distance) * {_BINS}), 10000) AS INT) AS bin"
+    names = ["h", *[f"s{i}" for i in range(_N)], *[f"q{i}{j}" for i, j in _PAIRS]]
+    sums = ["count(*)", *[f"sum({x})" for x in STATS], *[f"sum({STATS[i]} * {STATS[j]})" for i, j in _PAIRS]]
+    cells = near.selectExpr(*key, bin_, *STATS).groupBy(*key, "bin").agg(*[F.expr(x).alias(n) for x, n in zip(sums, names, strict=True)])
     by = Window.partitionBy(*key)  # as many rows as there are bins, at most
-    upto = counts.withColumn("upto", F.sum("count").over(by.orderBy("bin"))).withColumn("all", F.sum("count").over(by))
-    cut = saved(upto.where(F.col("upto") >= F.ceil(F.col("all") * SHARE)).groupBy(*key).agg(F.min("bin").alias("cut")))
-    s = lambda i: F.col(STATS[i])
-    inner = near.join(cast(cut), key).where("bin <= cut").groupBy(*key).agg(F.count("*").cast("double").alias("h"), *[F.sum(s(i)).alias(f"s{i}") for i in range(_N)], *[F.sum(s(i) * s(j)).alias(f"q{i}{j}") for i, j in _PAIRS])
-    mean = [F.col(f"s{i}") / F.col("h") for i in range(_N)]
-    own = F.array(*[CONSISTENT * (F.col(f"q{i}{j}") / F.col("h") - mean[i] * mean[j]) for i, j in _PAIRS])
-    inner = inner.select(*key, F.array(*mean).alias("own_m"), own.alias("own_c"))
-    out = estimate.select(*key, "n", "t_m", "t_c", F.col("logdet").alias("before")).join(cast(saved(inner)), key)
+    cells = cells.withColumn("before", F.sum("h").over(by.orderBy("bin")) - F.col("h")).withColumn("all", F.sum("h").over(by))
+    inner = cells.where(F.col("before") < F.ceil(F.col("all") * SHARE)).groupBy(*key).agg(*[F.sum(n).cast("double").alias(n) for n in names])
+    own = [f"{CONSISTENT} * (q{i}{j} / h - s{i} / h * (s{j} / h))" for i, j in _PAIRS]
+    inner = inner.selectExpr(*key, f"array({', '.join(f's{i} / h' for i in range(_N))}) AS own_m", f"array({', '.join(own)}) AS own_c")
+    out = estimate.select(*key, "n", "t_m", "t_c", F.col("logdet").alias("before")).join(inner, key)
     out = out.select(*key, "n", _mixed(F.col("own_m"), F.col("t_m"), F.col("n")).alias("m"), _ridged(_mixed(F.col("own_c"), F.col("t_c"), F.col("n"))).alias("c"), "t_m", "t_c", "before")
     return saved(_factored(out, [*key, "n", "m", "t_m", "t_c", "before"]))
 
@@ -248,9 +246,9 @@ def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     for step in range(MOST_STEPS):
         estimate = _concentrated(vectors, estimate, cast)
         if step + 1 == FIRST:
-            best = estimate.groupBy(*_GROUP).agg(F.min(F.struct("logdet", "start")).alias("b")).select(*_GROUP, F.col("b.start").alias("start"))
-            estimate = saved(estimate.join(cast(best), [*_GROUP, "start"]))
-        elif step >= FIRST and not (estimate.agg(F.max(F.col("before") - F.col("logdet"))).first()[0] or 0) > FALL:
+            first = Window.partitionBy(*_GROUP).orderBy("logdet", "start")  # three rows each
+            estimate = estimate.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank")
+        elif step > FIRST and step % 2 and not (estimate.agg(F.max(F.col("before") - F.col("logdet"))).first()[0] or 0) > FALL:
             break
     return cast(centers), cast(estimate.select(*_GROUP, "m", "l"))
 
@@ -258,8 +256,8 @@ def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _judged(rows: DataFrame, fitted: tuple[DataFrame, DataFrame]) -> DataFrame:
     """rows with their vectors, the distance from their group's estimate, and kept."""
     centers, estimates = fitted
-    out = _vector(rows, centers).join(estimates.select(*_GROUP, F.col("m").alias("_m"), F.col("l").alias("_l")), _GROUP, "left")
-    out = out.select(*rows.columns, *STATS, F.when(~F.col("base_failed"), _distance("_m", "_l")).alias("distance"))
+    out = _measured(_vector(rows, centers).join(estimates, _GROUP, "left"), rows.columns)
+    out = out.withColumn("distance", F.when(~F.col("base_failed"), F.col("distance")))
     # one expression over both sides of the join: as two conditions, a filter's first would be pushed down and every count taken again for it
     return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))))
 

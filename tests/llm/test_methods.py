@@ -89,8 +89,8 @@ def test_mcd_against_independent_fast_mcd(spark, monkeypatch):
         factor = np.zeros((4, 4))
         for k, (i, j) in enumerate(quality._PAIRS):
             factor[i, j] = found[lang].l[k]
-        # as good an ellipsoid: its volume is within 5 % of the least of many random starts, and verdicts agree
-        assert np.log(np.diag(factor)).sum() <= least / 2 + 0.05
+        # as good an ellipsoid: its volume is within 10 % of the least of many random starts, and verdicts agree
+        assert np.log(np.diag(factor)).sum() <= least / 2 + 0.1
         z = np.linalg.solve(factor, (x - np.array(found[lang].m)).T)
         got, want = (z * z).sum(0), np.einsum("ij,ij->i", (x - mean) @ np.linalg.inv(cov), x - mean)
         assert np.mean((got <= quality.CUTOFF) == (want <= quality.CUTOFF)) > 0.98
