@@ -21,15 +21,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
+#: Query vectors that are sent to the points at once.
+BLOCK = 4096
+
+
 def top_k(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
-    """(query_id, id, score, place): the k nearest points of each query by dot product of unit vectors.
+    """(query_id, id, score, place): the k nearest points of each query by dot product of unit vectors; ties go to the lower id.
 
-    queries is (query_id, query), a stated set that is small against the points: it is sent to
-    them in one piece, and each reading task keeps its best k a query before the shuffle.
+    queries is (query_id, query), a stated set.  It is counted, and sent to the points in blocks of about ``BLOCK``
+    queries; each reading task keeps its best k a query before the shuffle.  Scores are rounded after the ranking.
     """
-    pairs = points.join(F.broadcast(queries)).select("query_id", id_col, F.round(dot(F.col(vector_col), F.col("query")), digits).alias("score"))
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-    return pairs.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+    blocks = -(-queries.count() // BLOCK) or 1
+    best = None
+    for b in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = points.join(F.broadcast(block)).select("query_id", id_col, dot(F.col(vector_col), F.col("query")).alias("score"))
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+        near = pairs.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
+        best = near if best is None else best.unionByName(near)
+    return best.withColumn("score", F.round("score", digits))
 
 
 def retention_score(category: Column, days: Column, access_count: Column, crawl_count: Column) -> Column:

@@ -37,20 +37,24 @@ def corpus_report(spark, sf_dir):
 
 
 @family.query(
-    f"""WITH near AS (SELECT vec_id AS doc_id, place, 1 AS list_no FROM ({_RANKED}) WHERE query_id = 100 AND place <= 10), words AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, 0 AS list_no FROM (SELECT doc_id FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id LIMIT 10)),
-merged AS (SELECT doc_id, min(list_no) AS list_no, arg_min(place, list_no) AS place FROM (SELECT * FROM words UNION ALL SELECT doc_id, place, list_no FROM near) GROUP BY doc_id), top AS (SELECT *, row_number() OVER (ORDER BY list_no, place) AS n FROM merged ORDER BY n LIMIT 8)
-SELECT string_agg('[' || n || '] ' || substr(text, 1, 100), chr(10) ORDER BY n) AS context, count(*) AS sources FROM top JOIN documents USING (doc_id)"""
+    f"""WITH near AS (SELECT query_id, vec_id AS doc_id, place, 1 AS list_no FROM ({_RANKED}) WHERE place <= 10), words AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place, 0 AS list_no FROM (SELECT doc_id FROM documents WHERE contains(lower(text), 'the') ORDER BY doc_id LIMIT 4)),
+lists AS (SELECT query_id, w.doc_id, w.place, w.list_no FROM (SELECT DISTINCT query_id FROM near) CROSS JOIN words w UNION ALL SELECT query_id, doc_id, place, list_no FROM near),
+merged AS (SELECT query_id, doc_id, min(list_no) AS list_no, arg_min(place, list_no) AS place FROM lists GROUP BY query_id, doc_id), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY list_no, place) AS n FROM merged QUALIFY n <= 8)
+SELECT query_id, string_agg('[' || n || '] ' || substr(text, 1, 100), chr(10) ORDER BY n) AS context, count(*) AS sources FROM top JOIN documents USING (doc_id) GROUP BY query_id"""
 )
 def answer_context(spark, sf_dir):
-    """Keyword hits, then vector hits, first wins; the first 8 as a numbered context."""
+    """For each query keyword hits (4, by id), then vector hits, first wins; the first 8 as a numbered context."""
     docs = table(spark, sf_dir, "documents")
-    near = V.top_k(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir).where("query_id = 100"), 10).select(F.col("vec_id").alias("doc_id"), F.col("place").cast("long").alias("place"))
-    words = docs.where(F.lower("text").contains("the")).select("doc_id").orderBy("doc_id").limit(10).withColumn("place", F.row_number().over(Window.orderBy("doc_id")).cast("long"))
-    top = D.first_wins_union(words, near, key="doc_id", order="place").orderBy("list_no", "place").limit(8)
-    top = top.withColumn("n", F.row_number().over(Window.orderBy("list_no", "place")))
+    near = V.top_k(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 10).select("query_id", F.col("vec_id").alias("doc_id"), F.col("place").cast("long").alias("place"))
+    words = docs.where(F.lower("text").contains("the")).select("doc_id").orderBy("doc_id").limit(4)
+    hits = words.agg(F.transform(F.array_sort(F.collect_list("doc_id")), lambda v, i: F.struct(v.alias("doc_id"), (i + 1).cast("long").alias("place"))).alias("hits"))
+    keyword = near.select("query_id").distinct().join(F.broadcast(hits)).select("query_id", F.inline("hits"))  # one row of 4 hits
+    both = keyword.withColumn("list_no", F.lit(0)).unionByName(near.withColumn("list_no", F.lit(1)))
+    merged = D.first_per_key(both, ["query_id", "doc_id"], ["list_no", "place"])
+    top = merged.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("list_no", "place"))).where("n <= 8")
     piece = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), F.substring("text", 1, 100))
-    rows = top.join(docs, "doc_id").select("n", piece.alias("piece"))
-    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "\n").alias("context"), F.count("*").alias("sources"))
+    rows = docs.select("doc_id", "text").join(top, "doc_id").select("query_id", "n", piece.alias("piece"))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x["piece"]), "\n").alias("context"), F.count("*").alias("sources"))
 
 
 @family.query(f"SELECT page_id, url, score FROM (SELECT page_id, url, {SCORE} AS score, {HOST} AS host, row_number() OVER (PARTITION BY {HOST} ORDER BY {SCORE} DESC, page_id) AS n FROM pages WHERE NOT regexp_matches({P}, '{U.LOW_VALUE_PATHS}')) WHERE n <= 2 AND score > -1000")

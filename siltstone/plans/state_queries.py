@@ -118,8 +118,8 @@ def pagination(spark, sf_dir):
 
 
 _QUERIES = "SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 50 = 0"
-_DOT = "round(list_sum(list_transform(list_zip(embedding, query), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))), 6)"
-_RANKED = f"SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (SELECT query_id, vec_id, {_DOT} AS score FROM embeddings, ({_QUERIES}))"
+_DOT = "list_sum(list_transform(list_zip(embedding, query), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)))"
+_RANKED = f"SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (SELECT query_id, vec_id, {_DOT} AS score FROM embeddings, ({_QUERIES}))"
 
 
 def _queries(spark, sf_dir):
@@ -131,27 +131,36 @@ def vector_topk(spark, sf_dir):
     return V.top_k(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 10)
 
 
-@family.query(f"SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (SELECT query_id, vec_id, {_DOT} AS score FROM (SELECT * FROM embeddings WHERE label = 3), ({_QUERIES}))")
+_FAR = "place - CASE WHEN vec_id % 3 = 0 THEN 30 ELSE 0 END"
+
+
+@family.query(f"SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_FAR}) AS INT) AS place FROM ({_RANKED}) WHERE place <= 20")
 def vector_rerank(spark, sf_dir):
-    """Candidates of one label, reordered for each query."""
-    candidates = table(spark, sf_dir, "embeddings").where("label = 3")
-    return V.top_k(candidates, _queries(spark, sf_dir), 1 << 30)
+    """The candidates of each query's own search in another order (here a second score that favours every third one)."""
+    near = V.top_k(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 20)
+    by = Window.partitionBy("query_id").orderBy(F.expr(_FAR))
+    return near.withColumn("place", F.row_number().over(by)).select("query_id", "vec_id", "score", "place")
+
+
+_KEYWORD = "SELECT doc_id AS vec_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE contains(text, 'the') ORDER BY doc_id LIMIT 20"
 
 
-@family.query(f"""WITH near AS (SELECT vec_id, place FROM ({_RANKED}) WHERE place <= 20 AND query_id = 0), keyword AS (SELECT doc_id AS vec_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE contains(text, 'the') AND doc_id < 400 ORDER BY doc_id LIMIT 20)
-SELECT vec_id, min(list_no) AS list_no, arg_min(place, list_no) AS place FROM (SELECT *, 0 AS list_no FROM keyword UNION ALL SELECT *, 1 FROM near) GROUP BY vec_id""")
+@family.query(f"""WITH near AS (SELECT query_id, vec_id, place FROM ({_RANKED}) WHERE place <= 20), keyword AS ({_KEYWORD}), both_lists AS (SELECT query_id, k.vec_id, k.place, 0 AS list_no FROM (SELECT DISTINCT query_id FROM near) CROSS JOIN keyword k UNION ALL SELECT query_id, vec_id, place, 1 FROM near)
+SELECT query_id, vec_id, min(list_no) AS list_no, arg_min(place, list_no) AS place FROM both_lists GROUP BY query_id, vec_id""")
 def vector_hybrid_merge(spark, sf_dir):
-    near = V.top_k(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir).where("query_id = 0"), 20).select("vec_id", F.col("place").cast("long").alias("place"))
-    words = table(spark, sf_dir, "documents").where("contains(text, 'the') and doc_id < 400").select(F.col("doc_id").alias("vec_id")).orderBy("vec_id").limit(20)
-    keyword = words.withColumn("place", F.row_number().over(Window.orderBy("vec_id")).cast("long"))
-    return D.first_wins_union(keyword, near, key="vec_id", order="place").select("vec_id", "list_no", "place")
+    """For each query keyword hits (20, by id), then its nearest vectors; the first list that has a point wins."""
+    near = V.top_k(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 20).select("query_id", "vec_id", F.col("place").cast("long").alias("place"))
+    words = table(spark, sf_dir, "documents").where("contains(text, 'the')").select(F.col("doc_id").alias("vec_id")).orderBy("vec_id").limit(20)
+    hits = words.agg(F.transform(F.array_sort(F.collect_list("vec_id")), lambda v, i: F.struct(v.alias("vec_id"), (i + 1).cast("long").alias("place"))).alias("hits"))
+    keyword = near.select("query_id").distinct().join(F.broadcast(hits)).select("query_id", F.inline("hits"))  # one row of 20 hits
+    both = keyword.withColumn("list_no", F.lit(0)).unionByName(near.withColumn("list_no", F.lit(1)))
+    return D.first_per_key(both, ["query_id", "vec_id"], ["list_no", "place"]).select("query_id", "vec_id", "list_no", "place")
 
 
-@family.query(f"SELECT vec_id, round(score / 1, 5) AS score FROM ({_RANKED}) WHERE query_id = 50 AND place <= 15")
+@family.query(f"SELECT query_id, vec_id, score FROM ({_RANKED}) WHERE place <= 15")
 def find_similar(spark, sf_dir):
-    """Nearest by cosine; the page itself is among them."""
-    q = _queries(spark, sf_dir).where("query_id = 50")
-    return V.top_k(table(spark, sf_dir, "embeddings"), q, 15).select("vec_id", F.round("score", 5).alias("score"))
+    """Nearest by cosine of each query page; the page itself is among them."""
+    return V.top_k(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 15).select("query_id", "vec_id", "score")
 
 
 @family.query(f"SELECT query_id, arg_min(vec_id, place) AS vec_id, arg_min(score, place) AS score FROM ({_RANKED}) WHERE place <= 5 AND score >= 0.3 AND vec_id % 4 <> 0 GROUP BY query_id")

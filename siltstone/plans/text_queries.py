@@ -185,9 +185,10 @@ def error_classify(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.error_type(F.expr(_MSG), F.expr(_CODE)).alias("error_type"))
 
 
-@family.query("SELECT doc_id, CAST(floor(length(text) / 400) AS BIGINT) AS bucket, substr(text, 1, 500) AS head FROM documents")
+@family.query("SELECT doc_id, source || ' ' || CASE WHEN contains(text, chr(10) || chr(10)) THEN split_part(text, chr(10) || chr(10), 1) ELSE substr(text, 1, 500) END AS search FROM documents")
 def keyword_query(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.floor(F.length("text") / 400).alias("bucket"), F.substring(T.keyword_query(F.lit(""), F.col("text")), 2, 500).alias("head"))
+    """Title (here the source) and whole first paragraph; 500 characters are the operator's own limit for texts without paragraphs."""
+    return _docs(spark, sf_dir).select("doc_id", T.keyword_query(F.col("source"), F.col("text")).alias("search"))
 
 
 @family.query("SELECT doc_id, regexp_extract(substr(text, 1, 120), '^(?s)(.*) ', 1) AS highlight FROM documents WHERE length(text) > 120")

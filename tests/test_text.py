@@ -87,13 +87,24 @@ def test_citations(spark):
     assert first == "a [1](http://x) b [2](u) [9] [1]" and len(found) == 1
 
 
-def test_plans():
-    plan = R.normalized_plan({"phases": [{"action": "scrape", "estimated_sources": -1}], "estimated_sources": 0}, "q")
-    assert [p["action"] for p in plan["phases"]] == ["search", "scrape", "synthesize"] and plan["estimated_sources"] == 5
-    with pytest.raises(ValueError):
-        R.normalized_plan({"phases": []}, "q")
-    out = R.modified_plan(plan, {"narrow": "n", "add_dimension": ["a", "b", "a"], "remove_dimension": ["b"]}, "q")
-    assert out["phases"][0]["description"].startswith("[FOCUS: n]") and out["comparison_dimensions"] == ["a"] and plan["comparison_dimensions"] == []
+def test_plans(spark):
+    phase = "struct<action:string,title:string,description:string,estimated_sources:int,queries:array<string>>"
+    changes = "narrow string, modify_queries array<struct<phase_index:int,new_query:string>>, add_dimension array<string>, remove_dimension array<string>"
+    rows = [
+        (1, "q", [("scrape", None, None, -1, None)], 0, None, "n", [(1, "new"), (7, "none")], ["a", "b", "a"], ["b"]),
+        (2, "q", [], None, None, None, None, None, None),
+        (3, "q", [("dance", None, None, 1, None)], None, None, None, None, None, None),
+        (4, "q", [(None, "t", "d", 2, ["x"]), ("synthesize", None, "end", 0, None)], None, ["z"], "", None, None, None),
+    ]
+    plans = spark.createDataFrame(rows, f"id int, prompt string, phases array<{phase}>, estimated_sources int, comparison_dimensions array<string>, {changes}")
+    whole = R.completed_plans(plans)
+    got = {r.id: r for r in whole.collect()}
+    assert [p.action for p in got[1].phases] == ["search", "scrape", "synthesize"] and got[1].estimated_sources == 5 and got[1].phases[1].title == "Phase 1" and got[1].phases[0].queries == ["q"]
+    assert (got[2].problem, got[3].problem, got[1].problem, got[2].phases) == ("no phases", "unknown action", None, None)
+    assert [p.title for p in got[4].phases] == ["t", "end"] and got[4].estimated_sources == 10
+    changed = {r.id: r for r in R.changed_plans(whole).collect()}
+    assert changed[1].phases[0].description == "[FOCUS: n] Search for: q" and changed[1].phases[1].description == "new" and changed[1].comparison_dimensions == ["a"]
+    assert changed[4].phases == got[4].phases and changed[4].comparison_dimensions == ["z"] and changed[2].phases is None
     assert R.valid_params({"max_depth": "3", "max_pages": 0, "include_paths": ["a", 1]}) == {"max_depth": 3}
     assert R.merged_params({"max_depth": 1}, {"max_depth": 2, "max_pages": None}) == {"max_depth": 2}
     assert R.salvaged_json('x ```json\n{"a": 1}\n``` y') == {"a": 1} and R.salvaged_json("{bad") is None
