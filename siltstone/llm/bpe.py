@@ -3,10 +3,11 @@
 1. Texts are split into words (pre-tokens), and each partition's rows, in the order of their hash, are cut into chunks of
    about ``CHUNK`` characters.  A chunk keeps, for each row, the places of its words in the chunk's own list of distinct
    words; that list is rows of (chunk, place, word), so a word that is in every text costs one row a chunk, not one an occurrence.
-2. The distinct words of all chunks are a table, and each is encoded once.
+2. The distinct words of all chunks are a table, made from the lists as they are dealt by word, and each is encoded once.
 3. Ids are decoded on that table: exploded ids join the vocabulary (a table of fixed size: 50,257 pieces, under 1 MB)
    and pieces are put together by position, once for each distinct word.
-4. The lists join the table by word, return to their chunks, and ids and pieces are joined back by position.
+4. The lists join the table by word, where they lie, return to their chunks in packed blocks, and ids and pieces are joined
+   back by position.
 
 A task holds one chunk.  Chunks are made twice, for the lists and for the places.  Both times they are the same, as a partition's
 rows are sorted first; should the input itself change between the two, checksums of the words differ and the task fails.
@@ -40,8 +41,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.llm.shared import lean, row_key, saved
 
-CHUNK = 24_000_000
+CHUNK = 32_000_000
 _RUN = 1000  # ids of one list that are put together at once
+_PLACE = 28  # bits of a place in a chunk's list; the chunk's number lies above them
 #: The splitting rule of this family of vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -146,7 +148,7 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str):
         rank = np.empty(len(common), np.uint32)
         rank[common] = np.arange(len(common), dtype=np.uint32)
         words = list(seen)
-        return (part << 24) + number, [words[i] for i in common.tolist()], ids, rank[places], [len(r) for r in rows]
+        return (part << 12) + number, [words[i] for i in common.tolist()], ids, rank[places], [len(r) for r in rows]
 
     for batch in batches:
         if not len(batch):
@@ -172,7 +174,7 @@ def _lists(path: str):
         for number, words, *_ in _chunked(batches, path):
             for a in range(0, len(words), 50_000):
                 some = words[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(np.arange(a, a + len(some), dtype=np.int32)), pa.array(some, pa.string())], ["chunk", "place", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array((number << _PLACE) + np.arange(a, a + len(some))), pa.array(some, pa.string())], ["at", "word"])
 
     return run
 
@@ -196,30 +198,71 @@ def _places(path: str):
     return run
 
 
-def _encoded(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = tokenizer(path)
-        for batch in batches:
-            words = batch.column("word").to_pylist()
-            ids = [e.ids for e in model.encode_batch_fast(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+def _encoder(path: str):
+    @F.arrow_udf("array<int>")
+    def encode(words: pa.Array) -> pa.Array:
+        return pa.array([e.ids for e in tokenizer(path).encode_batch_fast(words.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
 
-    return run
+    return encode
+
+
+def _strings(values: list[bytes]) -> bytes:
+    data = b"".join(values)
+    return pickle.dumps((_pack(np.fromiter(map(len, values), np.uint32, len(values))), len(data), pa.Codec("zstd", 9).compress(data, asbytes=True)))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (at, ids, piece), sorted by at, to one packed row for each chunk and task."""
+
+    def packed(chunk: int, held: list[pa.Table]) -> pa.RecordBatch:
+        t = pa.concat_tables(held).combine_chunks()
+        ids = t.column("ids").combine_chunks()
+        ids = ids if isinstance(ids, pa.Array) else pa.concat_arrays(ids.chunks)
+        flat = ids.flatten().to_numpy().astype(np.uint32)
+        lens = np.diff(ids.offsets.to_numpy()).astype(np.uint32)
+        place = (t.column("at").to_numpy() & ((1 << _PLACE) - 1)).astype(np.uint32)
+        payload = pickle.dumps((_pack(np.diff(place, prepend=np.uint32(0))), _pack(lens), _pack(flat), _strings(t.column("piece").to_pylist())))
+        return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([payload], pa.binary())], ["chunk", "payload"])
+
+    chunk, held = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        of = batch.column("at").to_numpy() >> _PLACE
+        cuts = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if int(of[a]) != chunk and held:
+                yield packed(chunk, held)
+                held = []
+            chunk = int(of[a])
+            held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+    if held:
+        yield packed(chunk, held)
 
 
 def _joined_back(kind: pa.DataType):
-    def assemble(lists: pa.Table, own: pa.Table) -> pa.Table:
+    def assemble(blocks: pa.Table, own: pa.Table) -> pa.Table:
         """A chunk's rows from the ids and pieces of its words, by position."""
-        lists = lists.sort_by("place").combine_chunks()
         check, table, packed = pickle.loads(own.column("payload")[0].as_py())
-        if lists.num_rows and lists.column("place")[lists.num_rows - 1].as_py() != lists.num_rows - 1 or _checksum(lists.column("crc").to_numpy()) != check:
-            raise RuntimeError("the words of a chunk are not those that were encoded: its input has changed in between")
         table, places = pa.ipc.open_stream(table).read_all().combine_chunks(), _unpack(packed)
-        whole = lambda c: x if isinstance(x := lists.column(c).combine_chunks(), pa.Array) else pa.concat_arrays(x.chunks)
-        ids = whole("ids") if lists.num_rows else pa.array([], pa.list_(pa.int32()))
-        at = ids.offsets.to_numpy().astype(np.int64)
-        flat, begin, lens = ids.values.to_numpy(), at[:-1], np.diff(at)
-        pieces_ = whole("piece").to_pylist() if lists.num_rows else []
+        none = np.zeros(0, np.uint32)
+        parts = [pickle.loads(x.as_py()) for x in blocks.column("payload")]
+        place = np.concatenate([none, *(np.cumsum(_unpack(p[0]), dtype=np.uint32) for p in parts)]).astype(np.int64)
+        lens_ = np.concatenate([none, *(_unpack(p[1]) for p in parts)]).astype(np.int64)
+        flat = np.concatenate([none, *(_unpack(p[2]) for p in parts)]).astype(np.int32)
+        spelled_: list[bytes] = []
+        for p in parts:
+            sizes, length, data = pickle.loads(p[3])
+            data = pa.Codec("zstd").decompress(data, length, asbytes=True) if length else b""
+            ends = np.cumsum(_unpack(sizes).astype(np.int64)).tolist()
+            spelled_ += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        order = np.argsort(place, kind="stable")
+        pieces_ = [spelled_[i] for i in order.tolist()]
+        # byte-level pieces spell a word's own bytes
+        if not np.array_equal(place[order], np.arange(len(place))) or _checksum(np.fromiter(map(crc32, pieces_), np.uint32, len(pieces_))) != check:
+            raise RuntimeError("the words of a chunk are not those that were encoded: its input has changed in between")
+        begin = (np.cumsum(lens_) - lens_)[order]
+        lens = lens_[order]
         counts = table.column("n").to_numpy()
         bounds = [0, *accumulate(counts.tolist())]
         out, step = [], 0
@@ -232,9 +275,9 @@ def _joined_back(kind: pa.DataType):
             ends = np.concatenate(([0], np.cumsum(n)))
             found = flat[np.arange(int(ends[-1])) + np.repeat(begin[here] - ends[:-1], n)]
             offsets = ends[np.array(bounds[step : stop + 1]) - bounds[step]]
-            spelled = list(map(pieces_.__getitem__, here.tolist()))
-            texts = [b"".join(spelled[bounds[i] - bounds[step] : bounds[i + 1] - bounds[step]]).decode("utf-8", "replace") for i in range(step, stop)]
-            out.append(pa.table({"id": table.column("id").slice(step, stop - step).cast(kind), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found.astype(np.int32))), "decoded": pa.array(texts, pa.string())}))
+            names = list(map(pieces_.__getitem__, here.tolist()))
+            texts = [b"".join(names[bounds[i] - bounds[step] : bounds[i + 1] - bounds[step]]).decode("utf-8", "replace") for i in range(step, stop)]
+            out.append(pa.table({"id": table.column("id").slice(step, stop - step).cast(kind), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found)), "decoded": pa.array(texts, pa.string())}))
             step = stop
         return pa.concat_tables(out)
 
@@ -246,11 +289,15 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType
     read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.spark_partition_id().cast("long").alias("part"), row_key(docs[id_col], docs[text_col]).alias("order"))
     read = read.sortWithinPartitions("order").select("id", "text", "part")
-    lists = read.mapInArrow(lean(_lists(path)), "chunk long, place int, word string")
+    lists = read.mapInArrow(lean(_lists(path)), "at long, word string").repartition("word")
+    # the same exchange serves the table and the lists that join it; the maximum keeps its columns alike
+    words = lists.groupBy("word").agg(F.max("at").alias("some")).where("some >= 0")
+    each = words.withColumn("ids", _encoder(path)("word")).select("word", "some", F.posexplode("ids").alias("n", "token_id"))
+    named = each.join(F.broadcast(vocabulary(docs.sparkSession, path)), "token_id")
+    spelt = named.groupBy("word").agg(F.max("some").alias("some"), F.array_sort(F.collect_list(F.struct("n", "token_id", "piece"))).alias("p")).where("some >= 0")
+    table = spelt.select("word", F.col("p.token_id").alias("ids"), F.unhex(F.concat_ws("", F.transform("p", lambda x: F.hex(x["piece"])))).alias("piece"))
+    back = lists.join(table, "word").select("at", "ids", "piece").sortWithinPartitions("at").mapInArrow(lean(_blocks), "chunk long, payload binary")
     own = read.mapInArrow(lean(_places(path)), "chunk long, payload binary")
-    words = saved(lists.select("word").distinct().mapInArrow(lean(_encoded(path)), "word string, ids array<int>").withColumn("row", F.monotonically_increasing_id()))
-    table = words.join(spelled(words, path), "row", "left").select("word", "ids", F.coalesce("piece", F.unhex(F.lit(""))).alias("piece"))
-    back = lists.join(table, "word").select("chunk", "place", F.crc32("word").alias("crc"), "ids", "piece")
     out = back.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_joined_back(to_arrow_type(kind)), f"id {kind.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
 
