@@ -51,6 +51,15 @@ def json_ld(html: Column) -> Column:
     return F.filter(F.transform(blocks, lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
 
 
+def json_ld_items(html: Column) -> Column:
+    """The items of all JSON-LD blocks, out of lists and @graph, that have a type, a name or an address."""
+    as_list = lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    graphs = lambda v: F.coalesce(F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array(v))
+    items = F.flatten(F.transform(F.flatten(F.transform(json_ld(html), as_list)), graphs))
+    has = lambda v, path: F.try_variant_get(v, path, "variant").isNotNull()
+    return F.filter(items, lambda v: has(v, "$['@type']") | has(v, "$.name") | has(v, "$.url"))
+
+
 def language(html: Column) -> Column:
     own = F.regexp_extract(html, r'(?is)<html[^>]*\blang="([^"]*)"', 1)
     return F.substring_index(F.when(own != "", own).otherwise(F.coalesce(meta(html, "content-language", "http-equiv"), F.lit(""))), "-", 1)

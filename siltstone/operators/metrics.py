@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -78,13 +79,27 @@ def fixed_window_limit(requests: DataFrame, key: str, ts: str, order: list[str],
     return out.withColumn("allowed", F.col("place") <= limit).withColumn("remaining", F.greatest(F.lit(0), F.lit(limit) - F.col("place")))
 
 
-def _per_key(step):
-    """A grouped map that runs a Python state machine over a key's rows in order."""
+def _in_order(rows: DataFrame, start: Callable[[], Callable], columns: str) -> DataFrame:
+    """(key, row, columns) by a state machine for each key, over rows (key, row, at, ...) in order of time, then row.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(step(pdf.sort_values(["at", "row"])))
+    start() gives a fresh machine, which is called with a row's remaining columns and returns its results.  Keys share
+    partitions and rows stream through in order, so a task holds a batch and one key's state, however long its history is.
+    """
+    more = [c for c in rows.columns if c not in ("key", "row")]
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        machine, current = start(), object()
+        for pdf in batches:
+            out = []
+            for key, *rest in zip(pdf["key"].tolist(), *(pdf[c].tolist() for c in more), strict=True):
+                if key != current:
+                    machine, current = start(), key
+                out.append(machine(*rest))
+            yield pd.DataFrame({"key": pdf["key"], "row": pdf["row"]} | {n: [x[i] for x in out] for i, n in enumerate(names)})
 
-    return run
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.repartition("key").sortWithinPartitions("key", "at", "row").mapInPandas(run, f"key {kind['key']}, row {kind['row']}, {columns}")
 
 
 def sliding_window_limit(requests: DataFrame, key: str, ts: str, id_col: str, limit: int, seconds: float) -> DataFrame:
@@ -94,19 +109,21 @@ def sliding_window_limit(requests: DataFrame, key: str, ts: str, id_col: str, li
     order, as (time, id) pairs.
     """
 
-    def step(pdf: pd.DataFrame) -> dict:
-        held: list[float] = []
-        verdicts = []
-        for at in pdf["at"].tolist():
-            held = [t for t in held if at - t < seconds]
-            verdicts.append(len(held) < limit)
-            if verdicts[-1]:
-                held.append(at)
-        return {"key": pdf["key"], "row": pdf["row"], "allowed": verdicts}
+    def start():
+        held: deque[float] = deque()  # accepted requests in the window: limit of them, at most
+
+        def verdict(at: float) -> tuple[bool]:
+            while held and at - held[0] >= seconds:
+                held.popleft()
+            if len(held) >= limit:
+                return (False,)
+            held.append(at)
+            return (True,)
+
+        return verdict
 
     read = requests.select(F.col(key).alias("key"), F.col(id_col).alias("row"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
-    kind = lambda c: requests.schema[c].dataType.simpleString()
-    out = read.groupBy("key").applyInPandas(_per_key(step), f"key {kind(key)}, row {kind(id_col)}, allowed boolean")
+    out = _in_order(read, start, "allowed boolean")
     return out.select(F.col("row").alias(id_col), F.col("key").alias(key), "allowed")
 
 
@@ -116,27 +133,28 @@ def breaker_states(calls: DataFrame, key: str, ts: str, id_col: str, ok: Column,
     ``failures`` failures in a row open it; after ``cooldown`` seconds one probe is let through, whose result closes or reopens it.
     """
 
-    def step(pdf: pd.DataFrame) -> dict:
+    def start():
         state, bad, opened = "closed", 0, 0.0
-        states, passed = [], []
-        for at, good in zip(pdf["at"].tolist(), pdf["ok"].tolist(), strict=True):
+
+        def call(at: float, good: bool) -> tuple[str, bool]:
+            nonlocal state, bad, opened
             if state == "open" and at - opened >= cooldown:
                 state = "half_open"
-            states.append(state)
-            passed.append(state != "open")
-            if state == "open":
-                continue
+            before = state
+            if before == "open":
+                return before, False
             if good:
                 state, bad = "closed", 0
             else:
                 bad += 1
-                if state == "half_open" or bad >= failures:
+                if before == "half_open" or bad >= failures:
                     state, opened = "open", at
-        return {"key": pdf["key"], "row": pdf["row"], "state": states, "passed": passed}
+            return before, True
+
+        return call
 
     read = calls.select(F.col(key).alias("key"), F.col(id_col).alias("row"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"), ok.alias("ok"))
-    kind = lambda c: calls.schema[c].dataType.simpleString()
-    out = read.groupBy("key").applyInPandas(_per_key(step), f"key {kind(key)}, row {kind(id_col)}, state string, passed boolean")
+    out = _in_order(read, start, "state string, passed boolean")
     return out.select(F.col("row").alias(id_col), F.col("key").alias(key), "state", "passed")
 
 

@@ -77,12 +77,21 @@ def rate_limit_fixed(spark, sf_dir):
     return out.select("event_id", "place", "allowed", "remaining")
 
 
-@family.query()
+_STEPS = "WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@family.query(f"""{_STEPS}, s AS (SELECT user_id, n, event_id, TRUE AS allowed, [sec] AS held FROM r WHERE n = 1
+UNION ALL SELECT user_id, n, event_id, len(k) < 3, CASE WHEN len(k) < 3 THEN list_append(k, sec) ELSE k END FROM (SELECT r.*, list_filter(s.held, lambda t: r.sec - t < 86400) AS k FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))
+SELECT event_id, user_id, allowed FROM s""")
 def sliding_limiter(spark, sf_dir):
     return M.sliding_window_limit(_events(spark, sf_dir), "user_id", "ts", "event_id", 3, 86_400.0)
 
 
-@family.query()
+@family.query(f"""{_STEPS}, s AS (SELECT 0 AS n, user_id, CAST(NULL AS BIGINT) AS event_id, '' AS before, 'closed' AS state, 0 AS bad, CAST(0 AS DOUBLE) AS opened FROM (SELECT DISTINCT user_id FROM r)
+UNION ALL SELECT n, user_id, event_id, cur, CASE WHEN cur = 'open' THEN 'open' WHEN ok THEN 'closed' WHEN cur = 'half_open' OR bad + 1 >= 2 THEN 'open' ELSE cur END, CASE WHEN cur = 'open' THEN bad WHEN ok THEN 0 ELSE bad + 1 END,
+  CASE WHEN cur <> 'open' AND NOT ok AND (cur = 'half_open' OR bad + 1 >= 2) THEN sec ELSE opened END
+FROM (SELECT r.*, s.bad, s.opened, CASE WHEN s.state = 'open' AND r.sec - s.opened >= 86400 THEN 'half_open' ELSE s.state END AS cur FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1))
+SELECT event_id, user_id, before AS state, before <> 'open' AS passed FROM s WHERE n > 0""")
 def circuit_breaker(spark, sf_dir):
     return M.breaker_states(_events(spark, sf_dir), "user_id", "ts", "event_id", F.col("event_type") != "error", failures=2, cooldown=86_400.0)
 
