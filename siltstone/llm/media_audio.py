@@ -100,10 +100,13 @@ def _mel() -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_mel(sound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, MELS) energies in dB, and each frame's own energy in dB; one frame at least."""
+    """(frames, MELS) energies in dB, and each frame's own energy in dB; the last frame is filled up with zeros.
+
+    Values are rounded to 1/100 dB, so that libraries whose sums differ in their last bits give the same.
+    """
     bank, window = _mel()
-    if len(sound) < WIDTH:
-        sound = np.concatenate((sound, np.zeros(WIDTH - len(sound), np.float32)))
+    count = max(-(-(len(sound) - WIDTH) // HOP), 0) + 1
+    sound = np.concatenate((sound, np.zeros(WIDTH + (count - 1) * HOP - len(sound), np.float32)))
     frames = np.lib.stride_tricks.sliding_window_view(sound, WIDTH)[::HOP]
     mels, energy = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
     for a in range(0, len(frames), 2048):
@@ -113,7 +116,7 @@ def log_mel(sound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mels[a : a + 2048] = power @ bank
         energy[a : a + 2048] = np.einsum("ij,ij->i", x, x)
     floor = np.float32(1e-8)
-    return 10 * np.log10(np.maximum(mels, floor)), 10 * np.log10(np.maximum(energy, floor))
+    return tuple((np.round(np.log10(np.maximum(x, floor).astype(np.float64)) * 1000) / 100 + 0.0).astype(np.float32) for x in (mels, energy))
 
 
 def segments(energy: np.ndarray) -> list[tuple[float, float]]:

@@ -46,6 +46,45 @@ def test_blocks_do_not_change_features(monkeypatch):
     assert np.allclose(media_audio.resample(x), whole, atol=1e-6)
 
 
+@pytest.mark.parametrize("n", [64, 256, 257, 700, 1000])
+def test_log_mel_against_a_direct_transform(n):
+    sound = np.random.default_rng(n).normal(size=n).astype(np.float32)
+    mels, energy = media_audio.log_mel(sound)
+    width, hop = media_audio.WIDTH, media_audio.HOP
+    starts = list(range(0, max(n - width, 0) + hop if n > width else 1, hop))
+    starts = [s for s in starts if s == 0 or s + width - hop < n]
+    assert len(mels) == len(energy) == len(starts)
+    t, f = np.arange(width), np.arange(width // 2 + 1)
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * t / width)
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    edges = hz(np.linspace(2595 * np.log10(1 + 60 / 700), 2595 * np.log10(1 + 4000 / 700), media_audio.MELS + 2))
+    for k, s in enumerate(starts):
+        x = np.zeros(width)
+        x[: len(sound[s : s + width])] = sound[s : s + width]
+        x *= hann
+        power = np.abs(np.exp(-2j * np.pi * np.outer(f, t) / width) @ x) ** 2
+        for m in range(media_audio.MELS):
+            weight = np.interp(f * 8000 / width, edges[m : m + 3], [0, 1, 0], left=0, right=0)
+            assert mels[k, m] == pytest.approx(10 * np.log10(max(weight @ power, 1e-8)), abs=0.02)
+        assert energy[k] == pytest.approx(10 * np.log10(max((x * x).sum(), 1e-8)), abs=0.02)
+
+
+def test_segments_against_a_plain_machine():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        level = rng.normal(scale=0.5, size=60).astype(np.float32)
+        middle, on, want, begin = np.median(level), False, [], 0
+        for i, x in enumerate([*level, -np.inf]):
+            if not on and x >= middle + media_audio.ON_DB:
+                on, begin = True, i
+            elif on and x <= middle + media_audio.OFF_DB:
+                on = False
+                want.append((begin, i))
+        second = media_audio.HOP / 8000
+        got = [(round(a / second), round((b - media_audio.WIDTH / 8000) / second) + 1) for a, b in media_audio.segments(level)]
+        assert got == want
+
+
 def test_hysteresis():
     level = np.zeros(100, np.float32)
     level[20:40], level[30], level[60] = 5, 0.1, 0.1  # a dip between the levels doesn't end a segment, nor does a small rise begin one
