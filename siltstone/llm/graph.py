@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.llm.shared import join_salted, saved
+from siltstone.llm.shared import join_salted, saved, unestimated
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,10 +27,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): the least node that it reaches; nodes without edges are left out."""
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     rows, before = edges.count(), None
-    edges = saved(edges, rows)
+    edges = unestimated(saved(edges, rows))
     while True:
         # a table between the two keeps plans small, as each step reads its input several times
-        edges = saved(_star(saved(_star(edges, True), 2 * rows), False), rows)
+        edges = unestimated(saved(_star(unestimated(saved(_star(edges, True), 2 * rows)), False), rows))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

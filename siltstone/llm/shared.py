@@ -12,7 +12,8 @@ from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 #: Sides up to this many rows and bytes may be broadcast after counting them.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 48 << 20
@@ -50,6 +51,16 @@ def saved(df: DataFrame, rows: int | None = None, file_rows: int = FILE_ROWS) ->
     return (df if rows is None else df.coalesce(max(2 * spark.sparkContext.defaultParallelism, rows // file_rows))).checkpoint(eager=True)
 
 
+def unestimated(df: DataFrame) -> DataFrame:
+    """A saved table without the size that Spark estimates for its plan.
+
+    Estimates multiply at each join and outlive a checkpoint: in a loop of joins the number doubles its digits with
+    every round, until the driver has no memory left for it.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False), spark)
+
+
 def cleared(spark: SparkSession) -> None:
     """Removes this session's saved tables; for the end of a job, when their results have been written."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
