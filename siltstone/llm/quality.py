@@ -34,7 +34,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siltstone.llm.shared import counted_small, saved
+from siltstone.llm.shared import counted_small, saved, unestimated
 
 UNIT, LIMIT = 4096, 8191
 RUN, DAMP = 50, 1000
@@ -227,7 +227,7 @@ def _concentrated(rows: DataFrame, estimate: DataFrame, cast: Callable) -> DataF
     inner = inner.selectExpr(*key, f"array({', '.join(f's{i} / h' for i in range(_N))}) AS own_m", f"array({', '.join(own)}) AS own_c")
     out = estimate.select(*key, "n", "t_m", "t_c", F.col("logdet").alias("before")).join(inner, key)
     out = out.select(*key, "n", _mixed(F.col("own_m"), F.col("t_m"), F.col("n")).alias("m"), _ridged(_mixed(F.col("own_c"), F.col("t_c"), F.col("n"))).alias("c"), "t_m", "t_c", "before")
-    return saved(_factored(out, [*key, "n", "m", "t_m", "t_c", "before"]))
+    return unestimated(saved(_factored(out, [*key, "n", "m", "t_m", "t_c", "before"])))
 
 
 def _raws(stats: DataFrame, lang_col: str, source_col: str) -> DataFrame:
