@@ -110,10 +110,12 @@ def crawl_levels(pages: DataFrame, edges: DataFrame, start: DataFrame, max_depth
 
 
 def checkpoint_folder(spark) -> None:
-    """Sets the checkpoint folder if the session has none: what spark.checkpoint.dir names, or a temporary one."""
+    """Sets the checkpoint folder if the session has none: what spark.checkpoint.dir names, or a temporary one on a single machine."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"siltstone-{os.getpid()}-"))
 
 
