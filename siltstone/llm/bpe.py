@@ -3,11 +3,11 @@
 1. Texts are split into words (pre-tokens), and each partition's rows, in the order of their hash, are cut into chunks of
    about ``CHUNK`` characters.  A chunk keeps, for each row, the places of its words in the chunk's own list of distinct
    words; that list is rows of (chunk, place, word), so a word that is in every text costs one row a chunk, not one an occurrence.
-2. The distinct words of all chunks are a table, made from the lists as they are dealt by word, and each is encoded once.
-3. Ids are decoded on that table: exploded ids join the vocabulary (a table of fixed size: 50,257 pieces, under 1 MB)
-   and pieces are put together by position, once for each distinct word.
-4. The lists join the table by word, where they lie, return to their chunks in packed blocks, and ids and pieces are joined
-   back by position.
+2. The lists are dealt by word and sorted: the table of distinct words with, beside each, the places that want it.  Each
+   distinct word is encoded once, as the rows stream through.
+3. Its ids join the vocabulary (a fixed table: 50,257 pieces, under 1 MB, with a dense key), once for each distinct word.
+4. Ids and pieces return to the chunks in packed blocks and are joined back by position.  (``decode`` joins any table of ids with
+   the vocabulary as a Spark table.)
 
 A task holds one chunk.  Chunks are made twice, for the lists and for the places.  Both times they are the same, as a partition's
 rows are sorted first; should the input itself change between the two, checksums of the words differ and the task fails.
@@ -198,12 +198,29 @@ def _places(path: str):
     return run
 
 
-def _encoder(path: str):
-    @F.arrow_udf("array<int>")
-    def encode(words: pa.Array) -> pa.Array:
-        return pa.array([e.ids for e in tokenizer(path).encode_batch_fast(words.to_pylist(), add_special_tokens=False)], pa.list_(pa.int32()))
+def _coded(path: str):
+    """Rows (at, word), sorted by word, to (at, ids, piece): each distinct word is encoded once, and its ids are joined with the vocabulary."""
 
-    return encode
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, vocabulary_ = tokenizer(path), pa.array(pieces(path), pa.large_binary())
+        last: dict[str, list[int]] = {}  # a word may go on in the next batch
+        for batch in batches:
+            if not len(batch):
+                continue
+            named = batch.column("word").dictionary_encode()
+            words = named.dictionary.to_pylist()
+            new = [w for w in words if w not in last]
+            found = last | dict(zip(new, (e.ids for e in model.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            ids = pa.array([found[w] for w in words], pa.large_list(pa.int32()))
+            last = {words[-1]: found[words[-1]]}
+            # the vocabulary's key is dense, so that a join by id is a lookup by place; the bytes of a word lie together
+            spelled_ = vocabulary_.take(ids.values)
+            _, offsets, data = spelled_.buffers()
+            edges = np.frombuffer(offsets, np.int64, len(spelled_) + 1)[ids.offsets.to_numpy()]
+            whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.ascontiguousarray(edges)), data])
+            yield pa.RecordBatch.from_arrays([batch.column("at"), ids.cast(pa.list_(pa.int32())).take(named.indices), whole.cast(pa.binary()).take(named.indices)], ["at", "ids", "piece"])
+
+    return run
 
 
 def _strings(values: list[bytes]) -> bytes:
@@ -289,14 +306,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType
     read = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.spark_partition_id().cast("long").alias("part"), row_key(docs[id_col], docs[text_col]).alias("order"))
     read = read.sortWithinPartitions("order").select("id", "text", "part")
-    lists = read.mapInArrow(lean(_lists(path)), "at long, word string").repartition("word")
-    # the same exchange serves the table and the lists that join it; the maximum keeps its columns alike
-    words = lists.groupBy("word").agg(F.max("at").alias("some")).where("some >= 0")
-    each = words.withColumn("ids", _encoder(path)("word")).select("word", "some", F.posexplode("ids").alias("n", "token_id"))
-    named = each.join(F.broadcast(vocabulary(docs.sparkSession, path)), "token_id")
-    spelt = named.groupBy("word").agg(F.max("some").alias("some"), F.array_sort(F.collect_list(F.struct("n", "token_id", "piece"))).alias("p")).where("some >= 0")
-    table = spelt.select("word", F.col("p.token_id").alias("ids"), F.unhex(F.concat_ws("", F.transform("p", lambda x: F.hex(x["piece"])))).alias("piece"))
-    back = lists.join(table, "word").select("at", "ids", "piece").sortWithinPartitions("at").mapInArrow(lean(_blocks), "chunk long, payload binary")
+    lists = read.mapInArrow(lean(_lists(path)), "at long, word string")
+    coded = lists.repartition("word").sortWithinPartitions("word").mapInArrow(lean(_coded(path)), "at long, ids array<int>, piece binary")
+    back = coded.sortWithinPartitions("at").mapInArrow(lean(_blocks), "chunk long, payload binary")
     own = read.mapInArrow(lean(_places(path)), "chunk long, payload binary")
     out = back.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_joined_back(to_arrow_type(kind)), f"id {kind.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
