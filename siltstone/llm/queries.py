@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siltstone.llm import bpe, chat, licenses, media_audio, minhash, mixing, quality, secrets, substring_dedup, warc
+from siltstone.llm import bpe, chat, decontaminate, licenses, manifest, media_audio, minhash, mixing, quality, ranked_search, secrets, substring_dedup, warc
 from siltstone.llm.shared import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -64,9 +64,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2, threshold=80)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audited(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_media_audio, op2_bpe, op3_quality_mcd, op4_chat_rotation, op5_secret_scan, op6_warc_merkle, op7_temperature_mixing, op8_substring_dedup, op9_license_scan, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_media_audio, op2_bpe, op3_quality_mcd, op4_chat_rotation, op5_secret_scan, op6_warc_merkle, op7_temperature_mixing, op8_substring_dedup, op9_license_scan, op10_minhash_near_dedup, op11_ranked_search, op12_decontamination, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_rotation": chat.ORACLE, "op6_warc_merkle": warc.ORACLE, "op9_license_scan": licenses.oracle()}
+    return {"op4_chat_rotation": chat.ORACLE, "op6_warc_merkle": warc.ORACLE, "op9_license_scan": licenses.oracle(), "op11_ranked_search": ranked_search.ORACLE, "op12_decontamination": decontaminate.ORACLE, "op13_merkle_manifest": manifest.oracle()}

@@ -20,6 +20,8 @@ _BASE = U(0x9E6C63D0676A9A99)
 _BASE_2 = U(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: All of ASCII but digits and letters.
+NOT_ALPHANUMERIC = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -103,15 +105,15 @@ def _hash_pieces(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out ^ _BASE)
 
 
-def split(raw: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of all words, their 64-bit hashes, and how many each text has."""
+def split(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of all words, their 64-bit hashes, and how many each text has; breaks: the bytes between words."""
     if lower:
         raw = _LOWER[raw]
     n = len(raw)
     if not n:
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(0, U), np.zeros(len(offsets) - 1, np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~breaks[raw]
     first = np.zeros(n + 1, bool)
     first[offsets] = True  # a text's first byte starts a word even after a word
     begin = inside.copy()
