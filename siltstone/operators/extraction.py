@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -10,7 +11,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _HIDDEN = {"script", "style", "noscript", "template", "head"}
 _BLOCK = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "ul", "ol", "table", "blockquote", "form", "figure", "tr", "body"}
 #: Categories of the sectioning elements.
@@ -18,15 +19,17 @@ SECTIONS = {"header": "header", "nav": "navigation", "main": "main", "article":
 COMPACT_CHARS = 300
 
 
-class _Markdown(HTMLParser):
+class MarkdownWriter(HTMLParser):
     """Headings, paragraphs, lists, links, emphasis, code and quotes in Markdown; other text as it is."""
 
-    def __init__(self, include: set[str] | None, exclude: set[str]) -> None:
+    def __init__(self, include: set[str] | None = None, exclude: set[str] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.stack: list[str] = []
+        self.open_tags: Counter[str] = Counter()
         self.links: list[tuple[str, int]] = []
         self.lists: list[list] = []
+        self.marks: list[int] = []
         self.include, self.exclude = include, exclude
         self.hidden = self.left_out = self.inside = self.pre = 0
 
@@ -42,8 +45,9 @@ class _Markdown(HTMLParser):
         self.hidden += tag in _HIDDEN
         self.left_out += kind in self.exclude if kind else 0
         self.inside += self.include is not None and kind in self.include if kind else 0
-        if tag not in _VOID:
+        if tag not in VOID:
             self.stack.append(tag)
+            self.open_tags[tag] += 1
         if re.fullmatch("h[1-6]", tag):
             self._put("\n\n" + "#" * int(tag[1]) + " ")
         elif tag == "li":
@@ -58,9 +62,9 @@ class _Markdown(HTMLParser):
         elif tag == "a":
             self.links.append((dict(attrs).get("href") or "", len(self.parts)))
         elif tag in ("b", "strong"):
-            self._put("**")
+            self._begin("**")
         elif tag in ("i", "em"):
-            self._put("*")
+            self._begin("*")
         elif tag == "pre":
             self.pre += 1
             self._put("\n\n```\n")
@@ -80,10 +84,11 @@ class _Markdown(HTMLParser):
             self._put("\n\n" if tag != "tr" else "\n")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in _VOID or tag not in self.stack:
+        if tag in VOID or not self.open_tags[tag]:
             return
         while self.stack:
             top = self.stack.pop()
+            self.open_tags[top] -= 1
             self._close(top)
             if top == tag:
                 break
@@ -100,9 +105,9 @@ class _Markdown(HTMLParser):
             if self._open() and href and label.strip():
                 self.parts[at:] = [f"[{' '.join(label.split())}]({href})"]
         elif tag in ("b", "strong"):
-            self._put("**")
+            self._finish("**")
         elif tag in ("i", "em"):
-            self._put("*")
+            self._finish("*")
         elif tag == "pre":
             self.pre -= 1
             self._put("\n```\n\n")
@@ -118,16 +123,36 @@ class _Markdown(HTMLParser):
     def handle_data(self, data: str) -> None:
         self._put(data if self.pre else re.sub(r"\s+", " ", data))
 
+    def _begin(self, mark: str) -> None:
+        self.marks.append(len(self.parts) if self._open() else -1)
+        self._put(mark)
+
+    def _finish(self, mark: str) -> None:
+        """The end of an emphasis: before the white space that ends it, and without its beginning if it is empty."""
+        first, at = self.marks.pop(), len(self.parts)
+        if first < 0:
+            return
+        while at > first + 1 and self.parts[at - 1].isspace():
+            at -= 1
+        if at == first + 1:
+            del self.parts[first]
+        else:
+            self.parts.insert(at, mark)
+
+    def text(self) -> str:
+        """What was written, without white space at the ends of lines and more than one blank line."""
+        lines = [x.strip() if not x.startswith("  ") else x.rstrip() for x in "".join(self.parts).split("\n")]
+        return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+
 
 def to_markdown(html: str | None, include: list[str] | None = None, exclude: list[str] | None = None, verbosity: str = "standard") -> str:
     """Markdown of a page; section categories can be chosen or left out; compact cuts it short."""
     if not html:
         return ""
-    page = _Markdown(set(include) if include else None, set(exclude or ()))
+    page = MarkdownWriter(set(include) if include else None, set(exclude or ()))
     page.feed(html)
     page.close()
-    lines = [x.strip() if not x.startswith("  ") else x.rstrip() for x in "".join(page.parts).split("\n")]
-    text = re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
+    text = page.text()
     return text if verbosity != "compact" or len(text) <= COMPACT_CHARS else text[:COMPACT_CHARS] + "\n..."
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import html as H
 from siltstone.functions import text as T
 from siltstone.functions import urls as U
+from siltstone.operators.main_content import main_content
 from siltstone.plans.registry import Family, sql_any, sql_list, table
 from siltstone.plans.url_queries import HOST, S, N
 
@@ -156,6 +157,31 @@ def page_structural_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("text_md5"))
 
 
+_ENTITIES = ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "\'\'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")
+
+
+def _sql_decoded(x: str) -> str:
+    for name, char in _ENTITIES:
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+_ARTICLE = "regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1), '\\s+', ' ', 'g')"
+_BREAK = "chr(10) || chr(10)"
+_MARKED = f"regexp_replace(regexp_replace({_ARTICLE}, '<p><b>([^<]*)<br>', {_BREAK} || '**\\1**' || {_BREAK}, 'g'), '<h1>([^<]*)</h1>', {_BREAK} || '# \\1' || {_BREAK}, 'g')"
+_LINES_OF = "array_to_string(list_transform(string_split({x}, chr(10)), lambda x: " + _STRIP.format(x="x") + "), chr(10))"
+
+
+@family.query(
+    f"""WITH body AS (SELECT page_id, html, {_sql_decoded(f"regexp_replace({_MARKED}, '</?[a-z]+>', {_BREAK}, 'g')")} AS md FROM pages),
+tidy AS (SELECT page_id, {_STRIP.format(x=f"regexp_replace({_LINES_OF.format(x='md')}, '{chr(10)}{{3,}}', {_BREAK}, 'g')")} AS md, {_STRIP.format(x=_sql_decoded(_TITLE))} AS title, {_sql_decoded(_CLEAN)} AS raw FROM body)
+SELECT page_id, CASE WHEN length(md) >= 50 THEN 'main' ELSE 'structural' END AS how, CASE WHEN length(md) >= 50 THEN md ELSE substr(concat_ws({_BREAK}, nullif('# ' || title, '# '), nullif(array_to_string(list_filter(list_transform(string_split(raw, chr(10)), lambda x: {_STRIP.format(x='x')}), lambda x: x <> ''), chr(10)), '')), 1, 10000) END AS markdown FROM tidy"""
+)
+def page_main_content(spark, sf_dir):
+    """Main content by scores.  The SQL takes the article by its tag, which is where scores must lead on these pages."""
+    return main_content(table(spark, sf_dir, "pages"))
+
+
 @family.query("SELECT page_id, len(regexp_extract_all(html, '(?is)<nav\\b[^>]*>.*?</nav>')) AS navs, len(regexp_extract_all(html, '(?is)<footer\\b[^>]*>.*?</footer>')) AS footers, len(regexp_extract_all(html, '(?is)<article\\b[^>]*>.*?</article>')) AS articles, md5(regexp_extract(html, '(?is)<nav\\b[^>]*>(.*?)</nav>', 1)) AS nav_md5 FROM pages")
 def page_sections(spark, sf_dir):
     page = F.col("html")
