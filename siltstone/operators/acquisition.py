@@ -1,7 +1,7 @@
 """Acquisition in tiers: each page from the first source whose result is good enough, else the best of all results.
 
 A source (tier, adapter) is a function from a table of pending rows to a table of results: at most one row for each key,
-with ``markdown`` and, where it has them, ``title``, ``html``, ``url``, ``kind`` and ``error``.  Sources read tables of
+with ``markdown`` and, where it has them, ``title``, ``html``, ``final_url``, ``kind`` and ``error``.  Sources read tables of
 what was fetched; a caller may plug in others.
 
 Tiers run one after the other, and each sees only the keys that earlier ones left: accepted keys are taken out of the
@@ -32,7 +32,7 @@ from siltstone.operators.sessions import checkpoint_folder
 Source = Callable[[DataFrame], DataFrame]
 #: A barrier of more confidence than this refuses a result; shortest bodies and texts of a page in HTML.
 BARRIER_CONFIDENCE, LEAST_BODY, LEAST_MARKDOWN = 0.7, 100, 50
-_FIELDS = ("markdown", "title", "html", "url", "kind", "error")
+_FIELDS = ("markdown", "title", "html", "final_url", "kind", "error")
 
 
 @dataclass(frozen=True)
@@ -48,7 +48,7 @@ def _with_fields(found: DataFrame, key: str) -> DataFrame:
 def judged(found: DataFrame, threshold: float) -> DataFrame:
     """found, rows with a source's fields, with v: score, accepted and reason."""
     rows = found.withColumn("_score", T.quality(F.coalesce("markdown", F.lit("")), F.col("title"))["score"])
-    rows = rows.withColumn("_wall", T.barrier(F.col("title"), F.col("url"), F.col("markdown"), F.col("html")))
+    rows = rows.withColumn("_wall", T.barrier(F.col("title"), F.col("final_url"), F.col("markdown"), F.col("html")))
 
     def out(accepted: bool, reason: Column | str, scored: bool = False) -> Column:
         reason = reason if isinstance(reason, Column) else F.lit(reason)
@@ -110,7 +110,7 @@ def site_texts(texts: DataFrame, key: str, url_col: str = "url") -> Source:
 
     def fetch(pending: DataFrame) -> DataFrame:
         asked = pending.select(key, U.hostname(url_col).alias("host"))
-        return asked.join(ok.select("host", F.col("body").alias("markdown")), "host").select(key, "markdown", F.concat(F.lit("https://"), "host", F.lit("/llms.txt")).alias("url"))
+        return asked.join(ok.select("host", F.col("body").alias("markdown")), "host").select(key, "markdown", F.concat(F.lit("https://"), "host", F.lit("/llms.txt")).alias("final_url"))
 
     return fetch
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltstone.functions import html as H
 from siltstone.functions import urls as U
 from siltstone.operators import acquisition as A
 from siltstone.plans import text_queries as TQ
 from siltstone.plans.registry import Family, table
+from siltstone.sources import adapters, records
+from siltstone.sources.dispatch import dispatch
 
 family = Family()
 
@@ -61,3 +63,41 @@ def tier_chain(spark, sf_dir):
 def tier_attempts(spark, sf_dir):
     """What was tried: no tier is asked for a page that an earlier one has satisfied."""
     return _both(spark, sf_dir)[1]
+
+
+_URL = "CASE doc_id % 6 WHEN 0 THEN 'https://github.com/' || source || '/r' || doc_id || '/issues/7' WHEN 1 THEN 'https://github.com/' || source || '/r' || doc_id WHEN 2 THEN 'cve:CVE-2024-' || (10000 + doc_id) WHEN 3 THEN 'https://' || source || '.example.com/p/' || doc_id WHEN 4 THEN 'https://shop.example.com/products/p/' || doc_id ELSE 'https://example.com/' || doc_id END"
+
+
+def _record(c: str) -> Column:
+    """JSON of a document as a repository's record."""
+    fields = F.struct(F.concat("source", F.lit("/r"), "doc_id").alias("full_name"), F.substring("text", 1, 200).alias("description"), F.col("n_chars").alias("stargazers_count"), F.col("lang").alias("language"), F.array("source", "lang").alias("topics"))
+    return F.to_json(fields).alias(c)
+
+
+
+@family.query(
+    f"""WITH rows AS (SELECT *, {_URL} AS url FROM documents), matched AS (SELECT *, list_filter([{', '.join(f"CASE WHEN regexp_matches(url, '{p}') THEN '{n}' END" for n, p, _ in sorted(adapters.ADAPTERS, key=lambda a: -a[2]))}], lambda x: x IS NOT NULL) AS m FROM rows),
+turns AS (SELECT doc_id, n_chars, text, lang, source, unnest(m) AS adapter, unnest(range(0, len(m))) AS turn FROM matched),
+judged AS (SELECT *, CASE adapter WHEN 'github_social' THEN CASE WHEN n_chars % 2 = 1 THEN 'not JSON' END WHEN 'github' THEN NULL WHEN 'cveorg' THEN CASE WHEN n_chars % 3 = 0 THEN 'gone' END WHEN 'substack' THEN CASE WHEN n_chars % 2 = 1 THEN 'no result' END ELSE 'no source' END AS error FROM turns),
+tried AS (SELECT * FROM judged j WHERE NOT EXISTS (SELECT 1 FROM judged e WHERE e.doc_id = j.doc_id AND e.turn < j.turn AND e.error IS NULL)),
+last AS (SELECT doc_id, arg_max(adapter, turn) AS adapter, max(turn) + 1 AS turns FROM tried GROUP BY doc_id),
+done AS (SELECT t.*, turns FROM tried t JOIN last USING (doc_id, adapter)),
+shown AS (SELECT *, '## Repository: ' || source || '/r' || doc_id || chr(10) || chr(10) || '| Field | Value |' || chr(10) || '|---|---|' || CASE WHEN substr(text, 1, 200) <> '' THEN chr(10) || '| Description | ' || replace(regexp_replace(substr(text, 1, 200), '\\s*\\n\\s*', ' ', 'g'), '|', '\\|') || ' |' ELSE '' END
+ || chr(10) || '| Stars | ' || n_chars || ' |' || chr(10) || '| Language | ' || lang || ' |' || chr(10) || chr(10) || '### Topics' || chr(10) || chr(10) || '- ' || source || chr(10) || '- ' || lang AS md FROM done)
+SELECT d.doc_id, CASE WHEN s.error IS NULL THEN s.adapter END AS adapter, s.error, CASE WHEN s.error IS NULL THEN md5(md) END AS text_md5, coalesce(s.turns, 0)::BIGINT AS turns FROM documents d LEFT JOIN shown s USING (doc_id)"""
+)
+def adapter_fallthrough(spark, sf_dir):
+    """Addresses made from documents, handed to adapters whose sources fail for a part of them."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", F.expr(_URL).alias("url"))
+    good = docs.select("doc_id", "n_chars", _record("raw"))
+    half = F.col("n_chars") % 2 == 0
+    sources = {
+        "github_social": records.source(good.withColumn("raw", F.when(half, F.col("raw")).otherwise("{bad")), "doc_id", "github"),
+        "github": records.source(good, "doc_id", "github"),
+        "cveorg": records.source(good.withColumn("error", F.when(F.col("n_chars") % 3 == 0, "gone")), "doc_id", "github"),
+        "substack": records.source(good.where(half), "doc_id", "github"),
+    }
+    out, tries = dispatch(rows, sources, "doc_id")
+    turns = tries.groupBy("doc_id").agg(F.count("*").alias("turns"))
+    return out.join(turns, "doc_id", "left").select("doc_id", "adapter", "error", F.md5("markdown").alias("text_md5"), F.coalesce("turns", F.lit(0)).alias("turns"))

@@ -14,23 +14,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltstone.functions import urls as U
 
-#: Name, URL pattern and priority of each adapter (a higher priority goes first).
+#: Name, URL pattern and priority of each adapter (a higher priority goes first, and of equals the earlier).
 ADAPTERS = (
-    ("nvd", r"^https?://(?:www\.)?nvd\.nist\.gov/vuln/detail/CVE-", 90),
-    ("cveorg", r"^https?://(?:www\.)?cve\.org/CVERecord", 90),
+    ("nvd", r"^(?:https?://(?:www\.)?nvd\.nist\.gov/vuln/detail/|cve:)CVE-", 90),
+    ("cveorg", r"^(?:https?://(?:www\.)?cve\.org/CVERecord|cve:CVE-)", 85),
     ("github_social", r"^https?://github\.com/[^/]+/[^/]+/(?:issues|pull|discussions|releases|commit)\b", 80),
     ("github", r"^https?://(?:github\.com|raw\.githubusercontent\.com)/[^/]+/[^/]+", 70),
-    ("bluesky", r"^https?://bsky\.app/profile/", 70),
+    ("bluesky", r"^https?://(?:staging\.)?bsky\.app/profile/", 70),
     ("gutenberg", r"^https?://(?:www\.)?gutenberg\.org/(?:ebooks|files|cache)/", 70),
-    ("youtube", r"^https?://(?:(?:www|m)\.)?(?:youtube\.com/(?:watch|shorts|embed)|youtu\.be/)", 70),
+    ("youtube", r"^https?://(?:(?:www|m)\.)?(?:youtube\.com/(?:watch|shorts|embed|v/)|youtu\.be/)", 70),
     ("greenhouse", r"^https?://(?:boards|job-boards)\.greenhouse\.io/", 70),
     ("ashby", r"^https?://jobs\.ashbyhq\.com/", 70),
-    ("substack", r"^https?://[^/]+\.substack\.com/p/", 60),
+    ("vaco", r"^https?://jobs\.vaco\.com/job/[0-9]+", 70),
+    ("substack", r"^https?://(?:[^/]+\.substack\.com/p(?:ub)?/|[^/]+/p/)", 60),
     ("crtsh", r"^https?://crt\.sh/", 60),
-    ("shodan", r"^https?://(?:www\.)?shodan\.io/host/", 60),
-    ("virustotal", r"^https?://(?:www\.)?virustotal\.com/gui/", 60),
-    ("exploitdb", r"^https?://(?:www\.)?exploit-db\.com/exploits/", 60),
+    ("exploitdb", r"^https?://(?:www\.)?exploit-db\.com/(?:exploits/[0-9]|\?id=[0-9])", 60),
     ("mitre", r"^https?://attack\.mitre\.org/", 60),
+    ("abuseipdb", r"^https?://(?:www\.)?abuseipdb\.com/check/[0-9.]+", 50),
+    ("censys", r"^https?://(?:search\.)?censys\.io/(?:ipv4/[0-9.]+|certificates/[^/]+)", 50),
+    ("hibp", r"^https?://(?:www\.)?haveibeenpwned\.com/account/[^/]+", 50),
+    ("otx", r"^https?://otx\.alienvault\.com/indicator/[^/]+/[^/]+", 50),
+    ("shodan", r"^https?://(?:www\.)?shodan\.io/(?:host/|search\?query=)", 50),
+    ("virustotal", r"^https?://(?:www\.)?virustotal\.com/gui/", 50),
+    ("vulncheck", r"^https?://(?:www\.)?vulncheck\.com/(?:advisories|cve)/[^/]+", 50),
+    ("shopify", r"^https?://[^/]+/(?:blogs/[^/]+/|products/|collections/|pages/)", 40),
 )
 MAX_ROWS = 20
 IPV4 = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b"
@@ -54,6 +61,11 @@ def dispatched(pages: DataFrame, url_col: str = "url") -> DataFrame:
     return pages.withColumn("adapter", out)
 
 
+def matching(url: Column) -> Column:
+    """Names of all adapters whose pattern matches, best first."""
+    return F.array_compact(F.array(*[F.when(url.rlike(pattern), F.lit(name)) for name, pattern, _ in sorted(ADAPTERS, key=lambda a: -a[2])]))
+
+
 def _get(v: Column, path: str, kind: str = "string") -> Column:
     return F.try_variant_get(v, path, kind)
 
