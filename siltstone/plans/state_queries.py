@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from siltstone.operators import dedup as D
+from siltstone.operators import vector_index as VI
 from siltstone.operators import vectors as V
 from siltstone.plans.registry import Family, table
 from siltstone.plans.url_queries import CATEGORY, HOST
@@ -131,6 +132,12 @@ def vector_topk(spark, sf_dir):
     return V.top_k(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 10)
 
 
+@family.query()
+def vector_index_topk(spark, sf_dir):
+    """The same searches through an inverted-file index; its recall against vector_topk is tested."""
+    return VI.nearest(table(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 10)
+
+
 _FAR = "place - CASE WHEN vec_id % 3 = 0 THEN 30 ELSE 0 END"
 
 
