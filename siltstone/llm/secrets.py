@@ -3,10 +3,12 @@
 Beside three fixed patterns (``BASE``), source and configuration syntax is read
 as name-literal pairs: ``name = "x"``, ``"name": "x"``, ``name: x``, ``NAME=x``,
 ``name := 'x'``, ``name: str = "x"``, ``export NAME=x``.  A value is a sum of
-literals and of names assigned before in the same text (``$NAME``, ``${NAME}``, ``name``),
-so constants reach the name under which they are used.  Each literal is scored by
+literals and of names assigned before in the same text (``$NAME``, ``${NAME}``, ``name``, ``f"{name}"``),
+so constants reach the name under which they are used.  Strings may have prefixes, three quotes, or stand side by side in
+brackets; ``key="name" value="x"``, ``name: |`` with indented lines, ``#define NAME "x"``, ``ENV NAME x`` and
+``getenv("NAME", "x")`` are pairs too.  Each literal is scored by
 the most sensitive name that it reaches and by how random it looks;
-literals that score ``THRESHOLD`` or more are spans of kind ``lexed``.
+literals of 8 characters that score ``THRESHOLD`` or more are spans of kind ``lexed``.
 
 Rows are independent: no shuffle, no state; time and memory follow the longest text, however
 its assignments refer to each other.
@@ -22,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,10 +51,21 @@ _HARMLESS = {"id", "name", "url", "uri", "path", "file", "type", "length", "coun
 _PLACEHOLDER = re.compile(r"example|changeme|change_me|placeholder|redacted|your[_-]|dummy|x{4,}|\*{3,}|^<.*>$|^\[.*\]$|^\$\{|^%\(", re.I | re.A)
 
 _MARK = re.compile(r":=|=>|={1,3}|:{1,2}|[!<>+*/%&|^-]=")
-_TERM = re.compile(
-    r"""(?P<quoted>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)|\$\{?(?P<ref>[A-Za-z_][A-Za-z0-9_.]*)\}?|(?P<word>[^\s;,#"'`(){}\[\]<>&|+]+(?:\+[^\s;,#"'`(){}\[\]<>&|+]+)*)"""
-)
+_ASSIGNS = (":=", "=>", "=", ":")
+_OPEN = re.compile(r"""[rRbBuUfF]{0,2}(\"{3}|'{3}|["'`])""")
+_REST = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*{q}") for q in "\"'`"}
+_WORD = re.compile(r"""\$\{?(?P<ref>[A-Za-z_][A-Za-z0-9_.]*)\}?|(?P<word>[^\s;,#"'`(){}\[\]<>&|+]+(?:\+[^\s;,#"'`(){}\[\]<>&|+]+)*)""")
+_INSERTED = re.compile(r"\$?\{([A-Za-z_][A-Za-z0-9_.]*)[^{}\n]*\}")
 _PLUS = re.compile(r"[ \t]*+(?:(?:\+|\.\.?|~)[ \t]*+)?+\\?+\n?+[ \t]*+(?=[\"'`$A-Za-z_])")
+_NEXT = re.compile(r"\s*+(?:\+\s*+)?+(?=[rRbBuUfF]{0,2}[\"'`])")
+_BRACKET = re.compile(r"[(\[]\s*+(?=[rRbBuUfF]{0,2}[\"'`])")
+_BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[ \t]*\n")
+_QUOTES = frozenset("rRbBuUfF\"'`")
+_INDENT = re.compile(r"[ \t]*")
+#: Names and values without a mark between them: macros, settings of images, and what a lookup gives where its name is not set.
+_DIRECTIVES = re.compile(r"(?m)^[ \t]*(?:#[ \t]*define|ENV|ARG)[ \t]+(?P<name>[A-Za-z_][A-Za-z0-9_]*)[ \t]+(?=[^\s=])")
+_LOOKUPS = re.compile(r"""(?:getenv|environ\.get|getProperty|\.get|\benv)(?P<call>\()\s*["'](?P<name>[A-Za-z0-9_.-]+)["']\s*,\s*""")
+_ATTRIBUTES = re.compile(r"""\b(?:key|name)\s*=\s*["'](?P<name>[^"'\n]*)["']\s+(?:value|content|default)\s*=\s*(?=["'])""")
 #: Characters of names, and those that a name can begin with.
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_$.-")
 _FIRST = _NAME - frozenset("0123456789.-")
@@ -62,6 +76,7 @@ _ANNOTATION = re.compile(r"[ \t]*+=(?!=)")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
+@lru_cache(4096)
 def name_score(name: str) -> float:
     parts = [p.lower() for p in _PARTS.findall(name)]
     if not parts:
@@ -72,14 +87,27 @@ def name_score(name: str) -> float:
 
 
 class _Node:
-    """The value of an assignment: its own literals, the values it refers to, and a summary of the string they spell."""
+    """The value of an assignment: its own literals, the values it refers to, and a summary of the string they spell.
 
-    __slots__ = ("literals", "refs", "score", "n", "text", "length", "share", "held")
+    The summary is made when a value refers to this one, or when the score asks for it; what it refers to has its own by then.
+    """
 
-    def __init__(self, text: str, literals: list[tuple[int, int]], refs: list["_Node"], score: float):
-        self.literals, self.refs, self.score = literals, refs, score
-        parts = [(text[s:e], e - s, _shares(text[s:e]), False) for s, e in literals] + [(x.text, x.length, x.share, x.held) for x in refs]
-        self.n = min(len(literals) + sum(x.n for x in refs), 2)  # only "more than one" matters
+    __slots__ = ("source", "literals", "refs", "score", "n", "text", "length", "share", "held")
+
+    def __init__(self, source: str, literals: list[tuple[int, int]], refs: list["_Node"], score: float):
+        self.source, self.literals, self.refs, self.score = source, literals, refs, score
+        self.n = len(literals)
+        for x in refs:
+            self.n += x.n
+            x.summarise()
+        self.n = min(self.n, 2)  # only "more than one" matters
+        self.share: dict[str, float] | None = None
+
+    def summarise(self) -> None:
+        if self.share is not None:
+            return
+        texts = [self.source[s:e] for s, e in self.literals]
+        parts = [(x, len(x), _shares(x), False) for x in texts] + [(x.text, x.length, x.share, x.held) for x in self.refs]
         self.length = float(min(sum(p[1] for p in parts), 1e15))
         whole = "".join(p[0] for p in parts)
         self.text = whole if len(whole) <= _SPELLED else ""
@@ -94,13 +122,18 @@ class _Node:
 
     def worth(self) -> float:
         """value_score of the whole string, from its summary."""
+        self.summarise()
         if self.length < _LEAST_VALUE or self.held or _PLACEHOLDER.search(self.text):
             return 0.0
         return _randomness(self.share)
 
 
 def _shares(value: str) -> dict[str, float]:
-    return {c: k / len(value) for c, k in Counter(value).items()}
+    """Shares of characters; those beyond ASCII are counted under 128 stand-ins, so that no summary grows with the alphabet."""
+    counts: Counter[str] = Counter()
+    for c, k in Counter(value).items():
+        counts[c if c < "\x80" else chr(0x80 + ord(c) % 128)] += k
+    return {c: k / len(value) for c, k in counts.items()}
 
 
 def _kind(c: str) -> int:
@@ -132,66 +165,131 @@ def _target(text: str, at: int) -> str:
     return text[at:end]
 
 
-def _value(text: str, at: int, known: dict[str, "_Node"]) -> tuple[list, list, int, bool]:
-    """Literals (start, end) and earlier values that make up the value at a place, where it ends, and whether it is one bare word."""
+def _string(text: str, at: int) -> tuple[int, int, int, bool] | None:
+    """Start and end of the literal of a string at a place, the end of the string, and whether names are inserted into it."""
+    m = _OPEN.match(text, at)
+    if not m:
+        return None
+    begin, mark = m.end(), m[1]
+    inserts = mark == "`" or "f" in text[at : m.start(1)].lower()
+    if len(mark) == 3:
+        end = text.find(mark, begin)
+        if end >= 0:
+            return begin, end, end + 3, inserts
+        begin, mark = m.start(1) + 1, mark[0]
+    rest = _REST[mark].match(text, begin)
+    return (begin, rest.end() - 1, rest.end(), inserts) if rest else None
+
+
+def _value(text: str, at: int, stop: int, known: dict[str, "_Node"]) -> tuple[list, list, int, bool]:
+    """Literals (start, end) and earlier values that make up the value at a place, where it ends, and whether it is one bare word.
+
+    stop: where a bare word ends at the latest.
+    """
     found: list = []
     refs: list = []
-    bare, first = False, True
-    while m := _TERM.match(text, at):
-        at = m.end()
-        if m["quoted"]:
-            found.append((m.start() + 1, m.end() - 1))
+    more, first = _PLUS, True
+    if text[at : at + 1] in ("(", "[") and (m := _BRACKET.match(text, at)):
+        more, at = _NEXT, m.end()
+    while True:
+        if text[at : at + 1] in _QUOTES and (s := _string(text, at)):
+            begin, end, at, inserts = s
+            for m in _INSERTED.finditer(text, begin, end) if inserts else ():
+                found.append((begin, m.start()))
+                begin = m.end()
+                if m[1] in known:
+                    refs.append(known[m[1]])
+            found.append((begin, end))
         else:
+            m = _WORD.match(text, at, stop)
+            if not m:
+                return found, refs, at, False
             name = m["ref"] or m["word"]
+            at = m.end()
             if not m["ref"] and _CALLS.match(text, at):
                 return [], [], at, False  # what a call returns isn't known
             if name in known:
                 refs.append(known[name])
             elif m["ref"] is None:
-                if not first:
-                    break
-                found, refs, bare = [(m.start("word"), m.end("word"))], [], True
+                return ([m.span("word")], [], at, True) if first else (found, refs, at, False)
         first = False
-        more = _PLUS.match(text, at)
-        if not more or bare or not more[0].strip(" \t\\\n"):
-            break
-        at = more.end()
-    return found, refs, at, bare
+        m = more.match(text, at)
+        if not m or more is _PLUS and not m[0].strip(" \t\\\n"):
+            return found, refs, at, False
+        at = m.end()
+
+
+def _block(text: str, mark: int, at: int) -> tuple[list, list, int, bool]:
+    """The indented lines below a key, as one literal."""
+    begin = text.rfind("\n", 0, mark) + 1
+    depth, first, end = _INDENT.match(text, begin).end() - begin, None, at
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        inner = _INDENT.match(text, at).end()
+        if inner < stop:
+            if inner - at <= depth:
+                break
+            first, end = inner if first is None else first, stop
+        at = stop + 1
+    return ([] if first is None else [(first, end)]), [], end, False
+
+
+def _pairs(text: str) -> list[tuple[int, int, str, str]]:
+    """Where values stand: (place of the mark, of the value, operator, name of its own), in order."""
+    out = [(m.start(), m.end(), m[0], "") for m in _MARK.finditer(text) if m[0] in _ASSIGNS]
+    if "define" in text or "ENV" in text or "ARG" in text:
+        out += [(m.start("name"), m.end(), "", m["name"]) for m in _DIRECTIVES.finditer(text)]
+    if "env" in text or "get" in text:
+        out += [(m.start("call"), m.end(), "", m["name"]) for m in _LOOKUPS.finditer(text)]
+    return sorted(out)
 
 
 def lexed(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that reach a sensitive name.
 
     Assignments are a graph: a value points at its own literals and at the values of the names in it.
+    Every value is read once, as what has been read is passed over; a bare word after a colon ends at the next mark.
     Names only refer back, so one pass from the last assignment to the first pushes the best score of
     the targets down to the literals; no literal is copied, and work is linear in the text.
     """
     known: dict[str, _Node] = {}
     nodes: list[_Node] = []
-    done = 0
-    for mark in _MARK.finditer(text):
-        op, at = mark[0], mark.start()
-        if at < done or op not in (":=", "=>", "=", ":"):
+    marks, calls, done = _pairs(text), {}, 0
+    attributes = {m.end(): m["name"] for m in _ATTRIBUTES.finditer(text)} if "value" in text or "content" in text or "default" in text else {}
+    for i, (at, start, op, own) in enumerate(marks):
+        name = own or _target(text, at)
+        if at < done or not name:
             continue
-        name = _target(text, at)
-        if not name:
-            continue
-        start = mark.end()
         while start < len(text) and text[start] in " \t":
             start += 1
-        found, refs, end, bare = _value(text, start, known)
+        stop = marks[i + 1][0] if op == ":" and i + 1 < len(marks) else len(text)
+        if stop < start:
+            continue
+        kind = ""
+        if op == ":" and text[start : start + 1] in ("|", ">") and (m := _BLOCK.match(text, start)):
+            found, refs, end, bare = _block(text, at, m.end())
+        else:
+            found, refs, end, bare = _value(text, start, stop, known)
         if op == ":" and bare and (m := _ANNOTATION.match(text, end)):  # name: type = value
-            start = m.end()
+            kind, start = text[start:end], m.end()
             while start < len(text) and text[start] in " \t":
                 start += 1
-            found, refs, end, bare = _value(text, start, known)
+            found, refs, end, bare = _value(text, start, len(text), known)
+        done = max(done, end)  # what a literal holds is no code
+        name = name.lstrip("$")
         if not found and not refs:
+            calls[end] = name
             continue
-        name = name.lstrip("$")
-        node = known[name] = _Node(text, found, refs, name_score(name))
+        score = name_score(name)
+        for other in (kind, attributes.get(start, ""), calls.get(at, "") if not op else ""):
+            if other:
+                score = max(score, name_score(other))
+        if not score and not found and len(refs) == 1:
+            known[name] = refs[0]  # another name for the same value
+            continue
+        node = known[name] = _Node(text, found, refs, score)
         nodes.append(node)
-        if not (bare and op == ":" and "\n" not in text[end : end + 1] and end < len(text)):
-            done = end  # what a literal holds is no code; a bare word after a colon may be prose
     alone: dict[int, float] = {}  # by value: the best score of a name that it reaches
     whole: dict[int, float] = {}  # the same, times the score of the whole string under that name
     best: dict[tuple[int, int], float] = {}
@@ -206,7 +304,7 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
             alone[id(x)], whole[id(x)] = max(alone.get(id(x), 0.0), a), max(whole.get(id(x), 0.0), b)
         for s, e in node.literals:
             worth = max(a * value_score(text[s:e]), b)
-            if worth >= THRESHOLD:
+            if worth >= THRESHOLD and e - s >= _LEAST_VALUE:
                 best[s, e] = max(best.get((s, e), 0.0), worth)
     return [(s, e, round(v, 4)) for (s, e), v in sorted(best.items())]
 

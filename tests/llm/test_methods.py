@@ -202,8 +202,11 @@ def test_small_groups_are_judged(spark):
 @pytest.mark.parametrize(
     ("text", "found"),
     [
-        ('db_password: str = "hunter2-very-long-9"', ["hunter2-very-long-9"]), ('x = "Zq8-hT5_wer9kk"\napi_secret = x', ["Zq8-hT5_wer9kk"]), ('{"client_secret": "aB3dE6gH9jK2"}', ["aB3dE6gH9jK2"]), ('part = "s3cr3t-"\ntoken_value = part + "Wx9Lm4Qp"', ["s3cr3t-", "Wx9Lm4Qp"]),
+        ('db_password: str = "hunter2-very-long-9"', ["hunter2-very-long-9"]), ('x = "Zq8-hT5_wer9kk"\napi_secret = x', ["Zq8-hT5_wer9kk"]), ('{"client_secret": "aB3dE6gH9jK2"}', ["aB3dE6gH9jK2"]), ('part = "s3cr3t-"\ntoken_value = part + "Wx9Lm4Qp"', ["Wx9Lm4Qp"]),
         ("export AUTH_TOKEN='p9X-4tYu-77aa'", ["p9X-4tYu-77aa"]), ("A=Kx8vQ2mN5zR7\nMY_API_KEY=$A", ["Kx8vQ2mN5zR7"]), ('password_hint = "my first dog was brown"', []), ('secret = "changeme-please-1"', []), ("password = getpass('x')", []), ("the token: a word of prose that goes on", []), ("title = 'Zq8-hT5_wer9kk'", []),
+        ('password = """Zq8-hT5_wer9kk"""', ["Zq8-hT5_wer9kk"]), ('password = r"Zq8-hT5_wer9kk"', ["Zq8-hT5_wer9kk"]), ('base="Zq8-hT5_wer9kk"\npassword = f"{base}-x"', ["Zq8-hT5_wer9kk"]), ('password = ("Zq8-hT5_w"\n   "erTy12kk-0")', ["Zq8-hT5_w", "erTy12kk-0"]), ('<add key="password" value="Zq8-hT5_wer9kk"/>', ["Zq8-hT5_wer9kk"]),
+        ("a:\n  password: |\n    Zq8-hT5_wer9kk\n    2nd-Line_of_1t\n\n  next: x", ["Zq8-hT5_wer9kk\n    2nd-Line_of_1t"]), ('#define PASSWORD "Zq8-hT5_wer9kk"', ["Zq8-hT5_wer9kk"]), ("ENV DB_PASSWORD Zq8-hT5_wer9kk", ["Zq8-hT5_wer9kk"]), ('x = os.getenv("API_TOKEN", "Zq8-hT5_wer9kk")', ["Zq8-hT5_wer9kk"]), ('password = os.environ.get("X", "Zq8-hT5_wer9kk")', ["Zq8-hT5_wer9kk"]),
+        ('b = "Zq8-hT5_wer9kk"\ntoken = b + "x"', ["Zq8-hT5_wer9kk"]), ("url: https://user:pw@host token: Zq8-hT5_wer9kk", ["Zq8-hT5_wer9kk"]), ("note: password=Zq8-hT5_wer9kk", ["Zq8-hT5_wer9kk"]), ('a = "Zq8-hT5_wer9kk"\nb = a\nsecret = b', ["Zq8-hT5_wer9kk"]), ("password: |\n", []), ('password = """', []), ("password = (", []),
     ],
 )
 def test_lexer(text, found):
@@ -263,6 +266,17 @@ def test_chained_assignments_take_linear_time():
     assert time.perf_counter() - began < 5  # about half a second; doubling values would never end
 
 
+@pytest.mark.parametrize("unit", ["a:", "a=", "a:'", 'a:"', 'a="', "'\":=`", "x = 'p=' + ", "a: b = ", "a:b:c=d ", 'token="""', "password: |\n", "$a=$b:", 'k = f("x", ', 'getenv("a", ', 'key="a" value=', "f'{a}'=", "a:\\", 'a=("x" ', '"a":[', "日:", "a = a + a\n", "ENV A ENV "])
+def test_marks_in_a_row_take_linear_time(unit):
+    def took(size):
+        text = unit * (size // len(unit)) + "b x"
+        began = time.perf_counter()
+        secrets.scan(text)
+        return time.perf_counter() - began
+
+    assert took(1_000_000) < 8  # a second or two; with the square of the marks it would be a day
+
+
 def test_redaction(spark):
     rows = [(0, 'a token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" b', "en", "s"), (1, None, "en", "s"), (2, "clean text", "en", "s")]
     out = {r.doc_id: r for r in secrets.redact_secrets(H.frame(spark, rows), length_col="n_chars").collect()}
