@@ -46,7 +46,7 @@ _HELD = 16_384
 _BITS = 24
 _PIECE = 1 << 20  # words of a very long text taken at once
 
-SUFFIXES = "prefix long, kind byte, rid long, rid2 int, start int, width byte, words binary"
+SUFFIXES = "prefix long, kind byte, rid long, rid2 int, start int, width int, words binary"
 RUNS = "rid long, rid2 int, start int, run int"
 #: Kinds of records: a suffix that is new in its slab, one with copies there (a repeat, known already, and a witness
 #: for other slabs), and such a copy, which only takes its verdict home.
@@ -172,7 +172,7 @@ def _suffixes(window: int, prefix: int, heavy: bool):
 
 
 def _records(key, kind, texts, start, width, words, rid, rid2) -> pa.RecordBatch:
-    full = [key.view(np.int64), kind, rid[texts], rid2[texts], start.astype(np.int32), width.astype(np.int8)]
+    full = [key.view(np.int64), kind, rid[texts], rid2[texts], start.astype(np.int32), width.astype(np.int32)]
     return pa.RecordBatch.from_arrays([*[pa.array(x) for x in full], pa.array(words, pa.binary())], ["prefix", "kind", "rid", "rid2", "start", "width", "words"])
 
 

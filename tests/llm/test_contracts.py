@@ -94,6 +94,15 @@ def test_substring_dedup_with_lengthened_prefixes(spark, monkeypatch):
     H.same(out.collect(), [(r[0], *x) for r, x in zip(rows, H.removed([r[1] for r in rows]), strict=True)])
 
 
+@pytest.mark.parametrize("window", [9, 100, 200, 300])
+def test_substring_dedup_with_other_windows(spark, window):
+    own = lambda i, n: " ".join(f"o{i}x{j}" for j in range(n))
+    line = " ".join(f"m{j}" for j in range(260))
+    rows = [*H.ODD, *((100 + i, f"{own(i, 40)}\n{line} {own(-i, 30)}", "en", "s") for i in range(5)), (200, f"{line} {line}", "en", "s"), (201, line[:800], "en", "s")]
+    out = substring_dedup.remove_repeats(H.frame(spark, rows), window=window).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256))
+    H.same(out.collect(), [(r[0], *x) for r, x in zip(rows, H.removed([r[1] for r in rows], window), strict=True)])
+
+
 def test_names_of_runs():
     codes = np.random.default_rng(2).integers(0, 3, 500)
     for depth in (1, 2, 3, 8, 35):
