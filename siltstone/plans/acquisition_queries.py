@@ -11,8 +11,10 @@ from siltstone.functions import urls as U
 from siltstone.operators import acquisition as A
 from siltstone.plans import text_queries as TQ
 from siltstone.plans.registry import Family, table
+from siltstone.sinks.office import as_docx
 from siltstone.sources import adapters, records
 from siltstone.sources.dispatch import dispatch
+from siltstone.sources.documents import parse_documents
 
 family = Family()
 
@@ -101,3 +103,10 @@ def adapter_fallthrough(spark, sf_dir):
     out, tries = dispatch(rows, sources, "doc_id")
     turns = tries.groupBy("doc_id").agg(F.count("*").alias("turns"))
     return out.join(turns, "doc_id", "left").select("doc_id", "adapter", "error", F.md5("markdown").alias("text_md5"), F.coalesce("turns", F.lit(0)).alias("turns"))
+
+
+@family.query(f"SELECT doc_id, 'ok' AS status, length(t) AS n_chars, md5(t) AS text_md5 FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: {TQ._STRIP.format(x='x')}), lambda x: x <> ''), {TQ._BREAK}) AS t FROM documents)")
+def office_documents(spark, sf_dir):
+    """Documents as .docx files, and what the parser of such files reads: their lines, one paragraph each."""
+    read = parse_documents(as_docx(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return read.select(F.regexp_extract("path", "^[0-9]+", 0).cast("long").alias("doc_id"), "status", F.length("markdown").cast("long").alias("n_chars"), F.md5("markdown").alias("text_md5"))

@@ -11,19 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siltstone.operators.extraction import to_markdown
+from siltstone.sources import office
+from siltstone.sources.markup import table_markdown
 
 MAX_BYTES = 50 * 1024 * 1024
 
 
-def table_markdown(rows: list[list[str]]) -> str:
-    """A Markdown table whose first row is the header; cells are padded to their column."""
-    width = max((len(r) for r in rows), default=0)
-    full = [[str(c).replace("|", "\\|").replace("\n", " ") for c in r] + [""] * (width - len(r)) for r in rows]
-    sizes = [max([3, *(len(r[i]) for r in full)]) for i in range(width)]
-    line = lambda r: "| " + " | ".join(c.ljust(n) for c, n in zip(r, sizes, strict=True)) + " |"
-    return "\n".join([line(full[0]), "|" + "|".join("-" * (n + 2) for n in sizes) + "|", *map(line, full[1:])]) if full else ""
-
-
 def _csv(content: bytes) -> tuple[str, dict]:
     rows = list(csv.reader(io.StringIO(content.decode("utf-8", "replace"))))
     return table_markdown(rows), {"rows": len(rows)}
@@ -47,7 +40,7 @@ def _json(content: bytes) -> tuple[str, dict]:
 
 
 #: What a file's extension is parsed by; callers may add to it.
-PARSERS: dict[str, Callable[[bytes], tuple[str, dict]]] = {"csv": _csv, "html": _html, "htm": _html, "json": _json} | dict.fromkeys(("txt", "md", "markdown", "log", "py", "js", "xml", "yaml", "yml", "rst"), _text)
+PARSERS: dict[str, Callable[[bytes], tuple[str, dict]]] = {"csv": _csv, "html": _html, "htm": _html, "json": _json, "docx": office.docx, "pptx": office.pptx, "xlsx": office.xlsx, "pdf": office.pdf} | dict.fromkeys(("txt", "md", "markdown", "log", "py", "js", "xml", "yaml", "yml", "rst"), _text)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +51,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def parse_documents(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, status, markdown, metadata as JSON): status is ok, unsupported, too_large or failed.
 
-    Size and type are settled before any content is passed on to Python.
+    Size and type are settled before any content is passed on to Python; what would inflate beyond its limit is too_large.
     """
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     known = dict(PARSERS)
@@ -73,6 +66,8 @@ def parse_documents(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
                     try:
                         text, more = known[kind](content or b"")
                         meta |= more
+                    except office.TooLarge:
+                        state = "too_large"
                     except (ValueError, csv.Error):
                         state = "failed"
                 out.append((state, text, json.dumps(meta)))
