@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from siltstone.operators import positions as P
 from siltstone.plans.registry import Family, table
 
 family = Family()
@@ -123,3 +124,11 @@ def pricing_summary(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02 00:00:00'")
     money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
     return rows.groupBy("l_returnflag", "l_linestatus").agg(money("l_quantity").alias("sum_qty"), money("l_extendedprice").alias("sum_base"), F.count("*").alias("n"))
+
+
+@family.query("""SELECT position, doc_id, vec_id FROM (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS position, doc_id FROM documents) FULL JOIN (SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS position, vec_id FROM embeddings) USING (position)""")
+def positional_zip(spark, sf_dir):
+    """Documents by falling length beside vectors by label: tables of unequal length, joined by position."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", (-F.col("n_chars")).alias("short"))
+    points = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return P.zipped(docs, points, ["short", "doc_id"], ["label", "vec_id"], longest=True).select("position", "left.doc_id", "right.vec_id")
