@@ -1,15 +1,17 @@
 """WARC archives and a Merkle audit of replicas.
 
 Pages become WARC/1.1 resource records in archives of ``ARCHIVE`` consecutive ids, in order of
-id, each at its byte offset; an archive is stored as its bytes with an index of its records.  An audit reads the stored bytes of two
-replicas.  A record's leaf is the SHA-256 of the bytes at its offsets; a
+id, each at its byte offset; an archive is stored as rows of bytes, one for each record, so that no value holds more than a record, however
+large an archive is.  An audit reads the stored bytes of two
+replicas.  A record's leaf is the SHA-256 of the bytes at its offset; a
 node covers ``FANOUT`` neighbours of the level below and hashes their digests with the
 byte range they span; above the archives, nodes cover neighbouring archives, up to
 one root.  Replicas are compared from the root down: a node's children are
-compared only where the nodes differ, so equal branches are never looked at.
+compared only where the nodes differ, so equal branches are never looked at.  Below unequal leaves, records are aligned by id
+and digest, so one that is missing is one fault, not one for each that follows.
 
-An archive is one row, so its own tree is folded inside that row; only the roots of archives are shuffled.  Records
-travel once, to their archive.
+Leaves are hashed where their bytes are read; digests and offsets go to their archive, whose tree is folded in one row, and only the roots of
+archives go further.  Records travel once, to their archive.
 
 Defined results: null html is an empty body and a null url an empty address; rows with a
 null or negative id go to archives of their own (odd numbers) by the hash of their content, as many as ``lost`` says;
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.llm.shared import _shared_folder, dropped, saved
 
@@ -45,7 +47,7 @@ def lost_archives(pages: DataFrame, id_col: str = "page_id") -> int:
 
 
 def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", lost: int | None = None) -> DataFrame:
-    """(archive, index, content): a row for each archive, with the (id, start, length, copies) of its records in order and its bytes."""
+    """(archive, place, id, start, length, copies, content): the bytes of archives, a row for each record at its offset."""
     lost = lost_archives(pages, id_col) if lost is None else lost
     id_, url, html = pages[id_col], F.coalesce(pages[url_col], F.lit("")), F.coalesce(pages[html_col], F.lit(""))
     archive = F.when(id_ >= 0, F.floor(id_ / ARCHIVE) * 2).otherwise(F.pmod(F.xxhash64(url, html), F.lit(lost)) * 2 + 1).cast("long")
@@ -55,11 +57,9 @@ def archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     single = rows.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1").isEmpty()
     # records travel once more only where some repeat
     rows = rows.withColumn("copies", F.lit(1).cast("long")) if single else rows.groupBy(*key).agg(F.count("*").alias("copies"), F.first("record").alias("record"))
-    whole = rows.groupBy("archive").agg(F.array_sort(F.collect_list(F.struct("id", "url", "digest", "length", "copies", "record"))).alias("r"))
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<struct<id:bigint,start:bigint,length:bigint,copies:bigint>>").alias("out"))
-    entry = lambda acc, x: F.struct(x["id"].cast("long").alias("id"), acc["end"].alias("start"), x["length"].alias("length"), x["copies"].alias("copies"))
-    index = F.aggregate("r", zero, lambda acc, x: F.struct((acc["end"] + x["length"]).alias("end"), F.array_append(acc["out"], entry(acc, x)).alias("out")), lambda acc: acc["out"])
-    return whole.select("archive", index.alias("index"), F.encode(F.array_join(F.transform("r", lambda x: x["record"]), ""), "UTF-8").alias("content"))
+    order = Window.partitionBy("archive").orderBy("id", "url", "digest")
+    start = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.select("archive", (F.row_number().over(order) - 1).cast("long").alias("place"), F.col("id").cast("long").alias("id"), start.alias("start"), "length", "copies", F.encode("record", "UTF-8").alias("content"))
 
 
 def write_archives(stored: DataFrame, path: str) -> DataFrame:
@@ -70,9 +70,8 @@ def write_archives(stored: DataFrame, path: str) -> DataFrame:
 
 def damaged(stored: DataFrame, every: int = 997) -> DataFrame:
     """Archives in which a stored byte of every so many ids' records is wrong (for drills): its middle one becomes 0xFF, which no UTF-8 has."""
-    hit = F.filter("index", lambda e: F.coalesce(e["id"] % every == 5, F.lit(False)))
-    wrong = F.aggregate(hit, F.col("content"), lambda acc, e: F.overlay(acc, F.unhex(F.lit("FF")), (e["start"] + F.floor(e["length"] / 2) + 1).cast("int"), F.lit(1)))
-    return stored.withColumn("content", wrong)
+    wrong = F.overlay("content", F.unhex(F.lit("FF")), (F.floor(F.col("length") / 2) + 1).cast("int"), F.lit(1))
+    return stored.withColumn("content", F.when(F.coalesce(F.col("id") % every == 5, F.lit(False)), wrong).otherwise(F.col("content")))
 
 
 def _height(width: int) -> int:
@@ -91,9 +90,13 @@ def _node(children: Column) -> Column:
 
 def trees(stored: DataFrame) -> DataFrame:
     """(archive, index, levels): the tree of each archive over its stored bytes, from the leaves up to one node."""
-    leaf = lambda e: F.struct(e["start"].alias("start"), (e["start"] + e["length"]).alias("end"), F.concat_ws("*", F.sha2(F.substring("content", (e["start"] + 1).cast("int"), e["length"].cast("int")), 256), e["copies"]).alias("digest"))
-    out = stored.select("archive", "index", F.transform("index", leaf).alias("l0"))
-    most = stored.agg(F.coalesce(F.max(F.size("index")), F.lit(1))).first()[0]
+    # the bytes are hashed row by row where they are read; digests and offsets go to their archive
+    each = stored.select("archive", F.struct("place", "id", "start", "length", "copies", F.concat_ws("*", F.sha2("content", 256), "copies").alias("digest")).alias("e"))
+    out = saved(each.groupBy("archive").agg(F.array_sort(F.collect_list("e")).alias("e")))
+    entry = lambda e: F.struct(*[e[c].alias(c) for c in ("id", "start", "length", "copies")])
+    leaf = lambda e: F.struct(e["start"].alias("start"), (e["start"] + e["length"]).alias("end"), e["digest"].alias("digest"))
+    most = out.agg(F.coalesce(F.max(F.size("e")), F.lit(1))).first()[0]
+    out = out.select("archive", F.transform("e", entry).alias("index"), F.transform("e", leaf).alias("l0"))
     height = max(_height(most - 1), 1)
     for k in range(height):
         below = F.col(f"l{k}")
@@ -133,7 +136,7 @@ def audit(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[int]]:
         unequal.append(suspect.count())
     # within an archive: its levels lie in two rows, and the children of unequal nodes are looked at there
     named = suspect.select(F.col("node").alias("archive"))
-    x, y = (t.join(named, "archive", "left_semi").select("archive", F.col("levels").alias(c)) for t, c in ((a, "x"), (b, "y")))
+    x, y = (t.join(named, "archive", "left_semi").select("archive", F.col("levels").alias(c), F.col("index").alias(f"{c}_index")) for t, c in ((a, "x"), (b, "y")))
     pair = x.join(y, "archive", "full_outer")
     height = F.greatest(F.coalesce(F.size("x"), F.lit(0)), F.coalesce(F.size("y"), F.lit(0)))
     most = pair.agg(F.max(height)).first()[0] or 0
@@ -147,9 +150,26 @@ def audit(a: DataFrame, b: DataFrame) -> tuple[DataFrame, list[int]]:
     if most > 1:
         counts = pair.agg(*[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(most - 2, -1, -1)]).first()
         unequal += [int(c) for c in counts]
-    found = pair.select("archive", F.explode("nodes").alias("place"), "x", "y")
-    fault = F.when(at("y", 0, F.col("place")).isNull(), "missing").when(at("x", 0, F.col("place")).isNull(), "extra").otherwise("corrupt")
-    return found.select("archive", F.col("place").cast("long").alias("place"), fault.alias("fault")), unequal
+    return _aligned(pair), unequal
+
+
+def _aligned(pair: DataFrame) -> DataFrame:
+    """(archive, place, fault) of the records below unequal leaves.
+
+    Records are paired by id and digest, as one that is missing shifts the places of all that follow; what is left is
+    paired by id, and then corrupt.  Places are those of the first replica; of records that it doesn't have (extra), of the second.
+    """
+    leaves = pair.select("archive", "x", "x_index", "y", "y_index", F.explode("nodes").alias("place"))
+    sides = []
+    for c in ("x", "y"):
+        digest = F.get(F.get(c, F.lit(0)), F.col("place"))["digest"]
+        own = leaves.where(digest.isNotNull()).select("archive", F.col("place").cast("long").alias("place"), F.coalesce(F.get(f"{c}_index", F.col("place"))["id"].cast("string"), F.lit("")).alias("key"), digest.alias("digest"))
+        sides.append(own.withColumn("n", F.row_number().over(Window.partitionBy("archive", "key", "digest").orderBy("place"))))
+    left, right = ((own.join(other, ["archive", "key", "digest", "n"], "left_anti")) for own, other in (sides, sides[::-1]))
+    left, right = (t.select("archive", "key", F.row_number().over(Window.partitionBy("archive", "key").orderBy("place")).alias("n"), F.col("place").alias(c)) for t, c in ((left, "here"), (right, "there")))
+    both = left.join(right, ["archive", "key", "n"], "full_outer")
+    fault = F.when(F.col("there").isNull(), "missing").when(F.col("here").isNull(), "extra").otherwise("corrupt")
+    return both.select("archive", F.coalesce("here", "there").alias("place"), fault.alias("fault"))
 
 
 def _records(t: DataFrame) -> DataFrame:
@@ -162,7 +182,7 @@ def report(first: DataFrame, second: DataFrame, id_col: str = "page_id") -> Data
     a, b = trees(first), trees(second)
     faults, _ = audit(a, b)
     faults = saved(faults)
-    found = _records(a).join(faults, ["archive", "place"], "left")
+    found = _records(a).join(faults.where("fault <> 'extra'"), ["archive", "place"], "left")
     extra = _records(b).join(faults.where("fault = 'extra'"), ["archive", "place"])
     return found.unionByName(extra).select(F.col("id").alias(id_col), "archive", "place", "start", "length", "copies", "digest", "fault")
 

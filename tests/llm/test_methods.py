@@ -323,22 +323,36 @@ def test_audit_finds_what_differs_and_looks_at_those_branches_only(spark):
     a, b = warc.trees(one), warc.trees(two)
     faults, unequal = warc.audit(a, b)
     got = {(r.archive, r.place, r.fault) for r in faults.collect()}
-    assert {(0, 17, "corrupt"), (4, 2999 - 2048, "corrupt")} <= got and any(f == "missing" for _, _, f in got)
+    assert got == {(0, 17, "corrupt"), (4, 2999 - 2048, "corrupt"), (2, 1500 - 1024, "missing")}
     assert unequal[0] == 1 and max(unequal[:-1]) < 100
     none, equal = warc.audit(a, warc.trees(warc.archives(pages(spark, rows[::-1]), lost=2)))
     assert none.count() == 0 and equal == [0]
     report = warc.report(one, two).collect()
     assert sum(r.fault is None for r in report) + len(got) == len(rows) - 1 and sum(r.copies == 2 for r in report) == 1
+    back = {(r.archive, r.place, r.fault) for r in warc.audit(b, a)[0].collect()}
+    assert back == {(0, 17, "corrupt"), (4, 2999 - 2048, "corrupt"), (2, 1500 - 1024, "extra")}
+    extra = [r for r in warc.report(two, one).collect() if r.fault == "extra"]
+    assert [r.page_id for r in extra] == [1500]
+
+
+def test_one_missing_record_is_one_fault(spark):
+    rows = [(i, f"http://h/{i}", "same" if i % 2 else f"<p>{i}</p>") for i in range(300)] + [(5, "http://h/5", "another"), (None, "u", "x"), (None, "u", "y")]
+    whole = warc.trees(warc.archives(pages(spark, rows), lost=1))
+    for gone in (0, 150, 299, 300, 301):
+        part = warc.trees(warc.archives(pages(spark, rows[:gone] + rows[gone + 1 :]), lost=1))
+        assert [r.fault for r in warc.audit(whole, part)[0].collect()] == ["missing"]
 
 
 def test_stored_bytes_are_audited(spark, tmp_path):
-    table = pages(spark, [(i, "http://é/", "ü" * i) for i in range(1500)]).withColumns({c: F.lit("x") for c in ("record", "digest", "archive", "index", "content", "place", "node", "id")})
+    table = pages(spark, [(i, "http://é/", "ü" * i) for i in range(1500)]).withColumns({c: F.lit("x") for c in ("record", "digest", "archive", "index", "content", "place", "node", "id", "start", "length", "copies")})
     one = warc.write_archives(warc.archives(table), str(tmp_path / "a"))
     two = warc.write_archives(warc.damaged(one, every=500), str(tmp_path / "b"))
-    for r in one.collect():
-        for place, e in enumerate(r["index"]):
-            text = bytes(r.content)[e.start : e.start + e.length].decode()
-            assert text.startswith("WARC/1.1\r\nWARC-Type: resource\r\n") and "\r\nWARC-Date: 1970" in text and f"<urn:page:{e.id}>" in text and text.endswith("ü" * e.id + "\r\n\r\n") and place == e.id % 1024
+    at = {}
+    for e in one.orderBy("archive", "place").collect():
+        text = bytes(e.content).decode()
+        assert text.startswith("WARC/1.1\r\nWARC-Type: resource\r\n") and "\r\nWARC-Date: 1970" in text and f"<urn:page:{e.id}>" in text and text.endswith("ü" * e.id + "\r\n\r\n") and e.place == e.id % 1024
+        assert e.start == at.get(e.archive, 0) and e.length == len(e.content)
+        at[e.archive] = e.start + e.length
     faults = {(r.page_id, r.fault) for r in warc.report(one, two).collect() if r.fault}
     assert faults == {(i, "corrupt") for i in (5, 505, 1005)}
     assert warc.drill(table.limit(0)).count() == 0
