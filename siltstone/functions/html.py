@@ -22,13 +22,14 @@ def meta(html: Column, name: str, attribute: str = "name") -> Column:
     """Content of a meta tag, whichever attribute comes first; null if there is none."""
     before = F.regexp_extract(html, rf'(?is)<meta\s[^>]*?\b{attribute}=["\']{name}["\'][^>]*?\bcontent=["\']([^"\']*)["\']', 1)
     after = F.regexp_extract(html, rf'(?is)<meta\s[^>]*?\bcontent=["\']([^"\']*)["\'][^>]*?\b{attribute}=["\']{name}["\']', 1)
-    return F.coalesce(F.nullif(before, F.lit("")), F.nullif(after, F.lit("")))
+    return F.coalesce(F.nullif(strip(before), F.lit("")), F.nullif(strip(after), F.lit("")))
 
 
 def metas(html: Column, prefix: str, attribute: str) -> Column:
-    """All tags whose name begins with a prefix, as an array of (name, content) in order."""
+    """All tags with content whose name begins with a prefix, as an array of (name, content) in order."""
     tags = F.regexp_extract_all(html, F.lit(rf'(?is)<meta\s[^>]*?\b{attribute}=["\']{prefix}[^"\']+["\'][^>]*?>'), F.lit(0))
-    return F.transform(tags, lambda t: F.struct(F.regexp_extract(t, rf'(?is)\b{attribute}=["\']{prefix}([^"\']+)["\']', 1).alias("name"), F.regexp_extract(t, r'(?is)\bcontent=["\']([^"\']*)["\']', 1).alias("content")))
+    found = F.transform(tags, lambda t: F.struct(strip(F.regexp_extract(t, rf'(?is)\b{attribute}=["\']{prefix}([^"\']+)["\']', 1)).alias("name"), strip(F.regexp_extract(t, r'(?is)\bcontent=["\']([^"\']*)["\']', 1)).alias("content")))
+    return F.filter(found, lambda x: x["content"] != "")
 
 
 def open_graph(html: Column) -> Column:

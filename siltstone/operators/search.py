@@ -89,11 +89,11 @@ def downloads(responses: DataFrame, url: str = "url", content_type: str = "conte
     return rows.select(url, file_name(F.col(url), F.col(content_type)).alias("filename"), content_type, F.length(content).cast("long").alias("size"))
 
 
-def routing_signals(headers: DataFrame) -> DataFrame:
-    """shielded, redirected, is_binary and is_empty of HEAD responses: (url, final_url, status, content_type, content_length, mitigated)."""
+def routing_signals(headers: DataFrame, key: str = "url") -> DataFrame:
+    """shielded, redirected, is_binary and is_empty of HEAD responses, by key: (url, final_url, status, content_type, content_length, mitigated)."""
     challenged = F.lower(F.coalesce("mitigated", F.lit(""))) == "challenge"
     small = (F.col("status") == 200) & (F.col("content_length").try_cast("long") < 1024)
-    return headers.select("url", (challenged | (F.col("status") >= 400)).alias("shielded"), (F.col("url") != F.col("final_url")).alias("redirected"), is_binary(F.col("content_type")).alias("is_binary"), F.coalesce(small, F.lit(False)).alias("is_empty"))
+    return headers.select(key, (challenged | (F.col("status") >= 400)).alias("shielded"), (F.col("url") != F.col("final_url")).alias("redirected"), is_binary(F.col("content_type")).alias("is_binary"), F.coalesce(small, F.lit(False)).alias("is_empty"))
 
 
 def lexical_score(queries: pd.Series, texts: pd.Series) -> pd.Series:
