@@ -221,7 +221,7 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     different components one, x, is not ("far", by spare = w - (100 - t) * |h|), and S must be at least
     need = (spare(x) + w(y)) / (100 + t).
 
-    Prefix filtering: elements that only one member has are dropped, and the lists are put in one order, the rarest
+    Prefix filtering: elements that members of only one component have are dropped, and the lists are put in one order, the rarest
     element under the hub first.  A pair that shares need elements has n of them in common among the first
     length - need + n of each list, for any n up to need; the tokens of a list are all n-element choices from
     these, and candidates come from an equi-join on (hub, class, token).  What y must show depends on w(y), so
@@ -236,7 +236,10 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     placed = _rooted(members, roots, "cid", "root")
     # most buckets lie in one component and end here
     mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("key")
-    under = placed.join(mixed, "key").where("cid <> hub").select("hub", "cid", "root").distinct()
+    under = saved(placed.join(mixed, "key").where("cid <> hub").select("hub", "cid", "root").distinct(), members.count())
+    none = under.limit(0).select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+    if under.isEmpty():
+        return none
     h, x = (full.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("shingles").alias(f"s{c}")) for c in ("hub", "cid"))
     away = under.join(x, "cid").join(h, "hub").select("hub", "cid", "root", "nhub", F.array_except("scid", "shub").alias("more"), F.array_except("shub", "scid").alias("less"))
     w, unit = 100 * F.size("less") + threshold * F.size("more"), 100 + threshold
@@ -245,12 +248,15 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     away = away.select("hub", "cid", "root", size.alias("size"), w.cast("long").alias("w"), (w - (100 - threshold) * F.col("nhub")).cast("long").alias("spare"), listed.alias("listed"))
     # only hubs with far members can have such pairs
     away = saved(away)
+    if away.where("spare > 0").isEmpty():
+        return none
     beyond = away.where("spare > 0").groupBy("hub").agg(F.min("spare").alias("beyond"))
-    each = join_salted(away, beyond, "hub", "cid").select("hub", "cid", F.explode("listed").alias("element"))
-    each = saved(each)
-    often = saved(each.groupBy("hub", "element").agg(F.count("*").alias("often")).where("often > 1"))
-    ranked = join_salted(each, often, ["hub", "element"], "cid").groupBy("hub", "cid").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("ranked"))
-    measured = join_salted(away.drop("listed"), beyond, "hub", "cid").join(saved(ranked), ["hub", "cid"])
+    rows = away.count()
+    each = saved(join_salted(away, beyond, "hub", "cid", rows).select("hub", "cid", "root", F.explode("listed").alias("element")))
+    # a pair that matters lies in two components, and so does all that it shares
+    often = saved(each.groupBy("hub", "element").agg(F.count("*").alias("often"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("hub", "element", "often"))
+    ranked = join_salted(each, often, ["hub", "element"], "cid", each.count()).groupBy("hub", "cid").agg(F.array_sort(F.collect_list(F.struct("often", "element"))).alias("ranked"))
+    measured = join_salted(away.drop("listed"), beyond, "hub", "cid", rows).join(saved(ranked), ["hub", "cid"])
     measured = measured.withColumn("listed", F.col("ranked.element")).withColumn("class", F.floor(F.log2(F.greatest("w", F.lit(1))) * _OCTAVE).cast("int"))
     measured = saved(measured.withColumn("length", F.size("listed").cast("long")).drop("ranked"))
     classes = measured.groupBy("hub").agg(F.collect_set("class").alias("classes"))  # a few for each power of two
@@ -262,7 +268,7 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
         return F.col("length") - F.greatest(F.ceil(need / unit), F.lit(1))
 
     y = measured.withColumn("extra", extra(F.col("w") + F.col("beyond"))).where("extra >= 0").select(*columns)
-    far = join_salted(measured.where("spare > 0").drop("class"), classes, "hub", "cid").withColumn("class", F.explode("classes"))
+    far = join_salted(measured.where("spare > 0").drop("class"), classes, "hub", "cid", rows).withColumn("class", F.explode("classes"))
     # a partner of this class has w below least_w * 2 ** (1 / _OCTAVE), and w >= threshold * its length
     far = far.where(F.col("spare") * threshold <= (least_w + 0.01) * 2 ** (1 / _OCTAVE) * (unit - threshold)).withColumn("extra", extra(F.col("spare") + least_w)).where("extra >= 0").select(*columns)
     most = F.ceil(F.min(F.col("beyond") + least_w) / unit)
@@ -270,7 +276,7 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     pick = F.coalesce(*[F.when((F.avg(count(n)) <= _TOKENS) & (most >= n), n) for n in range(_CHOICE, 1, -1)], F.lit(1))
     chosen = y.unionByName(far).groupBy("hub", "class").agg(pick.alias("n"))
     chosen = saved(chosen)
-    y, far = (join_salted(d, chosen, ["hub", "class"], "cid").withColumn("token", F.explode(_choices(F.slice("listed", F.lit(1), (F.col("extra") + F.col("n")).cast("int")), F.col("n")))).drop("listed") for d in (y, far))
+    y, far = (join_salted(d, chosen, ["hub", "class"], "cid", rows).withColumn("token", F.explode(_choices(F.slice("listed", F.lit(1), (F.col("extra") + F.col("n")).cast("int")), F.col("n")))).drop("listed") for d in (y, far))
     y = y.select("hub", "class", "token", F.col("cid").alias("b"), F.col("root").alias("other"), F.col("w").alias("wb"), F.col("spare").alias("spare_b"), F.col("length").alias("length_b"), F.col("size").alias("nb"))
     far = far.select("hub", "class", "token", F.col("cid").alias("a"), "root", F.col("spare").alias("spare_a"), F.col("length").alias("length_a"), F.col("size").alias("na"))
     can = (F.col("root") != F.col("other")) & (F.col("spare_a") + F.col("wb") <= unit * F.least("length_a", "length_b")) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & ((F.col("spare_b") <= 0) | (F.col("a") < F.col("b")))
@@ -294,7 +300,7 @@ def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str
     own = classes.select("cid", "sa", "sb", "label")
     linked = own.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     least = linked.where("root is not null").groupBy("root").agg(F.min("label").alias("least"))
-    named = join_salted(linked, least, "root", "cid", "left").select("sa", "sb", F.coalesce("root", "cid").alias("root"), F.coalesce("least", "label").alias("component_id"))
+    named = join_salted(linked, least, "root", "cid", classes.count(), "left").select("sa", "sb", F.coalesce("root", "cid").alias("root"), F.coalesce("least", "label").alias("component_id"))
     out = rows.select("id", "rid", "n", "sa", "sb").join(named, ["sa", "sb"], "left")
     found = F.col("root").isNotNull() & (F.col("n") > 0) & F.col("id").isNotNull()
     component = F.when(found, F.col("component_id")).otherwise(F.col("id"))

@@ -19,6 +19,8 @@ from pyspark.sql.classic.dataframe import DataFrame
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 48 << 20
 #: Rows of a saved narrow table that make a file of their own.
 FILE_ROWS = 500_000
+#: Narrow rows of one key that a task takes easily, and the tasks that a hotter key is dealt to.
+HOT_ROWS, SALTS = 1_000_000, 8
 
 
 def _shared_folder(spark: SparkSession) -> str:
@@ -91,8 +93,14 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if counted_small(df) else df
 
 
-def join_salted(left: DataFrame, right: DataFrame, on: str | list[str], salt: str, how: str = "inner", salts: int = 8) -> DataFrame:
-    """left joined with right, which has each key once: a hot key of left is dealt to several tasks by a hash of its column salt."""
+def join_salted(left: DataFrame, right: DataFrame, on: str | list[str], salt: str, rows: int, how: str = "inner") -> DataFrame:
+    """left, of about so many rows (counted), joined with right, which has each key once: a key that may be hot is dealt to several tasks by a hash of its column salt.
+
+    A key has no more rows than its table, so a table of up to HOT_ROWS rows is joined as it is.
+    """
+    salts = min(SALTS, 1 + rows // HOT_ROWS)
+    if salts == 1:
+        return left.join(right, [on] if isinstance(on, str) else on, how)
     dealt = left.withColumn("_salt", F.pmod(F.hash(salt), F.lit(salts)))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(copies, [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")
