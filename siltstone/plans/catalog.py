@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import acquisition_queries, event_queries, meta_queries, relational_queries, report_queries, research_queries, state_queries, text_queries, url_queries
+from siltstone.plans import acquisition_queries, event_queries, meta_queries, relational_queries, report_queries, research_queries, source_queries, state_queries, text_queries, url_queries
 
-FAMILIES = [url_queries.family, text_queries.family, state_queries.family, event_queries.family, relational_queries.family, report_queries.family, meta_queries.family, acquisition_queries.family, research_queries.family]
+FAMILIES = [url_queries.family, text_queries.family, state_queries.family, event_queries.family, relational_queries.family, report_queries.family, meta_queries.family, acquisition_queries.family, research_queries.family, source_queries.family]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
