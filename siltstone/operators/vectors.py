@@ -21,24 +21,28 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
-#: Query vectors that are sent to the points at once.
-BLOCK = 4096
+#: Query vectors that are broadcast at most, or meet a part of the points in one task, and into how many parts points are dealt then.
+BLOCK, PARTS = 4096, 64
 
 
 def top_k(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
     """(query_id, id, score, place): the k nearest points of each query by dot product of unit vectors; ties go to the lower id.
 
-    queries is (query_id, query), a stated set.  It is counted, and sent to the points in blocks of about ``BLOCK``
-    queries; each reading task keeps its best k a query before the shuffle.  Scores are rounded after the ranking.
+    queries is (query_id, query), a stated set, and counted: up to BLOCK queries are sent to the points.  More are cut into blocks, and
+    a block meets each part of the points by an equi-join on both numbers; the plan is the same however many blocks there are.  Each
+    task keeps its best k a query before the shuffle.  Scores are rounded after the ranking.  (``vector_index`` searches without all pairs.)
     """
     blocks = -(-queries.count() // BLOCK) or 1
-    best = None
-    for b in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = points.join(F.broadcast(block)).select("query_id", id_col, dot(F.col(vector_col), F.col("query")).alias("score"))
-        by = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
-        near = pairs.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
-        best = near if best is None else best.unionByName(near)
+    if blocks == 1:
+        met = points.join(F.broadcast(queries))
+    else:
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = points.select(id_col, vector_col).withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(PARTS)).cast("int")).withColumn("_block", every(blocks))
+        asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_part", every(PARTS))
+        met = dealt.join(asked, ["_block", "_part"])
+    pairs = met.select("query_id", id_col, dot(F.col(vector_col), F.col("query")).alias("score"))
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    best = pairs.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
     return best.withColumn("score", F.round("score", digits))
 
 

@@ -58,6 +58,15 @@ def test_every_usable_row_is_in_the_index_once_and_hot_cells_are_many_blocks(spa
     assert [(r.query_id, r.vec_id) for r in found] == [(1, i) for i in range(5)]
 
 
+def test_exact_search_in_blocks(spark, monkeypatch):
+    points = clustered(spark, 300)
+    asked = points.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    whole = sorted(map(tuple, V.top_k(points, asked, 4).collect()))
+    monkeypatch.setattr(V, "BLOCK", 16)
+    monkeypatch.setattr(V, "PARTS", 3)
+    assert sorted(map(tuple, V.top_k(points, asked, 4).collect())) == whole and len(whole) == 240
+
+
 def test_written_index_and_empty_tables(spark, tmp_path):
     points = clustered(spark, 400)
     queries = points.limit(3).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
