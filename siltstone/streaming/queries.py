@@ -48,11 +48,24 @@ def fixed_window_limit(requests: DataFrame, key: str, limit: int, width: str, ts
     return counts.select(key, "start", F.col("n").alias("requests"), F.least(F.col("n"), F.lit(limit)).alias("allowed"))
 
 
-def page_monitor(fetches: DataFrame, key: str, content: str, ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """Change verdicts of fetched pages: each fetch against the last content of its key, kept as state."""
+#: Seconds of event time after which the state of a silent key goes.
+TTL_S = 30 * 86_400
+
+
+def _until(state: GroupState, times: pd.Series, ttl_s: float) -> None:
+    """The state goes when the watermark is ttl_s past the last of times."""
+    last = max(int(pd.Timestamp(t).timestamp() * 1000) for t in (times.min(), times.max()))
+    state.setTimeoutTimestamp(max(last + int(ttl_s * 1000), state.getCurrentWatermarkMs() + 1))
+
+
+def page_monitor(fetches: DataFrame, key: str, content: str, ts: str = "ts", order: str = "event_id", ttl_s: float = TTL_S) -> DataFrame:
+    """Change verdicts of fetched pages: each fetch against the last content of its key, kept as state until the key is silent for ttl_s."""
     kind = lambda c: fetches.schema[c].dataType.simpleString()
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         before = state.get[0] if state.exists else None
         rows = pd.concat(list(frames)).sort_values([ts, order])
         changed = []
@@ -60,16 +73,20 @@ def page_monitor(fetches: DataFrame, key: str, content: str, ts: str = "ts", ord
             changed.append(bool(before) and before != now)
             before = now
         state.update((before,))
+        _until(state, rows[ts], ttl_s)
         yield pd.DataFrame({key: rows[key], order: rows[order], "changed": changed})
 
-    return fetches.groupBy(key).applyInPandasWithState(step, f"{key} {kind(key)}, {order} {kind(order)}, changed boolean", "last string", "append", GroupStateTimeout.NoTimeout)
+    return fetches.groupBy(key).applyInPandasWithState(step, f"{key} {kind(key)}, {order} {kind(order)}, changed boolean", "last string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def breaker(calls: DataFrame, key: str, ok: str, ts: str = "ts", order: str = "event_id", failures: int = 5, cooldown: float = 30.0) -> DataFrame:
-    """The circuit breaker with its state (name, failures in a row, time it opened) kept between batches."""
+def breaker(calls: DataFrame, key: str, ok: str, ts: str = "ts", order: str = "event_id", failures: int = 5, cooldown: float = 30.0, ttl_s: float = TTL_S) -> DataFrame:
+    """The circuit breaker with its state (name, failures in a row, time it opened) kept between batches, until the key is silent for ttl_s."""
     kind = lambda c: calls.schema[c].dataType.simpleString()
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         state, bad, opened = held.get if held.exists else ("closed", 0, 0.0)
         rows = pd.concat(list(frames)).sort_values([ts, order])
         states = []
@@ -87,9 +104,10 @@ def breaker(calls: DataFrame, key: str, ok: str, ts: str = "ts", order: str = "e
                 if state == "half_open" or bad >= failures:
                     state, opened = "open", now
         held.update((state, bad, opened))
+        _until(held, rows[ts], ttl_s)
         yield pd.DataFrame({key: rows[key], order: rows[order], "state": states})
 
-    return calls.groupBy(key).applyInPandasWithState(step, f"{key} {kind(key)}, {order} {kind(order)}, state string", "state string, bad int, opened double", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy(key).applyInPandasWithState(step, f"{key} {kind(key)}, {order} {kind(order)}, state string", "state string, bad int, opened double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def crawl_progress(every: int, emit: Callable[[dict], None]) -> Callable[[DataFrame, int], None]:

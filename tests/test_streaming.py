@@ -70,3 +70,13 @@ def test_exposition_and_quantile(spark):
     assert {(r.le, r["count"]) for r in M.histogram(rows, ["name"], "v", (1.0, 2.0)).collect()} == {("1.0", 2), ("2.0", 3), ("+Inf", 4)}
     assert M.quantile(rows, ["name"], "v", 0.5, (1.0, 2.0)).first()["quantile"] == 1.0
     assert M.quantile(rows, ["name"], "v", 0.99, (1.0, 2.0)).first()["quantile"] == 2.0
+
+
+def test_the_state_of_a_silent_key_goes(spark, tmp_path):
+    path, out = str(tmp_path / "in"), []
+    for n, rows in enumerate([[(1, "a", 0, "x")], [(2, "b", 100, "x"), (3, "b", 101, "y")], [(4, "b", 102, "y")], [(5, "a", 103, "z")]]):
+        table = spark.createDataFrame(rows, "event_id long, key string, day long, body string").withColumn("ts", F.timestamp_seconds(F.col("day") * 86_400 + 1_000_000))
+        table.coalesce(1).write.mode("append").parquet(path)
+        stream = Q.event_stream(spark, path, table.schema, late="1 day")
+        Q.run_available(Q.page_monitor(stream, "key", "body", ttl_s=30 * 86_400), str(tmp_path / "check"), sink=lambda df, _: out.extend(map(tuple, df.select("event_id", "changed").collect())))
+    assert sorted(out) == [(1, False), (2, False), (3, True), (4, False), (5, False)]  # the last would be a change otherwise
