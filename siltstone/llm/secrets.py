@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -76,8 +77,16 @@ _ANNOTATION = re.compile(r"[ \t]*+=(?!=)")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
-@lru_cache(4096)
 def name_score(name: str) -> float:
+    return _short_name_score(name) if len(name) <= _SPELLED else _name_score(name)
+
+
+@lru_cache(4096)
+def _short_name_score(name: str) -> float:
+    return _name_score(name)
+
+
+def _name_score(name: str) -> float:
     parts = [p.lower() for p in _PARTS.findall(name)]
     if not parts:
         return 0.0
@@ -357,10 +366,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
     """docs with the values of all secrets replaced by mark and, if named, the column of lengths taken anew; null texts and other columns stay as they are."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: t if t is None else redacted(t, scan(t), mark))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: t if t is None else redacted(t, scan(t), mark))
 
+    clean = F.pandas_udf(lean(run), "string")  # rows themselves stay in the JVM
     out = docs.withColumn(text_col, clean(docs[text_col]))
     return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out
 
