@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from siltstone.llm.shared import lean, row_key, saved
+from siltstone.llm.shared import give_back, lean, row_key, saved
 
 CHUNK = 32_000_000
 _RUN = 1000  # ids of one list that are put together at once
@@ -260,6 +260,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joined_back(kind: pa.DataType):
     def assemble(blocks: pa.Table, own: pa.Table) -> pa.Table:
         """A chunk's rows from the ids and pieces of its words, by position."""
+        give_back()  # of the chunk before
         check, table, packed = pickle.loads(own.column("payload")[0].as_py())
         table, places = pa.ipc.open_stream(table).read_all().combine_chunks(), _unpack(packed)
         none = np.zeros(0, np.uint32)
@@ -275,6 +276,7 @@ def _joined_back(kind: pa.DataType):
             spelled_ += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
         order = np.argsort(place, kind="stable")
         pieces_ = [spelled_[i] for i in order.tolist()]
+        del parts, spelled_
         # byte-level pieces spell a word's own bytes
         if not np.array_equal(place[order], np.arange(len(place))) or _checksum(np.fromiter(map(crc32, pieces_), np.uint32, len(pieces_))) != check:
             raise RuntimeError("the words of a chunk are not those that were encoded: its input has changed in between")

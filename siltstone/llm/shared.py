@@ -124,6 +124,15 @@ def fresh(df: DataFrame, *wanted: str) -> DataFrame:
     return df.select(*[df[c] for c in wanted])
 
 
+def give_back() -> None:
+    """Returns memory that is free in this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a C library without it keeps its memory
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """run, giving memory back to the system at the end of each task, as Spark keeps its Python workers for later ones."""
 
@@ -132,10 +141,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # a C library without it keeps its memory
-            if trim:
-                trim(0)
+            give_back()
 
     return task
