@@ -114,3 +114,19 @@ def test_records_as_reports(spark):
     assert "| N | 2020-01-01 | Emails, Names |" in one(breaches, "hibp")
     for kind in R.REPORTS:
         assert one({}, kind).startswith("## ")
+
+
+def test_tier_chain_on_a_page_whose_heading_is_cut_in_a_reference(spark, tmp_path):
+    import duckdb
+
+    from siltstone.plans import catalog
+
+    html = f"<html><head><title>T</title></head><body><article><h1>Rivers and&amp</h1>{''.join(f'<p>{p}</p>' for p in GOOD.split(chr(10) * 2))}</article></body></html>"
+    spark.createDataFrame([(i, "https://a.example.com/%d" % i, html) for i in range(3)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(0, POOR), (1, GOOD)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    for t in ("pages", "documents"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = db.execute(f"SELECT page_id, tier, text_md5 FROM ({catalog.oracle_sql()['tier_chain']}) ORDER BY page_id").fetchall()
+    assert [r[1] for r in want] == ["negotiation", "cache", "negotiation"]
+    assert want == [tuple(r) for r in catalog.queries()["tier_chain"](spark, str(tmp_path)).select("page_id", "tier", "text_md5").orderBy("page_id").collect()]
