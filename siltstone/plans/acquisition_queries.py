@@ -49,7 +49,7 @@ attempt AS (SELECT page_id, place, tier, md, reason, reason = 'ok' AS accepted,
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows, tiers = _tiers(spark, sf_dir)
-    return A.acquire(rows, tiers, "page_id", THRESHOLD)
+    return A.acquire(rows, tiers, "page_id", THRESHOLD, F.md5)
 
 
 @family.query(
@@ -58,7 +58,7 @@ SELECT p.page_id, coalesce(tier, 'none') AS tier, score, md5(md) AS text_md5, CA
 )
 def tier_chain(spark, sf_dir):
     """Each page's text from the first tier that is good enough."""
-    return _both(spark, sf_dir)[0].select("page_id", "tier", "score", F.md5("markdown").alias("text_md5"), "warning")
+    return _both(spark, sf_dir)[0].select("page_id", "tier", "score", F.col("markdown").alias("text_md5"), "warning")
 
 
 @family.query(f"{_sql()} SELECT page_id, place, tier, score, accepted, reason FROM attempt")

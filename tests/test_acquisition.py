@@ -116,6 +116,16 @@ def test_records_as_reports(spark):
         assert one({}, kind).startswith("## ")
 
 
+def test_a_text_of_many_pages_is_judged_once_and_kept_as_its_digest(spark, monkeypatch):
+    seen, judged = [], A.judged
+    monkeypatch.setattr(A, "judged", lambda found, threshold: seen.append(found.count()) or judged(found, threshold))
+    pending = spark.range(40).selectExpr("id AS page_id", "concat('https://', if(id % 4 = 0, 'b', 'a'), '.example.com/', id) AS url")
+    texts = spark.createDataFrame([("a.example.com", 200, "# A\n" + GOOD), ("b.example.com", 200, POOR + "\n[d](/d)"), ("c.example.com", 200, "# C")], "host string, status int, body string")
+    out, tries = A.acquire(pending, [A.Tier("site", A.site_texts(texts, "page_id"))], "page_id", 0.8, F.md5)
+    assert seen == [3] and tries.count() == 40 and tries.where("accepted").count() == 30
+    assert {(r.page_id % 4 == 0, r.markdown) for r in out.collect()} == {(r.host[0] == "b", r.m) for r in texts.where("host < 'c'").select("host", F.md5("body").alias("m")).collect()}
+
+
 def test_tier_chain_on_a_page_whose_heading_is_cut_in_a_reference(spark, tmp_path):
     import duckdb
 
