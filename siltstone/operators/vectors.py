@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siltstone.functions import urls as U
@@ -21,26 +26,97 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
-#: Query vectors that are broadcast at most, or meet a part of the points in one task, and into how many parts points are dealt then.
-BLOCK, PARTS = 4096, 64
+#: Queries and points, at most on average, that meet in one task; parts into which few points are dealt; pairs scored at once.
+BLOCK, PART, PARTS, PAIRS = 16_384, 131_072, 64, 1 << 23
+_RUN = 64  # neighbouring scores of which only the highest is compared at first
+
+
+def _matrix(vectors: pa.ChunkedArray, size: int) -> np.ndarray:
+    flat = [chunk.flatten().to_numpy(zero_copy_only=False).astype(np.float64) for chunk in vectors.chunks]
+    return np.concatenate([np.zeros(0), *flat]).reshape(-1, size)
+
+
+def _in_order(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the first element on, as ``dot`` does."""
+    out = np.zeros(len(p))
+    for j in range(p.shape[1]):
+        out += p[:, j] * q[:, j]
+    return out
+
+
+def _nearest(p: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of p, score) of the k best of p for each q; ties go to the earlier row of p.  All values are finite.
+
+    A matrix product gives scores up to an error bound; those that may be among the best k are computed once more in order.
+    """
+    kinds = np.unique(np.ascontiguousarray(p).view(np.dtype((np.void, p.shape[1] * 8))).ravel(), return_inverse=True)[1]
+    by = np.argsort(kinds, kind="stable")
+    first = np.r_[True, kinds[by][1:] != kinds[by][:-1]]
+    place = np.arange(len(by)) - np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+    kept = np.sort(by[place < k])  # of equal vectors only the first k can be found
+    p = p[kept]
+    runs, found = len(p) // _RUN, []
+    slack = 8 * (p.shape[1] + 2) * 2.0**-53 * np.sqrt((p * p).sum(1).max())
+    step = max(1, PAIRS // len(p))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        scores = part @ p.T
+        tops = scores[:, : runs * _RUN].reshape(len(part), runs, _RUN).max(2) if runs >= k else scores
+        least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] if tops.shape[1] > k else np.full(len(part), -np.inf)
+        i, j = np.nonzero(scores >= (least - slack * np.sqrt((part * part).sum(1)))[:, None])
+        exact = np.concatenate([np.zeros(0), *(_in_order(p[j[n : n + (1 << 18)]], part[i[n : n + (1 << 18)]]) for n in range(0, len(i), 1 << 18))])
+        by = np.lexsort((j, -exact, i))
+        i, j, exact = i[by], j[by], exact[by]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[best] + at, kept[j[best]], exact[best]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _searched(id_col: str, vector_col: str, k: int, size: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(points: pa.Table, queries: pa.Table) -> pa.Table:
+        i = j = score = np.zeros(0, np.int64)
+        if len(points) and len(queries):
+            points = points.take(pc.sort_indices(points, sort_keys=[(id_col, "ascending")], null_placement="at_start"))
+            i, j, score = _nearest(_matrix(points[vector_col], size), _matrix(queries["query"], size), k)
+        return pa.table({"query_id": queries["query_id"].take(pa.array(i)), id_col: points[id_col].take(pa.array(j)), "score": pa.array(score, pa.float64())})
+
+    return run
+
+
+def _paired(points: DataFrame, queries: DataFrame, parts: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """points for each block of queries, and queries for each part of the points, with _part and _block."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda id_col, n: F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int")
+    return points.withColumn("_part", dealt(points.columns[0], parts)).withColumn("_block", every(blocks)), queries.withColumn("_block", dealt("query_id", blocks)).withColumn("_part", every(parts))
 
 
 def top_k(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", digits: int = 6) -> DataFrame:
     """(query_id, id, score, place): the k nearest points of each query by dot product of unit vectors; ties go to the lower id.
 
-    queries is (query_id, query), a stated set, and counted: up to BLOCK queries are sent to the points.  More are cut into blocks, and
-    a block meets each part of the points by an equi-join on both numbers; the plan is the same however many blocks there are.  Each
-    task keeps its best k a query before the shuffle.  Scores are rounded after the ranking.  (``vector_index`` searches without all pairs.)
+    queries is (query_id, query), a stated set.  Both sides are counted; queries are cut into blocks of about BLOCK and points into parts of
+    about PART, and each block meets each part in one task by both numbers; the plan is the same however many there are.  There, matrix
+    products leave the pairs that can be among the best k, which are computed once more in a fixed order (see ``_nearest``).  Vectors that
+    have nulls, values that are not finite (or beyond 1e15) or another size than most meet the other side pair by pair, if there are any; a
+    pair without a score comes last.  Scores are rounded after the ranking.  (``vector_index`` searches without all pairs.)
     """
-    blocks = -(-queries.count() // BLOCK) or 1
-    if blocks == 1:
-        met = points.join(F.broadcast(queries))
-    else:
-        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        dealt = points.select(id_col, vector_col).withColumn("_part", F.pmod(F.xxhash64(id_col), F.lit(PARTS)).cast("int")).withColumn("_block", every(blocks))
-        asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_part", every(PARTS))
-        met = dealt.join(asked, ["_block", "_part"])
-    pairs = met.select("query_id", id_col, dot(F.col(vector_col), F.col("query")).alias("score"))
+    points, queries = points.select(id_col, vector_col), queries.select("query_id", "query")
+    sized = lambda c: F.when(F.forall(c, lambda x: x.isNotNull() & (F.abs(x) < 1e15)), F.size(c))
+    total, size = points.agg(F.count("*"), F.coalesce(F.mode(F.nullif(sized(vector_col), F.lit(0))), F.lit(0))).first()
+    plain = lambda c: F.coalesce(sized(c) == size, F.lit(False)) & F.lit(size > 0)
+    good, asked = points.where(plain(vector_col)), queries.where(plain("query"))
+    n_good, (n_queries, n_asked) = good.count() if size else 0, queries.agg(F.count("*"), F.count_if(plain("query"))).first()
+    parts, blocks = max(min(PARTS, -(-n_good // 2048)), -(-n_good // PART), 1), -(-n_asked // BLOCK) or 1
+    p, q = (d.groupBy("_part", "_block") for d in _paired(good, asked, parts, blocks))
+    kinds = {f.name: f.dataType.simpleString() for f in [*points.schema, *queries.schema]}
+    pairs = p.cogroup(q).applyInArrow(_searched(id_col, vector_col, k, size), f"query_id {kinds['query_id']}, `{id_col}` {kinds[id_col]}, score double")
+    odd = []
+    if n_good < total:
+        odd.append((points.where(~plain(vector_col)), queries))
+    if n_asked < n_queries:
+        odd.append((good, queries.where(~plain("query"))))
+    for some in odd:
+        x, y = _paired(*some, PARTS, -(-n_queries // BLOCK))
+        pairs = pairs.unionByName(x.join(y, ["_block", "_part"]).select("query_id", id_col, dot(F.col(vector_col), F.col("query")).alias("score")))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     best = pairs.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k)
     return best.withColumn("score", F.round("score", digits))

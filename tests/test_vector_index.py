@@ -1,6 +1,7 @@
 """The inverted-file index against the exact search."""
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -77,3 +78,39 @@ def test_written_index_and_empty_tables(spark, tmp_path):
     assert VI.nearest(points.limit(0), queries, 5).count() == 0 and VI.nearest(points, queries.limit(0), 5).count() == 0
     assert VI.nearest(points.limit(0), queries, 5).columns == VI.nearest(points, queries, 5).columns
     assert VI.nearest(points.limit(1), queries, 5).count() == 3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_matrix_search_ranks_as_sums_in_order_do(seed):
+    rng = np.random.default_rng(seed)
+    p = rng.choice([rng.normal(size=(500, 8)), np.round(rng.normal(size=(500, 8)))][seed % 2], 3000).astype(np.float32).astype(np.float64)
+    p[100:900], p[900:1000] = p[7], p[8][::-1]
+    q, k = np.concatenate([p[:40], np.zeros((1, 8))]), 5
+    i, j, score = V._nearest(p, q, k)
+    for n, x in enumerate(q):
+        exact = [reduce(lambda s, z: s + float(z[0] * z[1]), zip(y, x, strict=True), 0.0) for y in p]  # (sum() would round otherwise)
+        want = sorted(range(len(p)), key=lambda m: (-exact[m], m))[:k]
+        assert j[i == n].tolist() == want and score[i == n].tolist() == [exact[m] for m in want]
+
+
+def test_exact_search_forms_no_pairs_outside_of_its_matrix_products(spark):
+    points = spark.range(6000).selectExpr("id AS vec_id", "transform(sequence(0, 7), i -> float(hash(id, i) % 1000) / 1000) AS embedding")
+    asked = points.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    found = V.top_k(points, asked, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and found.count() == 1200
+
+
+def test_exact_search_over_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    points = [(1, [1.0, 0.0]), (2, [0.5, 0.5]), (3, None), (4, [1.0]), (5, [1.0, None]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, 0.0]), (None, [1.0, 0.0])]
+    points = spark.createDataFrame(points, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(10, [1.0, 1.0]), (11, None), (12, [1.0])], "query_id long, query array<float>")
+    found = {}
+    for r in V.top_k(points, asked, 8).orderBy("query_id", "place").collect():
+        found.setdefault(r.query_id, []).append((r.vec_id, None if r.score is None else str(r.score)))
+    assert found[10] == [(6, "nan"), (7, "inf"), (None, "1.0"), (1, "1.0"), (2, "1.0"), (8, "1.0"), (3, None), (4, None)]
+    assert [v for v, _ in found[11]] == [None, 1, 2, 3, 4, 5, 6, 7] and {s for _, s in found[11]} == {None}
+    assert found[12][:2] == [(4, "1.0"), (None, None)] and len(found[12]) == 8
+    none = points.limit(0)
+    assert V.top_k(none, asked, 3).count() == 0 and V.top_k(points, asked.limit(0), 3).count() == 0
