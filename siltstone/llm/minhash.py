@@ -44,6 +44,7 @@ _TRIES = 48
 _EMPTY = np.iinfo(W.U).max
 _DOCS = 1024  # texts whose signatures are made at once
 _TOKENS = 64  # a member shows on average, at most, in choices of several elements
+_PAIRS = 16  # for each member on average, up to which single elements do
 _OCTAVE = 8
 _CHOICE = 4  # elements of a choice, at most
 _FILE_SETS = 20_000  # full sets in a saved file
@@ -226,8 +227,9 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     length - need + n of each list, for any n up to need; the tokens of a list are all n-element choices from
     these, and candidates come from an equi-join on (hub, class, token).  What y must show depends on w(y), so
     partners are taken in classes of w (``_OCTAVE`` for each power of two), and x shows each class as many elements as that class
-    can need.  A class is left out where even its whole lists are too short for spare(x).  n is the largest up to ``_CHOICE`` that
-    gives the class at most ``_TOKENS`` tokens a member.
+    can need.  Of x's list a class sees only what its own members in other components have, as nothing else can be shared with
+    them.  A class is left out where even its whole lists are too short for spare(x).  n is 1 where that forms at most ``_PAIRS``
+    pairs a member, which is counted; elsewhere it is the largest up to ``_CHOICE`` that gives the class at most ``_TOKENS`` tokens a member.
 
     Bound: tokens are linear in the members of a hub, and a pair is formed only if it shares n of the rarest
     elements of both lists.  What a family has in common (a changed word, a deletion) comes last in every
@@ -259,7 +261,6 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
     measured = join_salted(away.drop("listed"), beyond, "hub", "cid", rows).join(saved(ranked), ["hub", "cid"])
     measured = measured.withColumn("listed", F.col("ranked.element")).withColumn("class", F.floor(F.log2(F.greatest("w", F.lit(1))) * _OCTAVE).cast("int"))
     measured = saved(measured.withColumn("length", F.size("listed").cast("long")).drop("ranked"))
-    classes = measured.groupBy("hub").agg(F.collect_set("class").alias("classes"))  # a few for each power of two
     least_w = F.pow(F.lit(2.0), F.col("class") / _OCTAVE) - 0.001
     columns = ["hub", "class", "cid", "root", "w", "spare", "beyond", "length", "size", "listed", "extra"]
 
@@ -267,15 +268,25 @@ def _between_members(stars: DataFrame, members: DataFrame, roots: DataFrame, ful
         """Elements of a list beyond those that a pair must share; below 0 the list is too short."""
         return F.col("length") - F.greatest(F.ceil(need / unit), F.lit(1))
 
-    y = measured.withColumn("extra", extra(F.col("w") + F.col("beyond"))).where("extra >= 0").select(*columns)
-    far = join_salted(measured.where("spare > 0").drop("class"), classes, "hub", "cid", rows).withColumn("class", F.explode("classes"))
+    y = saved(measured.withColumn("extra", extra(F.col("w") + F.col("beyond"))).where("extra >= 0").select(*columns))
+    held = y.select("hub", "class", "root", F.explode("listed").alias("element")).groupBy("hub", "element", "class").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    held = saved(held.groupBy("hub", "element").agg(F.collect_list(F.struct("class", "low", "high")).alias("held")))  # a few classes for each power of two
+    shown = saved(measured.where("spare > 0").select("hub", "cid", "root", F.posexplode("listed").alias("place", "element")))
+    shown = join_salted(shown, held, ["hub", "element"], "cid", shown.count()).withColumn("by", F.filter("held", lambda c: (c["low"] != F.col("root")) | (c["high"] != F.col("root")))["class"])
+    shown = saved(shown.where(F.size("by") > 0).groupBy("hub", "cid").agg(F.array_sort(F.collect_list(F.struct("place", "element", "by"))).alias("shown")))
+    far = measured.where("spare > 0").drop("class", "listed", "length").join(shown, ["hub", "cid"]).withColumn("class", F.explode(F.array_distinct(F.flatten("shown.by"))))
     # a partner of this class has w below least_w * 2 ** (1 / _OCTAVE), and w >= threshold * its length
-    far = far.where(F.col("spare") * threshold <= (least_w + 0.01) * 2 ** (1 / _OCTAVE) * (unit - threshold)).withColumn("extra", extra(F.col("spare") + least_w)).where("extra >= 0").select(*columns)
+    far = far.where(F.col("spare") * threshold <= (least_w + 0.01) * 2 ** (1 / _OCTAVE) * (unit - threshold))
+    far = far.withColumn("listed", F.filter("shown", lambda e: F.array_contains(e["by"], F.col("class")))["element"]).withColumn("length", F.size("listed").cast("long"))
+    far = saved(far.withColumn("extra", extra(F.col("spare") + least_w)).where("extra >= 0").select(*columns))
+    alone = F.explode(F.slice("listed", F.lit(1), (F.col("extra") + 1).cast("int"))).alias("element")
+    both = y.select("hub", "class", alone, F.lit(0).alias("x")).unionByName(far.select("hub", "class", alone, F.lit(1).alias("x"))).groupBy("hub", "class", "element").agg(F.sum("x").alias("x"), F.sum(1 - F.col("x")).alias("y"))
+    pairs = both.groupBy("hub", "class").agg(F.sum(F.col("x") * F.col("y")).alias("pairs"))
     most = F.ceil(F.min(F.col("beyond") + least_w) / unit)
     count = lambda n: math.prod(((F.col("extra") + F.lit(float(i))) / i for i in range(1, n + 1)), start=F.lit(1.0))  # noqa: E731  of the choices of n
     pick = F.coalesce(*[F.when((F.avg(count(n)) <= _TOKENS) & (most >= n), n) for n in range(_CHOICE, 1, -1)], F.lit(1))
-    chosen = y.unionByName(far).groupBy("hub", "class").agg(pick.alias("n"))
-    chosen = saved(chosen)
+    chosen = y.unionByName(far).groupBy("hub", "class").agg(pick.alias("n"), F.count("*").alias("rows")).join(pairs.where("pairs > 0"), ["hub", "class"])
+    chosen = saved(chosen.select("hub", "class", F.when(F.col("pairs") <= _PAIRS * F.col("rows"), 1).otherwise(F.col("n")).alias("n")))
     y, far = (join_salted(d, chosen, ["hub", "class"], "cid", rows).withColumn("token", F.explode(_choices(F.slice("listed", F.lit(1), (F.col("extra") + F.col("n")).cast("int")), F.col("n")))).drop("listed") for d in (y, far))
     y = y.select("hub", "class", "token", F.col("cid").alias("b"), F.col("root").alias("other"), F.col("w").alias("wb"), F.col("spare").alias("spare_b"), F.col("length").alias("length_b"), F.col("size").alias("nb"))
     far = far.select("hub", "class", "token", F.col("cid").alias("a"), "root", F.col("spare").alias("spare_a"), F.col("length").alias("length_a"), F.col("size").alias("na"))

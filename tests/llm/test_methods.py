@@ -557,3 +557,22 @@ def test_signatures_estimate_similarity():
     assert (sig[0] == sig[1]).mean() == pytest.approx(800 / 1200, abs=0.08)
     small = minhash.signatures(x[[0, 900, 1900]], np.array([3]))
     assert set(small[0].tolist()) == set(x[[0, 900, 1900]].tolist())
+
+
+def test_tokens_are_made_only_of_what_a_class_can_share(spark, monkeypatch):
+    rng, base = np.random.default_rng(5), [f"b{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 101):
+        left_out = set(rng.choice(200, rng.integers(5, 60), replace=False).tolist())
+        rows.append((i, " ".join(w for j, w in enumerate(base) if j not in left_out)))
+    made, real = [], minhash.join_salted
+
+    def counted(left, right, on, salt, n, how="inner"):
+        out = real(left, right, on, salt, n, how)
+        if on == ["hub", "class"]:
+            made.extend(math.comb(r["extra"] + r["n"], r["n"]) for r in out.select("extra", "n").collect())
+        return out
+
+    monkeypatch.setattr(minhash, "join_salted", counted)
+    H.same(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=1).collect(), H.near(rows, 1))
+    assert sum(made) <= 300 * len(rows), sum(made)
