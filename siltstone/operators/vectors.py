@@ -26,9 +26,9 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
-#: Queries and points, at most on average, that meet in one task; parts into which few points are dealt; pairs scored at once.
-BLOCK, PART, PARTS, PAIRS = 16_384, 131_072, 64, 1 << 23
-_RUN = 64  # neighbouring scores of which only the highest is compared at first
+#: Queries and points, at most on average, that meet in one task; parts into which few points are dealt; pairs scored at once (they stay in a core's cache).
+BLOCK, PART, PARTS, PAIRS = 16_384, 131_072, 64, 1 << 20
+_RUN, _SUMMED = 32, 4096  # scores of which only the highest is compared at first; pairs summed at once
 
 
 def _matrix(vectors: pa.ChunkedArray, size: int) -> np.ndarray:
@@ -36,18 +36,24 @@ def _matrix(vectors: pa.ChunkedArray, size: int) -> np.ndarray:
     return np.concatenate([np.zeros(0), *flat]).reshape(-1, size)
 
 
-def _in_order(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Dot products of rows, summed from the first element on, as ``dot`` does."""
-    out = np.zeros(len(p))
-    for j in range(p.shape[1]):
-        out += p[:, j] * q[:, j]
+def _in_order(p: np.ndarray, q: np.ndarray, j: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Dot products of rows j of p and i of q, summed from the first element on, as ``dot`` does."""
+    out = np.zeros(len(i))
+    for at in range(0, len(i) if p.shape[1] else 0, _SUMMED):
+        some = slice(at, at + _SUMMED)
+        out[some] += np.cumsum(p[j[some]] * q[i[some]], axis=1)[:, -1]
     return out
 
 
+def _single(rows: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """rows in single precision, times powers of two by which most, their largest values, come near to 1."""
+    return np.ldexp(rows, -np.frexp(most)[1]).astype(np.float32)
+
+
 def _nearest(p: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of q, row of p, score) of the k best of p for each q; ties go to the earlier row of p.  All values are finite.
 
-    A matrix product gives scores up to an error bound; those that may be among the best k are computed once more in order.
+    A matrix product in single precision gives scores up to an error bound; those that may be among the best k are computed once more in order.
     """
     kinds = np.unique(np.ascontiguousarray(p).view(np.dtype((np.void, p.shape[1] * 8))).ravel(), return_inverse=True)[1]
     by = np.argsort(kinds, kind="stable")
@@ -55,16 +61,25 @@ def _nearest(p: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
     place = np.arange(len(by)) - np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
     kept = np.sort(by[place < k])  # of equal vectors only the first k can be found
     p = p[kept]
-    runs, found = len(p) // _RUN, []
-    slack = 8 * (p.shape[1] + 2) * 2.0**-53 * np.sqrt((p * p).sum(1).max())
-    step = max(1, PAIRS // len(p))
+    n, run = len(p), _RUN if len(p) >= k * _RUN else 1
+    runs = -(-n // run)  # row m of p is in run m % runs
+    across = np.zeros((p.shape[1], runs * run), np.float32)
+    across[:, :n] = _single(p, np.abs(p).max()).T
+    slack = 8 * (p.shape[1] + 4) * 2.0**-24 * np.sqrt((across.astype(np.float64) ** 2).sum(0)).reshape(run, runs)  # for a query of length 1
+    step, found = max(1, PAIRS // (runs * run)), []
+    room = np.empty((min(step, len(q)), runs * run), np.float32)
     for at in range(0, len(q), step):
-        part = q[at : at + step]
-        scores = part @ p.T
-        tops = scores[:, : runs * _RUN].reshape(len(part), runs, _RUN).max(2) if runs >= k else scores
-        least = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] if tops.shape[1] > k else np.full(len(part), -np.inf)
-        i, j = np.nonzero(scores >= (least - slack * np.sqrt((part * part).sum(1)))[:, None])
-        exact = np.concatenate([np.zeros(0), *(_in_order(p[j[n : n + (1 << 18)]], part[i[n : n + (1 << 18)]]) for n in range(0, len(i), 1 << 18))])
+        part = _single(q[at : at + step], np.abs(q[at : at + step]).max(1, keepdims=True))
+        size = np.sqrt((part.astype(np.float64) ** 2).sum(1))
+        scores = np.matmul(part, across, out=room[: len(part)])
+        scores[:, n:] = -np.inf
+        scores = scores.reshape(len(part), run, runs)
+        tops, about = scores.max(1), np.outer(size, slack.max(0))
+        least = np.partition(tops - about, runs - k, axis=1)[:, runs - k] if runs >= k else np.full(len(part), -np.inf)
+        i, r = np.nonzero(tops + about >= least[:, None])
+        m, row = np.nonzero(scores[i, :, r] + size[i, None] * slack.T[r] >= least[i, None])
+        i, j = i[m], r[m] + row * runs
+        exact = _in_order(p, q, j, i + at)
         by = np.lexsort((j, -exact, i))
         i, j, exact = i[by], j[by], exact[by]
         best = np.arange(len(i)) - np.searchsorted(i, i) < k
@@ -95,16 +110,18 @@ def top_k(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
 
     queries is (query_id, query), a stated set.  Both sides are counted; queries are cut into blocks of about BLOCK and points into parts of
     about PART, and each block meets each part in one task by both numbers; the plan is the same however many there are.  There, matrix
-    products leave the pairs that can be among the best k, which are computed once more in a fixed order (see ``_nearest``).  Vectors that
+    products in single precision leave the pairs that can be among the best k, which are computed once more in a fixed order (see ``_nearest``).  Vectors that
     have nulls, values that are not finite (or beyond 1e15) or another size than most meet the other side pair by pair, if there are any; a
     pair without a score comes last.  Scores are rounded after the ranking.  (``vector_index`` searches without all pairs.)
     """
     points, queries = points.select(id_col, vector_col), queries.select("query_id", "query")
     sized = lambda c: F.when(F.forall(c, lambda x: x.isNotNull() & (F.abs(x) < 1e15)), F.size(c))
-    total, size = points.agg(F.count("*"), F.coalesce(F.mode(F.nullif(sized(vector_col), F.lit(0))), F.lit(0))).first()
+    sizes = points.groupBy(sized(vector_col).alias("size")).agg(F.count("*").alias("n"))
+    total, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max(F.when(F.col("size") > 0, F.struct("n", "size")))).first()
+    n_good, size = most or (0, 0)
     plain = lambda c: F.coalesce(sized(c) == size, F.lit(False)) & F.lit(size > 0)
     good, asked = points.where(plain(vector_col)), queries.where(plain("query"))
-    n_good, (n_queries, n_asked) = good.count() if size else 0, queries.agg(F.count("*"), F.count_if(plain("query"))).first()
+    n_queries, n_asked = queries.agg(F.count("*"), F.count_if(plain("query"))).first()
     parts, blocks = max(min(PARTS, -(-n_good // 2048)), -(-n_good // PART), 1), -(-n_asked // BLOCK) or 1
     p, q = (d.groupBy("_part", "_block") for d in _paired(good, asked, parts, blocks))
     kinds = {f.name: f.dataType.simpleString() for f in [*points.schema, *queries.schema]}

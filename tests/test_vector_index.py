@@ -93,6 +93,22 @@ def test_matrix_search_ranks_as_sums_in_order_do(seed):
         assert j[i == n].tolist() == want and score[i == n].tolist() == [exact[m] for m in want]
 
 
+def test_matrix_search_forms_small_blocks_of_single_precision_and_ranks_what_they_cannot_tell_apart(monkeypatch):
+    blocks, product = [], np.matmul
+    monkeypatch.setattr(np, "matmul", lambda a, b, out: blocks.append((out.dtype, out.size)) or product(a, b, out=out))
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(4000, 16))
+    p[500:600] = p[0] * (1 + rng.permutation(100)[:, None] * 1e-13)  # the same in single precision
+    p[600], p[700:800] = p[1] * 2.0**60, p[2] * 2.0**-300
+    q = np.concatenate([p[:300], p[:5] * 2.0**-400, p[:5] * 2.0**40])
+    i, j, score = V._nearest(p, q, 20)
+    assert len(blocks) > 1 and all(kind == np.float32 and size <= 1 << 20 for kind, size in blocks)
+    for n, x in enumerate(q):
+        exact = np.cumsum(p * x, axis=1)[:, -1]
+        want = np.lexsort((np.arange(len(p)), -exact))[:20]
+        assert j[i == n].tolist() == want.tolist() and score[i == n].tolist() == exact[want].tolist()
+
+
 def test_exact_search_forms_no_pairs_outside_of_its_matrix_products(spark):
     points = spark.range(6000).selectExpr("id AS vec_id", "transform(sequence(0, 7), i -> float(hash(id, i) % 1000) / 1000) AS embedding")
     asked = points.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
