@@ -28,9 +28,9 @@ import pickle
 import re
 import sys
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import accumulate, count
+from itertools import count
 from unicodedata import category
 from zlib import crc32
 
@@ -39,10 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from siltstone.llm.shared import give_back, lean, row_key, saved
+from siltstone.llm.shared import lean, row_key, saved
 
 CHUNK = 32_000_000
 _RUN = 1000  # ids of one list that are put together at once
+_SOME = 200_000  # words that are put together at once
 _PLACE = 28  # bits of a place in a chunk's list; the chunk's number lies above them
 #: The splitting rule of this family of vocabularies (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -143,22 +144,25 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str):
     splitter = _splitter(path)
 
     def finished():
-        places = np.concatenate(rows)
+        counts, places = [len(r) for r in rows], np.concatenate(rows)
+        rows.clear()
         common = np.argsort(-np.bincount(places, minlength=len(seen)), kind="stable")
         rank = np.empty(len(common), np.uint32)
         rank[common] = np.arange(len(common), dtype=np.uint32)
         words = list(seen)
-        return (part << 12) + number, [words[i] for i in common.tolist()], ids, rank[places], [len(r) for r in rows]
+        seen.clear()
+        return (part << 12) + number, [words[i] for i in common.tolist()], ids, rank[places], counts
 
     for batch in batches:
         if not len(batch):
             continue
         part = batch.column("part")[0].as_py()
         begin = 0
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            found = splitter(text or "")
+        for i, text in enumerate(batch.column("text")):  # one text at once
+            text = text.as_py() or ""
+            found = splitter(text)
             rows.append(np.fromiter(map(seen.__getitem__, found), np.uint32, len(found)))
-            size += len(text or "")
+            size += len(text)
             if size >= CHUNK:
                 ids.append(batch.column("id").slice(begin, i + 1 - begin))
                 yield finished()
@@ -171,7 +175,8 @@ def _chunked(batches: Iterator[pa.RecordBatch], path: str):
 
 def _lists(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, words, *_ in _chunked(batches, path):
+        for number, words, *rest in _chunked(batches, path):
+            rest.clear()
             for a in range(0, len(words), 50_000):
                 some = words[a : a + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array((number << _PLACE) + np.arange(a, a + len(some))), pa.array(some, pa.string())], ["at", "word"])
@@ -179,6 +184,10 @@ def _lists(path: str):
     return run
 
 
+def _crc(words: Iterable[bytes], n: int) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.uint32, n)
+
+
 def _checksum(crc: np.ndarray) -> int:
     """Of a chunk's words in order of place."""
     return int((crc.astype(np.uint64) * (np.arange(len(crc), dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum())
@@ -191,7 +200,7 @@ def _places(path: str):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as out:
                 out.write_table(table)
-            check = _checksum(np.fromiter((crc32(w.encode()) for w in words), np.uint32, len(words)))
+            check = _checksum(_crc(map(str.encode, words), len(words)))
             payload = pickle.dumps((check, sink.getvalue().to_pybytes(), _pack(places)))
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([payload], pa.binary())], ["chunk", "payload"])
 
@@ -258,47 +267,46 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _joined_back(kind: pa.DataType):
-    def assemble(blocks: pa.Table, own: pa.Table) -> pa.Table:
-        """A chunk's rows from the ids and pieces of its words, by position."""
-        give_back()  # of the chunk before
-        check, table, packed = pickle.loads(own.column("payload")[0].as_py())
-        table, places = pa.ipc.open_stream(table).read_all().combine_chunks(), _unpack(packed)
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A chunk's rows from the ids and pieces of its words, by position; some rows at once, so that a task holds no chunk's result."""
+        mine, parts = [], []
+        for batch in batches:
+            for own, payload in zip(batch.column("own").to_pylist(), batch.column("payload"), strict=True):
+                (mine if own else parts).append(pickle.loads(payload.as_buffer()))
+        check, table, packed = mine.pop() if mine else (None, None, None)
         none = np.zeros(0, np.uint32)
-        parts = [pickle.loads(x.as_py()) for x in blocks.column("payload")]
         place = np.concatenate([none, *(np.cumsum(_unpack(p[0]), dtype=np.uint32) for p in parts)]).astype(np.int64)
-        lens_ = np.concatenate([none, *(_unpack(p[1]) for p in parts)]).astype(np.int64)
+        lens = np.concatenate([none, *(_unpack(p[1]) for p in parts)]).astype(np.int64)
         flat = np.concatenate([none, *(_unpack(p[2]) for p in parts)]).astype(np.int32)
-        spelled_: list[bytes] = []
-        for p in parts:
-            sizes, length, data = pickle.loads(p[3])
-            data = pa.Codec("zstd").decompress(data, length, asbytes=True) if length else b""
-            ends = np.cumsum(_unpack(sizes).astype(np.int64)).tolist()
-            spelled_ += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        order = np.argsort(place, kind="stable")
-        pieces_ = [spelled_[i] for i in order.tolist()]
+        spelled_ = [pickle.loads(p[3]) for p in parts]
+        size = np.concatenate([none, *(_unpack(sizes) for sizes, *_ in spelled_)]).astype(np.int64)
+        data = b"".join(pa.Codec("zstd").decompress(data, length, asbytes=True) for _, length, data in spelled_ if length)
         del parts, spelled_
+        order = np.argsort(place, kind="stable")
+        pieces_ = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size)))), pa.py_buffer(data)]).take(pa.array(order))
+        del data
         # byte-level pieces spell a word's own bytes
-        if not np.array_equal(place[order], np.arange(len(place))) or _checksum(np.fromiter(map(crc32, pieces_), np.uint32, len(pieces_))) != check:
+        crc = [_crc(some, len(some)) for some in (pieces_.slice(a, _SOME).to_pylist() for a in range(0, len(pieces_), _SOME))]
+        if not np.array_equal(place[order], np.arange(len(place))) or _checksum(np.concatenate([none, *crc])) != check:
             raise RuntimeError("the words of a chunk are not those that were encoded: its input has changed in between")
-        begin = (np.cumsum(lens_) - lens_)[order]
-        lens = lens_[order]
+        begin = (np.cumsum(lens) - lens)[order]
+        lens, size = lens[order], size[order]
+        del place, order, crc
+        table, places = pa.ipc.open_stream(table).read_all().combine_chunks(), _unpack(packed)
+        del packed
         counts = table.column("n").to_numpy()
-        bounds = [0, *accumulate(counts.tolist())]
-        out, step = [], 0
-        while step < len(counts):  # some rows at once, for small temporary arrays
-            stop = step + 1
-            while stop < len(counts) and bounds[stop + 1] - bounds[step] < 500_000:
-                stop += 1
-            here = places[bounds[step] : bounds[stop]]
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        step = 0
+        while step < len(counts):
+            stop = max(step + 1, int(np.searchsorted(bounds, bounds[step] + _SOME)) - 1)
+            here, rows = places[bounds[step] : bounds[stop]], bounds[step : stop + 1] - bounds[step]
             n = lens[here]
             ends = np.concatenate(([0], np.cumsum(n)))
             found = flat[np.arange(int(ends[-1])) + np.repeat(begin[here] - ends[:-1], n)]
-            offsets = ends[np.array(bounds[step : stop + 1]) - bounds[step]]
-            names = list(map(pieces_.__getitem__, here.tolist()))
-            texts = [b"".join(names[bounds[i] - bounds[step] : bounds[i + 1] - bounds[step]]).decode("utf-8", "replace") for i in range(step, stop)]
-            out.append(pa.table({"id": table.column("id").slice(step, stop - step).cast(kind), "ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found)), "decoded": pa.array(texts, pa.string())}))
+            chars = np.concatenate(([0], np.cumsum(size[here])))
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), stop - step, [None, pa.py_buffer(chars[rows]), pieces_.take(pa.array(here)).buffers()[2] or pa.py_buffer(b"")])
+            yield from pa.table({"id": table.column("id").slice(step, stop - step).cast(kind), "ids": pa.ListArray.from_arrays(pa.array(ends[rows].astype(np.int32)), pa.array(found)), "decoded": texts.cast(pa.string())}).to_batches()
             step = stop
-        return pa.concat_tables(out)
 
     return assemble
 
@@ -312,7 +320,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     coded = lists.repartition("word").sortWithinPartitions("word").mapInArrow(lean(_coded(path)), "at long, ids array<int>, piece binary")
     back = coded.sortWithinPartitions("at").mapInArrow(lean(_blocks), "chunk long, payload binary")
     own = read.mapInArrow(lean(_places(path)), "chunk long, payload binary")
-    out = back.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(_joined_back(to_arrow_type(kind)), f"id {kind.simpleString()}, ids array<int>, decoded string")
+    both = back.withColumn("own", F.lit(False)).unionByName(own.withColumn("own", F.lit(True)))
+    out = both.groupBy("chunk").applyInArrow(lean(_joined_back(to_arrow_type(kind))), f"id {kind.simpleString()}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 

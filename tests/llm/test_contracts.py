@@ -1,6 +1,7 @@
 """Every contract against its plain version, on odd rows and on the whole smallest table."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,26 @@ def test_bpe(spark, which):
     H.same([(r.doc_id, r.decoded) for r in bpe.decode(encoded, path).collect()], [(i, t) for i, _, t in want])
 
 
+def test_bpe_puts_a_chunk_together_some_rows_at_once(monkeypatch):
+    path = queries.vocabulary_path()
+    texts = ["", *(f"row {i} \u00e9\u4e16 {'word ' * (i % 40)}<|endoftext|>" for i in range(300)), None, "x" * 3000, ""]
+    rows = pa.RecordBatch.from_pydict({"id": pa.array(range(len(texts)), pa.int64()), "text": texts, "part": pa.array([0] * len(texts), pa.int64())})
+    coded = pa.Table.from_batches(bpe._coded(path)(iter(pa.Table.from_batches(bpe._lists(path)(iter([rows]))).sort_by("word").to_batches()))).sort_by("at")
+    sides = [(False, x) for x in bpe._blocks(iter(coded.to_batches(max_chunksize=64)))] + [(True, x) for x in bpe._places(path)(iter([rows]))]
+    sides = [pa.RecordBatch.from_arrays([*x.columns, pa.array([own] * len(x))], ["chunk", "payload", "own"]) for own, x in sides]
+    monkeypatch.setattr(bpe, "_SOME", 500)
+    read, out = [], []
+    for batch in bpe._joined_back(pa.int32())(iter(sides)):
+        read.append(len(batch))
+        out += batch.to_pylist()
+    assert len(read) > 10 and max(read) < 100  # no batch has the whole chunk
+    model = bpe.tokenizer(path)
+    want = [model.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [(r["id"], r["ids"], r["decoded"]) for r in out] == [(i, ids, t or "") for i, (ids, t) in enumerate(zip(want, texts, strict=True))]
+    with pytest.raises(RuntimeError):
+        list(bpe._joined_back(pa.int32())(iter(sides[:-1])))
+
+
 def test_bpe_splits_every_character_like_the_library():
     path = queries.vocabulary_path()
     rule = bpe.tokenizer(path).pre_tokenizer
