@@ -51,6 +51,8 @@ REDACTIONS = (
 _REDACTION_SIGNS = (("api",), ("password",), ("password", "token", "api", "secret"), ("api",), ("bearer",), ("sk-",), ("pk-",))
 _LINK = r"\[.*?\]\(.*?\)"
 _BLANK = " \t\n\x0b\f\r"
+#: Characters of a text whose lines are held at once.
+BLOCK = 1 << 20
 
 
 def literal(text: str) -> str:
@@ -87,12 +89,28 @@ def _lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(strip(text), "\n"), strip), lambda x: x != "")
 
 
+def _line_counts(text: Column) -> Column:
+    """Struct of a text's lines (n), those with links and the solid ones.
+
+    Summed over blocks of BLOCK characters, each up to the end of its last line, as lines of a very long text take many times its memory.
+    """
+
+    def counted(lines: Column) -> Column:
+        solid = lambda x: (F.length(x) > 60) & ~x.rlike(_LINK)
+        return F.struct(F.size(lines).alias("n"), F.size(F.filter(lines, lambda x: x.rlike(_LINK))).alias("links"), F.size(F.filter(lines, solid)).alias("solid"))
+
+    def added(md: Column, acc: Column, i: Column) -> Column:
+        end = F.call_function("locate", F.lit("\n"), md, (i + 1) * BLOCK)
+        step = lambda end: let(counted(_lines(F.substr(md, acc["at"], end - acc["at"]))), lambda v: F.struct(end.alias("at"), *[(acc[c] + v[c]).alias(c) for c in ("n", "links", "solid")]))
+        return let(F.when(end > 0, end).otherwise(F.length(md)) + 1, step)
+
+    start = F.struct(F.lit(1).alias("at"), *[F.lit(0).alias(c) for c in ("n", "links", "solid")])
+    return let(text, lambda md: F.aggregate(F.sequence(F.lit(0), F.floor(F.length(md) / BLOCK).cast("int")), start, lambda acc, i: added(md, acc, i)))
+
+
 def boilerplate(md: Column) -> Column:
     """Struct of hundredths and status: how much of a text is links rather than paragraphs."""
-    lines = _lines(md)
-    links = F.size(F.filter(lines, lambda x: x.rlike(_LINK)))
-    solid = F.size(F.filter(lines, lambda x: (F.length(x) > 60) & ~x.rlike(_LINK)))
-    return let(F.struct((links / F.greatest(F.size(lines), F.lit(1))).alias("ratio"), solid.alias("solid")), lambda v: _boilerplate_verdict(md, v["ratio"], v["solid"]))
+    return let(_line_counts(md), lambda v: _boilerplate_verdict(md, v["links"] / F.greatest(v["n"], F.lit(1)), v["solid"]))
 
 
 def _boilerplate_verdict(md: Column, ratio: Column, solid: Column) -> Column:
@@ -113,7 +131,7 @@ def completeness(md: Column, title: Column | None = None) -> Column:
 
 def _completeness(whole: Column, title: Column | None) -> Column:
     n = F.length(whole)
-    paragraphs = F.size(F.filter(F.split(whole, "\n\n"), lambda p: strip(p) != "")) >= 2
+    paragraphs = whole.contains("\n\n")  # a stripped text begins and ends with paragraphs that aren't blank
     titled = n >= MIN_CONTENT
     if title is not None:
         titled = F.when(F.coalesce(title, F.lit("")) != "", F.length(strip(title)) >= MIN_TITLE).otherwise(titled)

@@ -109,3 +109,19 @@ def test_plans(spark):
     assert R.merged_params({"max_depth": 1}, {"max_depth": 2, "max_pages": None}) == {"max_depth": 2}
     assert R.salvaged_json('x ```json\n{"a": 1}\n``` y') == {"a": 1} and R.salvaged_json("{bad") is None
     assert R.valid_gaps(list("abcdef")) == []
+
+
+def test_lines_of_a_long_text_are_counted_in_blocks(spark, monkeypatch):
+    link, solid, short = "[a](/a)", "x" * 70, "y"
+    texts = [None, "", "\n", " \n\t\n", solid, "\n".join([link, solid, "", short, "\u4e16" * 3] * 40), "\n\n" + solid + "\n" * 90 + short, ("z" * 500 + "\n") * 3 + link, (link + "\r\n") * 30 + "\n", "a" * 64, "a" * 63 + "\n", "a" * 63 + "\n" + link]
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(1)
+    whole = {r.i: (r.b, r.c) for r in table.select("i", T.boilerplate(F.col("text")).alias("b"), T.completeness(F.col("text")).alias("c")).collect()}
+    for block in (1, 7, 64):
+        monkeypatch.setattr(T, "BLOCK", block)
+        got = {r.i: r.v for r in table.where("text is not null").select("i", T._line_counts(F.col("text")).alias("v")).collect()}
+        for i, text in enumerate(texts[1:], 1):
+            lines = [x for x in (y.strip(" \t\n\x0b\f\r") for y in text.split("\n")) if x]
+            want = (len(lines), lines.count(link), sum(len(x) > 60 for x in lines))
+            assert (got[i].n, got[i].links, got[i].solid) == want, (block, i)
+        again = {r.i: (r.b, r.c) for r in table.select("i", T.boilerplate(F.col("text")).alias("b"), T.completeness(F.col("text")).alias("c")).collect()}
+        assert again == whole
